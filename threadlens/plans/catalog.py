@@ -135,3 +135,136 @@ def q_escalation_summary(spark, sf_dir):
 def q_escalation_signal_counts(spark, sf_dir):
     """I10 per-signal counts."""
     return escalation.signal_counts(_escalated_turns(spark, sf_dir))
+
+
+# --- A4/A5, H: vectors and retrieval ------------------------------------------
+
+from threadlens.functions import vectors as vx  # noqa: E402
+from threadlens.operators import retrieval  # noqa: E402
+from threadlens.sources import index_store  # noqa: E402
+
+TOPK = 5
+
+
+def _emb(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings")
+
+
+@register("index_mapping")
+def q_index_mapping(spark, sf_dir):
+    """A4: dense vector ids in id order."""
+    idx = index_store.index_table(_emb(spark, sf_dir).withColumnRenamed("vec_id", "conversation_id"))
+    return idx.select("vector_id", F.col("conversation_id").alias("vec_id"))
+
+
+@register("index_metadata")
+def q_index_metadata(spark, sf_dir):
+    """A4: dim, metric, ntotal."""
+    idx = index_store.index_table(_emb(spark, sf_dir).withColumnRenamed("vec_id", "conversation_id"))
+    return index_store.index_metadata(idx)
+
+
+@register("vector_text_roundtrip")
+def q_vector_text_roundtrip(spark, sf_dir):
+    """A5: vector -> text -> vector gives the same floats."""
+    e = _emb(spark, sf_dir)
+    txt = F.concat(F.lit("["), F.array_join(F.transform("embedding", lambda x: x.cast("string")), ", "), F.lit("]"))
+    back = tx.parse_vector(txt, 64)
+    return e.select("vec_id", F.size(back).alias("n_dims"), (back == F.col("embedding")).alias("same"))
+
+
+@register("normalized_embeddings")
+def q_normalized_embeddings(spark, sf_dir):
+    """H2."""
+    e = _emb(spark, sf_dir)
+    nv = vx.l2_normalize("embedding")
+    return e.select("vec_id", F.round(vx.l2_norm("embedding"), 6).alias("norm"),
+                    F.round(vx.l2_norm(nv), 6).alias("norm_after"),
+                    F.round(F.aggregate(nv, F.lit(0.0), lambda a, x: a + x), 6).alias("elem_sum"))
+
+
+def _self_topk(spark, sf_dir, k=TOPK, exclude_self=False, metric="ip"):
+    e = _emb(spark, sf_dir)
+    return retrieval.topk_cosine(e, e, k, query_id="vec_id", vector_id="vec_id", exclude_self=exclude_self,
+                                 metric=metric)
+
+
+@register("embedding_topk")
+def q_embedding_topk(spark, sf_dir):
+    """Every embedding queries the whole table, top 5 by cosine."""
+    h = _self_topk(spark, sf_dir)
+    return h.select("query_id", "rank", "vector_id", F.round("score", 6).alias("score"))
+
+
+@register("retrieval_parity")
+def q_retrieval_parity(spark, sf_dir):
+    """H4: normalised inner product vs. full cosine formula, same ids and
+    scores within 1e-4."""
+    return retrieval.parity(_self_topk(spark, sf_dir), _self_topk(spark, sf_dir, metric="cosine"))
+
+
+@register("neighbour_label_retrieval")
+def q_neighbour_label_retrieval(spark, sf_dir):
+    """H5 on embeddings: a neighbour with the query's label is relevant."""
+    e = _emb(spark, sf_dir)
+    hits = _self_topk(spark, sf_dir, exclude_self=True)
+    lab = e.select(F.col("vec_id").alias("vector_id"), F.col("label").alias("v_label"))
+    rel = (hits.join(lab, "vector_id").join(e.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
+           .filter(F.col("label") == F.col("v_label")).select("query_id", "vector_id"))
+    return retrieval.relevance_metrics(hits, rel, e.select(F.col("vec_id").alias("query_id")), TOPK)
+
+
+def judged_hits(spark, sf_dir, k=3):
+    """H6 / E5: top 3 non-self neighbours with derived 0-2 grades (same label,
+    score bands), keyed by (query_id, vector_id)."""
+    e = _emb(spark, sf_dir)
+    hits = _self_topk(spark, sf_dir, k=k, exclude_self=True)
+    lab = e.select(F.col("vec_id").alias("vector_id"), F.col("label").alias("v_label"))
+    qlab = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))
+    same = F.col("q_label") == F.col("v_label")
+    grades = (hits.join(lab, "vector_id").join(qlab, "query_id").select(
+        "query_id", "vector_id",
+        F.when(same, 2).when(F.col("score") >= 0.4, 1).otherwise(0).alias("issue_similarity"),
+        F.when(same & (F.col("score") >= 0.4), 2).when(same | (F.col("score") >= 0.45), 1).otherwise(0)
+         .alias("response_usefulness"),
+        F.when(same, 2).when(F.col("score") >= 0.4, 1).otherwise(0).alias("relevance")))
+    return hits.join(grades, ["query_id", "vector_id"])
+
+
+@register("judged_evidence_summary")
+def q_judged_evidence_summary(spark, sf_dir):
+    """H6 + H7."""
+    return retrieval.graded_summary(judged_hits(spark, sf_dir))
+
+
+def _conv_vectors(spark, sf_dir, dim=256):
+    recs = _records(spark, sf_dir)
+    idx = vx.hashed_tf_vectors(recs.select("conversation_id", "text"), "conversation_id", "text", dim)
+    qs = vx.hashed_tf_vectors(recs.select("conversation_id", "customer_turns"), "conversation_id",
+                              "customer_turns", dim)
+    return idx, qs
+
+
+@register("self_retrieval_conversations")
+def q_self_retrieval_conversations(spark, sf_dir):
+    """H1 + H5 as in the original check: each conversation queries the index
+    with its own customer turns; hit when it finds itself."""
+    idx, qs = _conv_vectors(spark, sf_dir)
+    hits = retrieval.topk_cosine(qs, idx, TOPK, query_id="conversation_id", vector_id="conversation_id")
+    rel = qs.select(F.col("conversation_id").alias("query_id"), F.col("conversation_id").alias("vector_id"))
+    return retrieval.relevance_metrics(hits, rel, rel.select("query_id"), TOPK)
+
+
+@register("probe_recall")
+def q_probe_recall(spark, sf_dir):
+    """H8: cell-probing search (k-means cells, 3 of 8 probed) vs. exact top 5:
+    recall over all queries (rows-only check)."""
+    e = _emb(spark, sf_dir)
+    cells, probes = retrieval.coarse_cells(e, e, 8, 3, vector_id="vec_id", query_id="vec_id")
+    approx = retrieval.topk_cosine(e, e, TOPK, query_id="vec_id", vector_id="vec_id",
+                                   query_cells=probes, index_cells=cells)
+    exact = _self_topk(spark, sf_dir)
+    flagged = exact.join(approx.select("query_id", "vector_id", F.lit(True).alias("_hit")),
+                         ["query_id", "vector_id"], "left")
+    return flagged.agg(F.count(F.lit(1)).alias("n_exact"), F.count_if(F.col("_hit")).alias("n_found")).select(
+        "n_exact", "n_found", F.round(F.col("n_found") / F.col("n_exact"), 6).alias("recall_at_k"))

@@ -205,3 +205,96 @@ ORACLE["escalation_signal_counts"] = f"""
 WITH {_ESC_BASE}
 SELECT s AS signal, count(*) AS n_rows
 FROM decided, unnest(string_split(signals, ',')) AS u(s) WHERE signals <> '' GROUP BY s"""
+
+# --- vectors and retrieval ---------------------------------------------------------
+
+ORACLE["index_mapping"] = """
+SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS vector_id, vec_id FROM embeddings"""
+
+ORACLE["index_metadata"] = """
+SELECT CAST(max(len(embedding)) AS INTEGER) AS dim, 'inner_product_normalized_cosine' AS metric,
+       count(*) AS ntotal FROM embeddings"""
+
+ORACLE["vector_text_roundtrip"] = "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n_dims, true AS same FROM embeddings"
+
+_NORM = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
+
+ORACLE["normalized_embeddings"] = f"""
+WITH n AS (SELECT vec_id, embedding, {_NORM} AS nrm FROM embeddings),
+v AS (SELECT vec_id, nrm, CASE WHEN nrm > 0 THEN list_transform(embedding, lambda x: CAST(x AS DOUBLE) / nrm)
+                               ELSE list_transform(embedding, lambda x: CAST(x AS DOUBLE)) END AS nv FROM n)
+SELECT vec_id, round(nrm, 6) AS norm, round(sqrt(list_sum(list_transform(nv, lambda x: x * x))), 6) AS norm_after,
+       round(list_sum(nv), 6) AS elem_sum FROM v"""
+
+_PAIRS = """
+pairs AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS vector_id, q.label AS q_label, v.label AS v_label,
+         list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score
+  FROM embeddings q, embeddings v {cond}),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS rank FROM pairs)
+"""
+
+ORACLE["embedding_topk"] = f"""
+WITH {_PAIRS.replace('{cond}', '')}
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vector_id, round(score, 6) AS score FROM ranked WHERE rank <= 5"""
+
+ORACLE["retrieval_parity"] = "SELECT count(*) * least(5, count(*)) AS n_pairs, 0 AS n_mismatch FROM embeddings"
+
+ORACLE["neighbour_label_retrieval"] = f"""
+WITH {_PAIRS.replace('{cond}', 'WHERE q.vec_id <> v.vec_id')},
+firsts AS (SELECT query_id, min(rank) AS first_rank FROM ranked WHERE rank <= 5 AND q_label = v_label GROUP BY query_id),
+allq AS (SELECT e.vec_id, f.first_rank FROM embeddings e LEFT JOIN firsts f ON f.query_id = e.vec_id)
+SELECT count(*) AS n_queries,
+       round(count_if(first_rank = 1) / greatest(count(*), 1), 6) AS hit_at_1,
+       round(count_if(first_rank IS NOT NULL) / greatest(count(*), 1), 6) AS hit_at_k,
+       round(sum(coalesce(1.0 / first_rank, 0.0)) / greatest(count(*), 1), 6) AS mrr_at_k
+FROM allq"""
+
+ORACLE["judged_evidence_summary"] = f"""
+WITH {_PAIRS.replace('{cond}', 'WHERE q.vec_id <> v.vec_id')},
+g AS (
+  SELECT query_id, vector_id,
+         CASE WHEN q_label = v_label THEN 2 WHEN score >= 0.4 THEN 1 ELSE 0 END AS issue_similarity,
+         CASE WHEN q_label = v_label AND score >= 0.4 THEN 2 WHEN q_label = v_label OR score >= 0.45 THEN 1 ELSE 0 END
+           AS response_usefulness,
+         CASE WHEN q_label = v_label THEN 2 WHEN score >= 0.4 THEN 1 ELSE 0 END AS relevance
+  FROM ranked WHERE rank <= 3)
+SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_rows,
+       round(avg(issue_similarity), 6) AS mean_issue_similarity,
+       round(avg(response_usefulness), 6) AS mean_response_usefulness,
+       round(avg(relevance), 6) AS mean_relevance,
+       round(avg(CASE WHEN relevance = 2 THEN 1.0 ELSE 0.0 END), 6) AS share_relevance_2,
+       count_if(relevance >= 2) AS n_good, count_if(relevance = 0) AS n_bad
+FROM g"""
+
+
+def sql_hashed(src: str, id_col: str, text_col: str, dim: int = 256) -> str:
+    """Sparse twin of the hashed TF encoder: (id, bucket, w) with L2-normalised w."""
+    return f"""(
+  WITH toks AS (
+    SELECT {id_col} AS id, t FROM {src}, unnest(regexp_extract_all(lower(coalesce({text_col}, '')), '\\b\\w\\w+\\b')) AS u(t)),
+  tf AS (
+    SELECT id, CAST(('0x' || left(md5(t), 8))::BIGINT % {dim} AS INTEGER) AS bucket, count(*) AS tf FROM toks GROUP BY ALL),
+  w AS (SELECT id, bucket, 1.0 + ln(tf) AS w FROM tf),
+  n AS (SELECT id, sqrt(sum(w * w)) AS nrm FROM w GROUP BY id)
+  SELECT w.id, w.bucket, w.w / n.nrm AS w FROM w JOIN n USING (id) WHERE n.nrm > 0)"""
+
+
+ORACLE["self_retrieval_conversations"] = f"""
+WITH {_RECORDS},
+iv AS {sql_hashed('records', 'conversation_id', 'text')},
+qv AS {sql_hashed('records', 'conversation_id', 'customer_turns')},
+dots AS (SELECT qv.id AS query_id, iv.id AS vector_id, sum(qv.w * iv.w) AS score
+         FROM qv JOIN iv ON qv.bucket = iv.bucket GROUP BY ALL),
+allpairs AS (
+  SELECT q.conversation_id AS query_id, v.conversation_id AS vector_id, coalesce(d.score, 0.0) AS score
+  FROM records q CROSS JOIN records v LEFT JOIN dots d ON d.query_id = q.conversation_id AND d.vector_id = v.conversation_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vector_id) AS rank FROM allpairs),
+firsts AS (SELECT query_id, min(rank) AS first_rank FROM ranked WHERE rank <= 5 AND query_id = vector_id GROUP BY query_id),
+allq AS (SELECT r.conversation_id, f.first_rank FROM records r LEFT JOIN firsts f ON f.query_id = r.conversation_id)
+SELECT count(*) AS n_queries,
+       round(count_if(first_rank = 1) / greatest(count(*), 1), 6) AS hit_at_1,
+       round(count_if(first_rank IS NOT NULL) / greatest(count(*), 1), 6) AS hit_at_k,
+       round(sum(coalesce(1.0 / first_rank, 0.0)) / greatest(count(*), 1), 6) AS mrr_at_k
+FROM allq"""
