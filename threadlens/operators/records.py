@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.rules import SUPPORT_AUTHOR
+from threadlens.functions.frames import keep_rows
 from threadlens.functions.text import clean_ascii
 from threadlens.operators.ordering import ordinal_within
 
@@ -37,9 +38,8 @@ def build_records(threaded: DataFrame, support_author: str = SUPPORT_AUTHOR, dro
     if drop_roles:
         m = m.filter(~F.lower(F.col("author_id")).isin([r.lower() for r in drop_roles]))
     m = (m.select("conversation_id", F.col("thread_order").cast("long").alias("ord"),
-                  F.lower(F.trim(F.col("author_id"))).alias("_author"), clean_ascii("text", unescape).alias("clean"))
-         .filter(F.length("clean") > 0)
-         .withColumn("is_support", F.col("_author") == support_author.lower()))
+                  F.lower(F.trim(F.col("author_id"))).alias("_author"), clean_ascii("text", unescape).alias("clean")))
+    m = keep_rows(m, F.length("clean") > 0).withColumn("is_support", F.col("_author") == support_author.lower())
     m = ordinal_within(m, "conversation_id", "ord", "pos", chunk_width)
     m = m.withColumn("_chunk", F.floor((F.col("pos") - 1) / F.lit(chunk_width)))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from threadlens.functions import text as tx
 from threadlens.functions.rules import TEST_RULES
 from threadlens.operators import escalation, records, threads
+from threadlens.functions.frames import keep_rows, spread
 from threadlens.sources.tables import messages_from_conversations, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +26,10 @@ def register(name: str):
 
 
 def _t(spark, sf_dir, name):
-    return table(spark, sf_dir, name)
+    """Driver table; text tables are spread over the cores when the file has
+    fewer row groups than there are cores (no-op for large inputs)."""
+    df = table(spark, sf_dir, name)
+    return spread(df) if name in ("documents", "pages", "conversations") else df
 
 
 # --- B: scalar text operators ----------------------------------------------
@@ -268,3 +272,82 @@ def q_probe_recall(spark, sf_dir):
                          ["query_id", "vector_id"], "left")
     return flagged.agg(F.count(F.lit(1)).alias("n_exact"), F.count_if(F.col("_hit")).alias("n_found")).select(
         "n_exact", "n_found", F.round(F.col("n_found") / F.col("n_exact"), 6).alias("recall_at_k"))
+
+
+# --- F: lexicon labels, sampler, review sheet ------------------------------------
+
+from threadlens.functions.rules import FINAL_INTENTS, TEST_LEXICON  # noqa: E402
+from threadlens.operators import lexicon, sampling  # noqa: E402
+
+
+def _labelled_docs(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    c = d.select("doc_id", "source", tx.clean_unicode("text", keep_apostrophe=True).alias("clean"))
+    c = keep_rows(c, tx.is_valid_text("clean"))
+    return lexicon.score_rows(c, "clean", TEST_LEXICON)
+
+
+@register("lexicon_labels")
+def q_lexicon_labels(spark, sf_dir):
+    """B3, B5, B11, F1, F2 over every valid document (test lexicon)."""
+    return _labelled_docs(spark, sf_dir).select("doc_id", "assigned_label", "top_label", "second_label",
+                                                "top_score", "margin")
+
+
+@register("label_distribution")
+def q_label_distribution(spark, sf_dir):
+    """F5."""
+    return lexicon.label_distribution(_labelled_docs(spark, sf_dir), TEST_LEXICON)
+
+
+@register("label_examples")
+def q_label_examples(spark, sf_dir):
+    """first 20 distinct (doc_id, source, clean text) rows per label."""
+    ex = lexicon.label_examples(_labelled_docs(spark, sf_dir), ["doc_id", "source", "clean"], 20)
+    return ex.select(F.col("assigned_label").alias("label"), "doc_id", "example_rank")
+
+
+def _sample(spark, sf_dir, n=25):
+    d = _t(spark, sf_dir, "documents")
+    c = d.select(F.col("doc_id").alias("tweet_id"), F.col("source").alias("conversation_id"), "text",
+                         tx.clean_unicode("text").alias("clean_text"))
+    c = keep_rows(c, tx.is_valid_text("clean_text"))
+    cand = lexicon.label_candidates(lexicon.score_rows(c.drop("text"), "clean_text", TEST_LEXICON))
+    picked = sampling.quota_sample(cand, n)
+    return picked.join(d.select(F.col("doc_id").alias("tweet_id"), "text"), "tweet_id")
+
+
+@register("quota_sample")
+def q_quota_sample(spark, sf_dir):
+    """25 review candidates per label, four passes."""
+    return _sample(spark, sf_dir).select("proposed_intent", "tweet_id", "pass", "sample_rank", "score", "margin",
+                                         "is_borderline")
+
+
+def _review(spark, sf_dir):
+    sheet = sampling.review_sheet(_sample(spark, sf_dir))
+    # a sheet already partly reviewed: some rows labelled, some marked ambiguous
+    k = F.col("tweet_id") % 5
+    sheet = sheet.withColumn("gold_intent", F.when(k == 0, F.lit("ambiguous"))
+                             .when(k == 1, F.lit(FINAL_INTENTS[0])).otherwise(F.col("gold_intent")))
+    lab = _t(spark, sf_dir, "labels")
+    names = F.array(*[F.lit(x) for x in FINAL_INTENTS + ["Ambiguous", "not_a_label"]])
+    answers = lab.select(F.col("doc_id").alias("tweet_id"),
+                         F.element_at(names, (F.col("doc_id") % 12 + 1).cast("int")).alias("label"),
+                         (F.col("quality") * 4 + F.col("toxic") * 3 - 1).alias("confidence"),
+                         F.concat(F.lit("q"), F.col("quality").cast("string")).alias("notes"))
+    return sampling.merge_reviews(sheet, answers)
+
+
+@register("review_merge")
+def q_review_merge(spark, sf_dir):
+    """F7 + F8 with reviewer answers derived from ``labels``."""
+    merged, _ = _review(spark, sf_dir)
+    return merged.select("tweet_id", "proposed_intent", "gold_intent", "label_confidence", "notes", "ambiguous")
+
+
+@register("review_rejects")
+def q_review_rejects(spark, sf_dir):
+    """F8 side output: answers refused (label outside the allowed set)."""
+    _, rejected = _review(spark, sf_dir)
+    return rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"))

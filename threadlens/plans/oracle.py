@@ -298,3 +298,145 @@ SELECT count(*) AS n_queries,
        round(count_if(first_rank IS NOT NULL) / greatest(count(*), 1), 6) AS hit_at_k,
        round(sum(coalesce(1.0 / first_rank, 0.0)) / greatest(count(*), 1), 6) AS mrr_at_k
 FROM allq"""
+
+# --- lexicon, sampler, review ---------------------------------------------------
+
+from threadlens.functions.rules import FINAL_INTENTS, TEST_LEXICON  # noqa: E402
+
+# Java's Unicode \w and \s written as RE2 classes.
+_W = r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}"
+_S = r"\s\x0B\x{85}\p{Z}"
+
+
+def sql_clean_unicode(x: str, keep_apostrophe: bool = False) -> str:
+    x = sql_unescape(f"coalesce({x}, '')")
+    x = f"regexp_replace({x}, {_q(r'https?://\S+|www\.\S+')}, ' ', 'g')"
+    x = f"regexp_replace({x}, '@[A-Za-z0-9_]+', ' ', 'g')"
+    keep = _W + _S + "#\\-" + ("'" if keep_apostrophe else "")
+    x = f"regexp_replace({x}, {_q('[^' + keep + ']+')}, ' ', 'g')"
+    x = f"regexp_replace({x}, {_q('[' + _S + ']+')}, ' ', 'g')"
+    return f"trim({x}, ' ')"
+
+
+def sql_valid(x: str) -> str:
+    return (f"(length(trim({x}, ' ')) >= 3 AND "
+            f"length(regexp_replace(trim({x}, ' '), {_q('[^' + _W + ']+')}, '', 'g')) >= 3)")
+
+
+def sql_lexicon_scores(x: str, lex=TEST_LEXICON) -> str:
+    """Wide: one score column per label (s0, s1, ...)."""
+    cols = []
+    for i, (_, kws) in enumerate(lex.labels):
+        terms = " + ".join(f"CAST(contains(lower({x}), {_q(k.lower())}) AS INTEGER)" for k in dict.fromkeys(kws))
+        cols.append(f"({terms}) AS s{i}")
+    return ", ".join(cols)
+
+
+def sql_ranked(lex=TEST_LEXICON) -> str:
+    """Sorted list of (score, -ord, label) structs, best first."""
+    items = ", ".join(f"{{'score': s{i}, 'neg_ord': -{i}, 'label': {_q(lab)}}}" for i, (lab, _) in enumerate(lex.labels))
+    return f"list_reverse(list_sort([{items}]))"
+
+
+_LABELLED = f"""
+docs AS (
+  SELECT doc_id, source, {sql_clean_unicode('text', True)} AS clean FROM documents),
+valid AS (SELECT * FROM docs WHERE {sql_valid('clean')}),
+scored AS (SELECT doc_id, source, clean, {sql_ranked()} AS r FROM (SELECT *, {sql_lexicon_scores('clean')} FROM valid)),
+labelled AS (
+  SELECT doc_id, source, clean, r[1].label AS top_label, r[1].score AS top_score, r[2].label AS second_label,
+         r[1].score - r[2].score AS margin,
+         CASE WHEN r[1].score > 0 THEN r[1].label ELSE {_q(TEST_LEXICON.default_label)} END AS assigned_label
+  FROM scored)
+"""
+
+ORACLE["lexicon_labels"] = f"""
+WITH {_LABELLED}
+SELECT doc_id, assigned_label, top_label, second_label, top_score, margin FROM labelled"""
+
+_SPINE = " UNION ALL ".join(f"SELECT {_q(lab)} AS label, {i} AS label_ord" for i, lab in enumerate(TEST_LEXICON.names))
+
+ORACLE["label_distribution"] = f"""
+WITH {_LABELLED}, spine AS ({_SPINE})
+SELECT s.label, s.label_ord, coalesce(c.n, 0) AS n_rows
+FROM spine s LEFT JOIN (SELECT assigned_label, count(*) AS n FROM labelled GROUP BY 1) c ON c.assigned_label = s.label"""
+
+ORACLE["label_examples"] = f"""
+WITH {_LABELLED},
+d AS (SELECT DISTINCT assigned_label, doc_id, source, clean FROM labelled),
+r AS (SELECT assigned_label AS label, doc_id,
+             row_number() OVER (PARTITION BY assigned_label ORDER BY doc_id, source, clean) AS example_rank FROM d)
+SELECT label, doc_id, CAST(example_rank AS INTEGER) AS example_rank FROM r WHERE example_rank <= 20"""
+
+_SAMPLE = f"""
+sdocs AS (
+  SELECT doc_id AS tweet_id, source AS conversation_id, text, {sql_clean_unicode('text')} AS clean_text FROM documents),
+svalid AS (SELECT * FROM sdocs WHERE {sql_valid('clean_text')}),
+sscored AS (SELECT *, {sql_ranked()} AS r FROM (SELECT *, {sql_lexicon_scores('clean_text')} FROM svalid)),
+cand AS (
+  SELECT tweet_id, conversation_id, text, e.label AS proposed_intent, e.score AS score,
+         r[1].score - r[2].score AS margin,
+         (r[1].score = e.score AND r[2].score >= e.score - 1) AS is_borderline
+  FROM sscored, unnest(r) AS u(e) WHERE e.score > 0),
+cls AS (
+  SELECT *, (score >= 2 AND margin >= 2) AS is_clear, (score >= 1 AND margin <= 1) AS is_border FROM cand),
+p1 AS (
+  SELECT proposed_intent, tweet_id, 1 AS pass FROM (
+    SELECT *, row_number() OVER (PARTITION BY proposed_intent, conversation_id ORDER BY score DESC, margin, tweet_id) AS rn
+    FROM cls WHERE is_clear) WHERE rn = 1 OR conversation_id IS NULL),
+p2 AS (SELECT proposed_intent, tweet_id, 2 AS pass FROM cls WHERE is_border),
+used AS (SELECT DISTINCT proposed_intent, conversation_id FROM cls WHERE (is_clear OR is_border) AND conversation_id IS NOT NULL),
+rest AS (
+  SELECT c.* FROM cls c WHERE NOT c.is_clear AND NOT c.is_border
+    AND NOT EXISTS (SELECT 1 FROM used u WHERE u.proposed_intent = c.proposed_intent AND u.conversation_id = c.conversation_id)),
+p3 AS (
+  SELECT proposed_intent, tweet_id, 3 AS pass FROM (
+    SELECT *, row_number() OVER (PARTITION BY proposed_intent, conversation_id ORDER BY score DESC, margin, tweet_id) AS rn
+    FROM rest) WHERE rn = 1 OR conversation_id IS NULL),
+passes AS (SELECT proposed_intent, tweet_id, min(pass) AS pass FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) GROUP BY ALL),
+tagged AS (
+  SELECT c.*, coalesce(p.pass, 4) AS pass FROM cls c LEFT JOIN passes p USING (proposed_intent, tweet_id)),
+sample AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY proposed_intent ORDER BY pass, score DESC, margin, tweet_id) AS sample_rank
+                 FROM tagged) WHERE sample_rank <= 25)
+"""
+
+ORACLE["quota_sample"] = f"""
+WITH {_SAMPLE}
+SELECT proposed_intent, tweet_id, pass, CAST(sample_rank AS INTEGER) AS sample_rank, score, margin, is_borderline FROM sample"""
+
+_NAMES = "[" + ", ".join(_q(x) for x in FINAL_INTENTS + ["Ambiguous", "not_a_label"]) + "]"
+
+_REVIEW = f"""
+sheet AS (
+  SELECT tweet_id, conversation_id, text, proposed_intent,
+         CASE WHEN tweet_id % 5 = 0 THEN 'ambiguous' WHEN tweet_id % 5 = 1 THEN {_q(FINAL_INTENTS[0])} END AS gold_intent,
+         CAST(NULL AS INTEGER) AS label_confidence, CAST(NULL AS VARCHAR) AS notes, false AS ambiguous
+  FROM sample),
+answers AS (
+  SELECT doc_id AS tweet_id, trim({_NAMES}[doc_id % 12 + 1]) AS a_label,
+         CAST(quality * 4 + toxic * 3 - 1 AS VARCHAR) AS a_conf, 'q' || CAST(quality AS VARCHAR) AS a_notes
+  FROM labels),
+j AS (
+  SELECT s.*, a.a_label, a.a_conf, a.a_notes,
+         (s.gold_intent IS NOT NULL AND trim(s.gold_intent) <> '' AND trim(s.gold_intent) <> 'ambiguous') AS done,
+         (lower(a.a_label) = 'ambiguous' OR a.a_label IN ({', '.join(_q(x) for x in FINAL_INTENTS)})) AS valid_label
+  FROM sheet s LEFT JOIN answers a USING (tweet_id))
+"""
+
+ORACLE["review_merge"] = f"""
+WITH {_SAMPLE}, {_REVIEW},
+m AS (SELECT *, (NOT done AND a_label IS NOT NULL AND valid_label) AS take,
+             CASE WHEN TRY_CAST(a_conf AS INTEGER) BETWEEN 1 AND 5 THEN TRY_CAST(a_conf AS INTEGER) ELSE 3 END AS conf
+      FROM j)
+SELECT tweet_id, proposed_intent,
+       CASE WHEN take THEN CASE WHEN lower(a_label) = 'ambiguous' THEN 'ambiguous' ELSE a_label END ELSE gold_intent END AS gold_intent,
+       CASE WHEN take THEN conf ELSE label_confidence END AS label_confidence,
+       CASE WHEN take THEN coalesce(a_notes, '') ELSE notes END AS notes,
+       CASE WHEN take THEN lower(a_label) = 'ambiguous' ELSE ambiguous END AS ambiguous
+FROM m"""
+
+ORACLE["review_rejects"] = f"""
+WITH {_SAMPLE}, {_REVIEW}
+SELECT 'label not allowed' AS reason, count(*) AS n_rows FROM j
+WHERE NOT done AND a_label IS NOT NULL AND NOT valid_label HAVING count(*) > 0"""
