@@ -13,6 +13,7 @@ from threadlens.functions import text as tx
 from threadlens.functions.rules import TEST_RULES
 from threadlens.operators import escalation, records, threads
 from threadlens.functions.frames import keep_rows, spread
+from threadlens.session import cut_lineage
 from threadlens.sources.tables import messages_from_conversations, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -351,3 +352,94 @@ def q_review_rejects(spark, sf_dir):
     """F8 side output: answers refused (label outside the allowed set)."""
     _, rejected = _review(spark, sf_dir)
     return rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# --- G: features, splits, classifiers, metrics ------------------------------------
+
+from threadlens.operators import classify, tfidf  # noqa: E402
+
+EMB_LABELS = list(range(10))
+
+
+@register("tfidf_doc_summary")
+def q_tfidf_doc_summary(spark, sf_dir):
+    """G2 over every document's B1-cleaned text: per document the number of
+    terms, the sum of weights and the heaviest term (ties by term)."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", tx.clean_ascii("text").alias("clean"))
+    w = tfidf.tfidf(d, "doc_id", "clean")
+    return w.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 6).alias("weight_sum"),
+        F.min_by("term", F.struct((-F.col("weight")).alias("nw"), F.col("term").alias("t"))).alias("top_term"))
+
+
+def _emb_split(spark, sf_dir):
+    return sampling.stratified_split(_emb(spark, sf_dir), "label", "vec_id")
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    """G1."""
+    return _emb_split(spark, sf_dir).select("vec_id", "label", "split")
+
+
+@register("kfold_assignment")
+def q_kfold_assignment(spark, sf_dir):
+    """G10 fold assignment."""
+    return sampling.kfold(_emb(spark, sf_dir), "label", "vec_id", 5).select("vec_id", "label", "fold")
+
+
+def _centroid_pairs(spark, sf_dir):
+    sp = _emb_split(spark, sf_dir)
+    train, test = sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
+    cents = classify.centroid_model(train, "label", "embedding").withColumn("cid", F.col("label").cast("long"))
+    pred = classify.predict_nearest(test, "vec_id", "embedding", cents)
+    return test.select("vec_id", F.col("label").cast("long").alias("y_true")).join(
+        pred.select("vec_id", F.col("predicted").alias("y_pred")), "vec_id"), train, test
+
+
+@register("centroid_class_f1")
+def q_centroid_class_f1(spark, sf_dir):
+    """G5 + G7: nearest-centroid classifier, per-class F1 on the test split."""
+    pairs, _, _ = _centroid_pairs(spark, sf_dir)
+    return classify.class_metrics(pairs, EMB_LABELS)
+
+
+@register("intent_eval_summary")
+def q_intent_eval_summary(spark, sf_dir):
+    """G4 + G5 + G7: majority baseline and nearest centroid on the test split."""
+    pairs, train, test = _centroid_pairs(spark, sf_dir)
+    maj = classify.majority_label(train, "label", "vec_id")
+    maj_pairs = (test.select(F.col("label").cast("long").alias("y_true"), F.lit(1).alias("_k"))
+                 .join(maj.select(F.col("majority_label").cast("long").alias("y_pred"), F.lit(1).alias("_k")), "_k"))
+    return (classify.summary_metrics(maj_pairs, EMB_LABELS).withColumn("model", F.lit("majority"))
+            .unionByName(classify.summary_metrics(pairs, EMB_LABELS).withColumn("model", F.lit("centroid"))))
+
+
+@register("kfold_centroid_metrics")
+def q_kfold_centroid_metrics(spark, sf_dir):
+    """5-fold nearest-centroid metrics per fold."""
+    return classify.fold_metrics(_emb(spark, sf_dir), "vec_id", "label", "embedding", 5, EMB_LABELS)
+
+
+def _weak_docs(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", tx.clean_ascii("text").alias("clean"))
+    d = keep_rows(d, F.length("clean") > 0)
+    return lexicon.score_rows(d, "clean", TEST_LEXICON).select("doc_id", "clean", "assigned_label")
+
+
+@register("linear_intent_eval")
+def q_linear_intent_eval(spark, sf_dir):
+    """G3 + G7 + G8: one-vs-rest logistic regression on hashed TF-IDF features,
+    trained on the weak labels of the train split, scored on the test split
+    (rows-only check: solver parity is not testable)."""
+    # the solver makes many passes: materialise the labelled split once
+    docs = cut_lineage(sampling.stratified_split(cut_lineage(_weak_docs(spark, sf_dir)), "assigned_label",
+                                                 "doc_id"))
+    train = docs.filter(F.col("split") == "train")
+    test = docs.filter((F.col("split") == "test") & (F.col("assigned_label") != "ambiguous"))
+    feats = classify.hashed_features(train, "clean", 1 << 16)
+    train_x = cut_lineage(feats.transform(train).select("doc_id", "assigned_label", "features"))
+    model, labels = classify.fit_linear(train_x, "features", "assigned_label", max_iter=50)
+    scored = classify.score_linear(model, labels, feats.transform(test), "features")
+    pairs = scored.select(F.col("assigned_label").alias("y_true"), F.col("intent").alias("y_pred"))
+    return classify.summary_metrics(pairs, list(TEST_LEXICON.names))

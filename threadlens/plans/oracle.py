@@ -440,3 +440,105 @@ ORACLE["review_rejects"] = f"""
 WITH {_SAMPLE}, {_REVIEW}
 SELECT 'label not allowed' AS reason, count(*) AS n_rows FROM j
 WHERE NOT done AND a_label IS NOT NULL AND NOT valid_label HAVING count(*) > 0"""
+
+# --- features, splits, classifiers ----------------------------------------------------
+
+ORACLE["tfidf_doc_summary"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower({sql_clean_ascii('text')}), '\\b\\w\\w+\\b') AS t FROM documents),
+terms AS (
+  SELECT doc_id, x AS term FROM d, unnest(t) AS u(x)
+  UNION ALL
+  SELECT doc_id, t[i] || ' ' || t[i + 1] FROM d, range(1, len(t)) AS r(i)),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1) AS w
+      FROM tf JOIN df USING (term)),
+n AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w)
+SELECT doc_id, count(*) AS n_terms, round(sum(weight), 6) AS weight_sum, arg_min(term, (-weight, term)) AS top_term
+FROM n GROUP BY doc_id"""
+
+_SPLIT = """
+sp AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42-' || CAST(vec_id AS VARCHAR)), vec_id) AS pos,
+         count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+split AS (SELECT vec_id, label, embedding, CASE WHEN pos <= round(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM sp)
+"""
+
+ORACLE["stratified_split"] = f"WITH {_SPLIT} SELECT vec_id, label, split FROM split"
+
+ORACLE["kfold_assignment"] = """
+SELECT vec_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42-' || CAST(vec_id AS VARCHAR)), vec_id) - 1) % 5 AS INTEGER) AS fold
+FROM embeddings"""
+
+_NORMED = ("list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, "
+           "lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))))")
+
+_CENTROID = f"""
+tr AS (SELECT vec_id, label, {_NORMED} AS v FROM split WHERE split = 'train'),
+cd AS (SELECT label, i, avg(v[i]) AS x FROM tr, range(1, 65) AS r(i) GROUP BY ALL),
+cent AS (SELECT label, list(x ORDER BY i) AS c FROM cd GROUP BY label),
+te AS (SELECT vec_id, label FROM split WHERE split = 'test'),
+scores AS (
+  SELECT s.vec_id, s.label AS y_true, c.label AS y_pred,
+         list_cosine_similarity(CAST(s.embedding AS DOUBLE[]), c.c) AS sc
+  FROM split s, cent c WHERE s.split = 'test'),
+pairs AS (SELECT vec_id, y_true, arg_max(y_pred, (sc, -y_pred)) AS y_pred FROM scores GROUP BY vec_id, y_true)
+"""
+
+_LAB_SPINE = "SELECT CAST(x AS BIGINT) AS label FROM range(0, 10) AS r(x)"
+
+
+def _class_metrics(pairs: str) -> str:
+    return f"""
+SELECT s.label, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn,
+       round(coalesce(coalesce(tp, 0) / nullif(coalesce(tp, 0) + coalesce(fp, 0), 0), 0), 6) AS precision,
+       round(coalesce(coalesce(tp, 0) / nullif(coalesce(tp, 0) + coalesce(fn, 0), 0), 0), 6) AS recall,
+       round(coalesce(2.0 * coalesce(tp, 0) / nullif(2 * coalesce(tp, 0) + coalesce(fp, 0) + coalesce(fn, 0), 0), 0), 6) AS f1
+FROM ({_LAB_SPINE}) s
+LEFT JOIN (SELECT y_true AS label, count(*) AS tp FROM {pairs} WHERE y_true = y_pred GROUP BY 1) a USING (label)
+LEFT JOIN (SELECT y_pred AS label, count(*) AS fp FROM {pairs} WHERE y_true <> y_pred GROUP BY 1) b USING (label)
+LEFT JOIN (SELECT y_true AS label, count(*) AS fn FROM {pairs} WHERE y_true <> y_pred GROUP BY 1) c USING (label)"""
+
+
+ORACLE["centroid_class_f1"] = f"WITH {_SPLIT}, {_CENTROID} {_class_metrics('pairs')}"
+
+ORACLE["intent_eval_summary"] = f"""
+WITH {_SPLIT}, {_CENTROID},
+cnt AS (SELECT label, count(*) AS n, min(vec_id) AS fp FROM split WHERE split = 'train' GROUP BY label),
+maj AS (SELECT arg_max(label, (n, -fp)) AS m FROM cnt),
+mpairs AS (SELECT CAST(label AS BIGINT) AS y_true, CAST((SELECT m FROM maj) AS BIGINT) AS y_pred FROM te),
+cm_maj AS ({_class_metrics('mpairs')}),
+cm_cen AS ({_class_metrics('pairs')})
+SELECT count(*) AS n, round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+       (SELECT round(avg(f1), 6) FROM cm_maj) AS macro_f1, 'majority' AS model FROM mpairs
+UNION ALL
+SELECT count(*), round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 6),
+       (SELECT round(avg(f1), 6) FROM cm_cen), 'centroid' FROM pairs"""
+
+ORACLE["kfold_centroid_metrics"] = f"""
+WITH f AS (
+  SELECT vec_id, label, embedding, {_NORMED} AS v,
+         (row_number() OVER (PARTITION BY label ORDER BY md5('42-' || CAST(vec_id AS VARCHAR)), vec_id) - 1) % 5 AS fold
+  FROM embeddings),
+folds AS (SELECT DISTINCT fold FROM f),
+cd AS (
+  SELECT fo.fold, t.label, i, avg(t.v[i]) AS x
+  FROM folds fo JOIN f t ON t.fold <> fo.fold, range(1, 65) AS r(i) GROUP BY ALL),
+cent AS (SELECT fold, label, list(x ORDER BY i) AS c FROM cd GROUP BY fold, label),
+scores AS (
+  SELECT s.vec_id, s.fold, s.label AS y_true, c.label AS y_pred,
+         list_cosine_similarity(CAST(s.embedding AS DOUBLE[]), c.c) AS sc
+  FROM f s JOIN cent c ON c.fold = s.fold),
+pairs AS (SELECT vec_id, fold, CAST(y_true AS BIGINT) AS y_true, CAST(arg_max(y_pred, (sc, -y_pred)) AS BIGINT) AS y_pred
+          FROM scores GROUP BY vec_id, fold, y_true),
+spine AS (SELECT fo.fold, CAST(x AS BIGINT) AS label FROM folds fo, range(0, 10) AS r(x)),
+pc AS (
+  SELECT s.fold, s.label,
+         coalesce((SELECT count(*) FROM pairs p WHERE p.fold = s.fold AND p.y_true = s.label AND p.y_pred = s.label), 0) AS tp,
+         coalesce((SELECT count(*) FROM pairs p WHERE p.fold = s.fold AND p.y_pred = s.label AND p.y_true <> s.label), 0) AS fp,
+         coalesce((SELECT count(*) FROM pairs p WHERE p.fold = s.fold AND p.y_true = s.label AND p.y_pred <> s.label), 0) AS fn
+  FROM spine s),
+f1 AS (SELECT fold, coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM pc)
+SELECT p.fold AS fold, count(*) AS n, round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+       (SELECT round(avg(f1.f1), 6) FROM f1 WHERE f1.fold = p.fold) AS macro_f1
+FROM pairs p GROUP BY p.fold"""
