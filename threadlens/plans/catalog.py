@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as tx
@@ -443,3 +443,90 @@ def q_linear_intent_eval(spark, sf_dir):
     scored = classify.score_linear(model, labels, feats.transform(test), "features")
     pairs = scored.select(F.col("assigned_label").alias("y_true"), F.col("intent").alias("y_pred"))
     return classify.summary_metrics(pairs, list(TEST_LEXICON.names))
+
+
+# --- J: judge parsing and rating agreement --------------------------------------
+
+from threadlens.functions.rules import DIMENSIONS  # noqa: E402
+from threadlens.operators import ratings  # noqa: E402
+
+
+def _grade(key: Column) -> Column:
+    """A 0-2 grade derived from a string: first 4 hex digits of md5, mod 3."""
+    return F.pmod(F.conv(F.left(F.md5(key), F.lit(4)), 16, 10).cast("bigint"), F.lit(3)).cast("int")
+
+
+def _rated(spark, sf_dir):
+    """Human scores and raw judge responses derived from ``labels`` (one rated
+    reply per labelled document); the response format cycles through clean,
+    fenced, out-of-range, wrapped, broken, empty, quoted, fractional, partial
+    and array answers."""
+    lab = _t(spark, sf_dir, "labels")
+    did = F.col("doc_id").cast("string")
+    j = {d: _grade(F.concat(did, F.lit("-j-" + d))).cast("string") for d in DIMENSIONS}
+
+    def obj(vals, rationale=None):
+        parts = [F.lit('{')]
+        for i, d in enumerate(DIMENSIONS):
+            parts += [F.lit(('' if i == 0 else ', ') + f'"{d}": '), vals[d]]
+        rat = rationale if rationale is not None else F.concat(F.lit('"doc '), did, F.lit('"'))
+        parts += [F.lit(', "rationale": '), rat, F.lit('}')]
+        return F.concat(*parts)
+    quoted = {d: F.concat(F.lit('"'), j[d], F.lit('"')) for d in DIMENSIONS}
+    wild = dict(j, factual_grounding=F.lit("5"), helpfulness=F.lit("-1"))
+    frac = dict(j, factual_grounding=F.lit("1.7"))
+    k = F.col("doc_id") % 10
+    raw = (F.when(k == 0, obj(j))
+           .when(k == 1, F.concat(F.lit("```json\n"), obj(j), F.lit("\n```")))
+           .when(k == 2, obj(wild))
+           .when(k == 3, F.concat(F.lit("Here is my verdict: "), obj(j), F.lit(" Hope this helps.")))
+           .when(k == 4, F.concat(F.lit('{"factual_grounding": '), j["factual_grounding"], F.lit(', "helpfulness": '),
+                                  j["helpfulness"], F.lit(', "relevance": oops')))
+           .when(k == 5, F.lit(""))
+           .when(k == 6, obj(quoted))
+           .when(k == 7, obj(frac, F.lit("null")))
+           .when(k == 8, F.concat(F.lit('{"helpfulness": '), j["helpfulness"], F.lit("}")))
+           .otherwise(F.concat(F.lit("["), j["factual_grounding"], F.lit(", "), j["relevance"], F.lit("]"))))
+    notes = (F.when(F.col("doc_id") % 7 == 0, F.lit("Reply was TRUNCATED at the end"))
+             .when(F.col("doc_id") % 7 == 1, F.lit(None).cast("string"))
+             .otherwise(F.concat(F.lit("quality "), F.col("quality").cast("string"))))
+    human = {d: _grade(F.concat(did, F.lit("-h-" + d))).alias(d) for d in DIMENSIONS}
+    return lab.select("doc_id", *human.values(), raw.alias("raw_response"), notes.alias("notes"))
+
+
+def _judged(spark, sf_dir):
+    return ratings.add_diffs(ratings.parse_judge(_rated(spark, sf_dir)))
+
+
+@register("judge_parse")
+def q_judge_parse(spark, sf_dir):
+    """J6 + J7 over every rated reply."""
+    return _judged(spark, sf_dir).select("doc_id", *[f"judge_{d}" for d in DIMENSIONS], "judge_rationale")
+
+
+@register("rating_agreement")
+def q_rating_agreement(spark, sf_dir):
+    """J8 + J9 per dimension."""
+    return ratings.agreement(ratings.unpivot(_judged(spark, sf_dir), "doc_id"))
+
+
+@register("rating_confusion")
+def q_rating_confusion(spark, sf_dir):
+    """3x3 matrices, all cells."""
+    return ratings.confusion(ratings.unpivot(_judged(spark, sf_dir), "doc_id"))
+
+
+@register("disagreement_counts")
+def q_disagreement_counts(spark, sf_dir):
+    """J11 + J12 counts: truncation notes, divergent overall quality."""
+    j = _judged(spark, sf_dir)
+    return j.agg(F.count_if(F.lower(F.coalesce("notes", F.lit(""))).contains("truncat")).alias("n_truncated"),
+                 F.count_if(F.abs(F.col("diff_overall_quality")) >= 1).alias("n_divergent"))
+
+
+@register("divergent_rows")
+def q_divergent_rows(spark, sf_dir):
+    """The first 8 divergent rows by id (a top-n report)."""
+    j = _judged(spark, sf_dir)
+    return ratings.divergent_rows(j, "doc_id").select("doc_id", "overall_quality", "judge_overall_quality",
+                                                      "diff_overall_quality")

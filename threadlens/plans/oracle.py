@@ -542,3 +542,117 @@ f1 AS (SELECT fold, coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FR
 SELECT p.fold AS fold, count(*) AS n, round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
        (SELECT round(avg(f1.f1), 6) FROM f1 WHERE f1.fold = p.fold) AS macro_f1
 FROM pairs p GROUP BY p.fold"""
+
+# --- judge parsing and agreement --------------------------------------------------
+
+from threadlens.functions.rules import DIMENSION_DEFAULT, DIMENSIONS  # noqa: E402
+
+
+def _grade(key: str) -> str:
+    return f"CAST(('0x' || left(md5({key}), 4))::BIGINT % 3 AS INTEGER)"
+
+
+def _obj(vals: dict, rationale: str | None = None) -> str:
+    parts = ["'{'"]
+    for i, d in enumerate(DIMENSIONS):
+        parts += [_q(('' if i == 0 else ', ') + f'"{d}": '), vals[d]]
+    rat = rationale or """'"doc ' || did || '"'"""
+    parts += ["', \"rationale\": '", rat, "'}'"]
+    return "(" + " || ".join(parts) + ")"
+
+
+_J = {d: f"CAST({_grade(chr(100) + 'id || ' + _q('-j-' + d))} AS VARCHAR)" for d in DIMENSIONS}
+_QUOTED = {d: "'\"' || " + _J[d] + " || '\"'" for d in DIMENSIONS}
+_WILD = dict(_J, factual_grounding="'5'", helpfulness="'-1'")
+_FRAC = dict(_J, factual_grounding="'1.7'")
+
+_RATED = f"""
+lab AS (SELECT doc_id, quality, CAST(doc_id AS VARCHAR) AS did FROM labels),
+rated AS (
+  SELECT doc_id,
+         {', '.join(_grade("did || " + _q('-h-' + d)) + ' AS ' + d for d in DIMENSIONS)},
+         CASE doc_id % 10
+           WHEN 0 THEN {_obj(_J)}
+           WHEN 1 THEN '```json' || chr(10) || {_obj(_J)} || chr(10) || '```'
+           WHEN 2 THEN {_obj(_WILD)}
+           WHEN 3 THEN 'Here is my verdict: ' || {_obj(_J)} || ' Hope this helps.'
+           WHEN 4 THEN '{{"factual_grounding": ' || {_J['factual_grounding']} || ', "helpfulness": ' || {_J['helpfulness']} || ', "relevance": oops'
+           WHEN 5 THEN ''
+           WHEN 6 THEN {_obj(_QUOTED)}
+           WHEN 7 THEN {_obj(_FRAC, "'null'")}
+           WHEN 8 THEN '{{"helpfulness": ' || {_J['helpfulness']} || '}}'
+           ELSE '[' || {_J['factual_grounding']} || ', ' || {_J['relevance']} || ']' END AS raw_response,
+         CASE WHEN doc_id % 7 = 0 THEN 'Reply was TRUNCATED at the end' WHEN doc_id % 7 = 1 THEN NULL
+              ELSE 'quality ' || CAST(quality AS VARCHAR) END AS notes
+  FROM lab),
+c0 AS (SELECT *, regexp_replace(coalesce(raw_response, ''), '^\\s+|\\s+$', '', 'g') AS c1 FROM rated),
+c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(c1, '^```json\\s*', ''), '^```\\s*', ''), '\\s*```$', '') AS c FROM c0),
+s AS (
+  SELECT *, CASE WHEN json_valid(c) AND json_type(c) = 'OBJECT' THEN c
+                 WHEN json_valid(regexp_extract(c, '\\{{.*\\}}', 0, 's'))
+                      AND json_type(regexp_extract(c, '\\{{.*\\}}', 0, 's')) = 'OBJECT'
+                 THEN regexp_extract(c, '\\{{.*\\}}', 0, 's') END AS src
+  FROM c),
+judged AS (
+  SELECT doc_id, notes, {', '.join(DIMENSIONS)},
+         {{JUDGE_COLS}},
+         CASE WHEN src IS NULL THEN left(c, 200)
+              WHEN list_contains(json_keys(src), 'rationale') AND json_extract_string(src, '$.rationale') IS NULL THEN 'None'
+              ELSE regexp_replace(coalesce(json_extract_string(src, '$.rationale'), ''), '^\\s+|\\s+$', '', 'g') END
+           AS judge_rationale
+  FROM s)
+"""
+
+
+def _judge_col(d: str) -> str:
+    v = f"json_extract_string(src, '$.{d}')"
+    num = (f"CASE lower(trim({v})) WHEN 'true' THEN 1 WHEN 'false' THEN 0 "
+           f"ELSE TRY_CAST(trunc(TRY_CAST({v} AS DOUBLE)) AS BIGINT) END")
+    rx = f"regexp_extract(c, {_q(chr(34) + d + chr(34) + r'\s*:\s*(\d)')}, 1)"
+    dflt = DIMENSION_DEFAULT[d]
+    val = (f"CASE WHEN src IS NOT NULL THEN coalesce({num}, {dflt}) "
+           f"ELSE CASE WHEN {rx} <> '' THEN CAST({rx} AS INTEGER) ELSE {dflt} END END")
+    return f"CAST(greatest(0, least(2, {val})) AS INTEGER) AS judge_{d}"
+
+
+_RATED = _RATED.replace("{JUDGE_COLS}", ", ".join(_judge_col(d) for d in DIMENSIONS))
+
+ORACLE["judge_parse"] = f"WITH {_RATED} SELECT doc_id, {', '.join('judge_' + d for d in DIMENSIONS)}, judge_rationale FROM judged"
+
+_LONG = "long AS (" + " UNION ALL ".join(
+    f"SELECT doc_id AS row_id, '{d}' AS dimension, {d} AS human, judge_{d} AS judge FROM judged" for d in DIMENSIONS) + ")"
+
+_KAPPA_EXP = " + ".join(
+    f"(count_if(human = {i}) / n::DOUBLE) * (count_if(judge = {j}) / n::DOUBLE) * {(i - j) ** 2}"
+    for i in range(3) for j in range(3) if i != j)
+
+ORACLE["rating_agreement"] = f"""
+WITH {_RATED}, {_LONG},
+m AS (
+  SELECT dimension, count(*) AS n, avg(human::DOUBLE) AS mh, avg(judge::DOUBLE) AS mj,
+         avg(CASE WHEN human = judge THEN 1.0 ELSE 0.0 END) AS ex, avg(CASE WHEN abs(judge - human) <= 1 THEN 1.0 ELSE 0.0 END) AS adj,
+         avg(abs(judge - human)::DOUBLE) AS mae, avg(((judge - human) * (judge - human))::DOUBLE) AS msd,
+         CASE WHEN var_pop(human) > 0 AND var_pop(judge) > 0 THEN corr(human, judge) ELSE 0.0 END AS corr,
+         {_KAPPA_EXP.replace('n::DOUBLE', 'count(*)::DOUBLE')} AS expd
+  FROM long GROUP BY dimension)
+SELECT dimension, n, round(ex, 6) AS exact_agreement, round(adj, 6) AS adjacent_agreement, round(mae, 6) AS mae,
+       round(mj - mh, 6) AS bias, round(mh, 6) AS human_mean, round(mj, 6) AS judge_mean, round(corr, 6) AS correlation,
+       round(CASE WHEN expd > 0 THEN 1 - msd / expd WHEN msd = 0 THEN 1.0 ELSE 0.0 END, 6) AS quadratic_weighted_kappa
+FROM m"""
+
+ORACLE["rating_confusion"] = f"""
+WITH {_RATED}, {_LONG},
+spine AS (SELECT DISTINCT dimension, h.x AS human, j.x AS judge FROM long, range(0, 3) AS h(x), range(0, 3) AS j(x))
+SELECT s.dimension, CAST(s.human AS INTEGER) AS human, CAST(s.judge AS INTEGER) AS judge,
+       (SELECT count(*) FROM long l WHERE l.dimension = s.dimension AND l.human = s.human AND l.judge = s.judge) AS n
+FROM spine s"""
+
+ORACLE["disagreement_counts"] = f"""
+WITH {_RATED}
+SELECT count_if(contains(lower(coalesce(notes, '')), 'truncat')) AS n_truncated,
+       count_if(abs(judge_overall_quality - overall_quality) >= 1) AS n_divergent FROM judged"""
+
+ORACLE["divergent_rows"] = f"""
+WITH {_RATED}
+SELECT doc_id, overall_quality, judge_overall_quality, judge_overall_quality - overall_quality AS diff_overall_quality
+FROM judged WHERE abs(judge_overall_quality - overall_quality) >= 1 ORDER BY doc_id LIMIT 8"""
