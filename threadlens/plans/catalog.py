@@ -530,3 +530,50 @@ def q_divergent_rows(spark, sf_dir):
     j = _judged(spark, sf_dir)
     return ratings.divergent_rows(j, "doc_id").select("doc_id", "overall_quality", "judge_overall_quality",
                                                       "diff_overall_quality")
+
+
+# --- E7, G9, G11: overlap audits ---------------------------------------------------
+
+from threadlens.operators import audit  # noqa: E402
+
+
+@register("benchmark_overlap")
+def q_benchmark_overlap(spark, sf_dir):
+    """E7 + G11: benchmark items found in documents, as a whole document line
+    (exact mode) and as a substring of a document (contains mode)."""
+    b = _t(spark, sf_dir, "benchmark")
+    d = _t(spark, sf_dir, "documents")
+    lines = d.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    exact = audit.exact_overlap(b, lines, "item_id", "text", "doc_id", "line")
+    cont = audit.contains_overlap(b, d, "item_id", "text", "doc_id", "text")
+    return (audit.overlap_summary(b, exact, "item_id").withColumn("mode", F.lit("exact_line"))
+            .unionByName(audit.overlap_summary(b, cont, "item_id").withColumn("mode", F.lit("contains"))))
+
+
+def _doc_split(spark, sf_dir):
+    return sampling.stratified_split(cut_lineage(_weak_docs(spark, sf_dir)), "assigned_label", "doc_id")
+
+
+@register("document_text_overlap")
+def q_document_text_overlap(spark, sf_dir):
+    """G9 + G11: share of evaluation documents whose cleaned text also occurs
+    in the training split (exact duplicates leak)."""
+    sp = _doc_split(spark, sf_dir)
+    ev = audit.seen_flags(sp.filter(F.col("split") == "test"), sp.filter(F.col("split") == "train"), "clean")
+    return ev.agg(*classify.share_with_error(F.col("seen")))
+
+
+@register("unseen_majority_eval")
+def q_unseen_majority_eval(spark, sf_dir):
+    """G4 + G7 + G9: majority baseline on all evaluation rows and on the rows
+    whose text was never seen in training."""
+    sp = _doc_split(spark, sf_dir)
+    train = sp.filter(F.col("split") == "train")
+    ev = audit.seen_flags(sp.filter(F.col("split") == "test"), train, "clean")
+    maj = classify.majority_label(train, "assigned_label", "doc_id").withColumn("_k", F.lit(1))
+    pairs = (ev.withColumn("_k", F.lit(1)).join(maj, "_k")
+             .select("seen", F.col("assigned_label").alias("y_true"), F.col("majority_label").alias("y_pred")))
+    labs = list(TEST_LEXICON.names)
+    return (classify.summary_metrics(pairs, labs).withColumn("subset", F.lit("all"))
+            .unionByName(classify.summary_metrics(pairs.filter(~F.col("seen")), labs)
+                         .withColumn("subset", F.lit("unseen"))))

@@ -656,3 +656,68 @@ ORACLE["divergent_rows"] = f"""
 WITH {_RATED}
 SELECT doc_id, overall_quality, judge_overall_quality, judge_overall_quality - overall_quality AS diff_overall_quality
 FROM judged WHERE abs(judge_overall_quality - overall_quality) >= 1 ORDER BY doc_id LIMIT 8"""
+
+# --- overlap audits ------------------------------------------------------------------
+
+_NORM_TXT = "trim(regexp_replace(lower(coalesce({x}, '')), '\\s+', ' ', 'g'))"
+
+
+def _norm(x: str) -> str:
+    return _NORM_TXT.replace("{x}", x)
+
+
+def _share(flag: str) -> str:
+    return (f"count(*) AS n, round(avg(CASE WHEN {flag} THEN 1.0 ELSE 0.0 END), 6) AS share, "
+            f"round(sqrt(avg(CASE WHEN {flag} THEN 1.0 ELSE 0.0 END) * (1 - avg(CASE WHEN {flag} THEN 1.0 ELSE 0.0 END)) "
+            f"/ greatest(count(*), 1)), 6) AS std_error")
+
+
+ORACLE["benchmark_overlap"] = f"""
+WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+ex AS (SELECT DISTINCT b.item_id, l.doc_id FROM benchmark b JOIN lines l
+       ON {_norm('b.text')} = {_norm('l.line')} WHERE {_norm('b.text')} <> ''),
+co AS (SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d
+       ON length(coalesce(b.text, '')) > 0 AND contains(d.text, b.text)),
+fx AS (SELECT b.item_id, b.item_id IN (SELECT item_id FROM ex) AS f FROM benchmark b),
+fc AS (SELECT b.item_id, b.item_id IN (SELECT item_id FROM co) AS f FROM benchmark b)
+SELECT {_share('f')}, (SELECT count(DISTINCT doc_id) FROM ex) AS n_docs_touched, 'exact_line' AS mode FROM fx
+UNION ALL
+SELECT {_share('f')}, (SELECT count(DISTINCT doc_id) FROM co), 'contains' FROM fc"""
+
+_WEAK = f"""
+wd AS (SELECT doc_id, {sql_clean_ascii('text')} AS clean FROM documents),
+wv AS (SELECT * FROM wd WHERE length(clean) > 0),
+ws AS (SELECT doc_id, clean, {sql_ranked()} AS r FROM (SELECT *, {sql_lexicon_scores('clean')} FROM wv)),
+weak AS (SELECT doc_id, clean, CASE WHEN r[1].score > 0 THEN r[1].label ELSE {_q(TEST_LEXICON.default_label)} END AS assigned_label FROM ws),
+wp AS (SELECT *, row_number() OVER (PARTITION BY assigned_label ORDER BY md5('42-' || CAST(doc_id AS VARCHAR)), doc_id) AS pos,
+              count(*) OVER (PARTITION BY assigned_label) AS n FROM weak),
+dsplit AS (SELECT doc_id, clean, assigned_label, CASE WHEN pos <= round(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM wp),
+ev AS (SELECT e.*, {_norm('e.clean')} IN (SELECT {_norm('clean')} FROM dsplit WHERE split = 'train') AS seen
+       FROM dsplit e WHERE split = 'test')
+"""
+
+ORACLE["document_text_overlap"] = f"WITH {_WEAK} SELECT {_share('seen')} FROM ev"
+
+
+def _summary(pairs: str, labels) -> str:
+    spine = " UNION ALL ".join(f"SELECT {_q(x)} AS label" for x in labels)
+    return f"""(
+  SELECT (SELECT count(*) FROM {pairs}) AS n,
+         (SELECT round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 6) FROM {pairs}) AS accuracy,
+         round(avg(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)), 6) AS macro_f1
+  FROM (SELECT s.label,
+               (SELECT count(*) FROM {pairs} p WHERE p.y_true = s.label AND p.y_pred = s.label) AS tp,
+               (SELECT count(*) FROM {pairs} p WHERE p.y_pred = s.label AND p.y_true <> s.label) AS fp,
+               (SELECT count(*) FROM {pairs} p WHERE p.y_true = s.label AND p.y_pred <> s.label) AS fn
+        FROM ({spine}) s))"""
+
+
+ORACLE["unseen_majority_eval"] = f"""
+WITH {_WEAK},
+cnt AS (SELECT assigned_label, count(*) AS n, min(doc_id) AS fp FROM dsplit WHERE split = 'train' GROUP BY 1),
+maj AS (SELECT arg_max(assigned_label, (n, -fp)) AS m FROM cnt),
+pa AS (SELECT seen, assigned_label AS y_true, (SELECT m FROM maj) AS y_pred FROM ev),
+pu AS (SELECT * FROM pa WHERE NOT seen)
+SELECT *, 'all' AS subset FROM {_summary('pa', TEST_LEXICON.names)}
+UNION ALL
+SELECT *, 'unseen' FROM {_summary('pu', TEST_LEXICON.names)}"""
