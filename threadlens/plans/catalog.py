@@ -577,3 +577,193 @@ def q_unseen_majority_eval(spark, sf_dir):
     return (classify.summary_metrics(pairs, labs).withColumn("subset", F.lit("all"))
             .unionByName(classify.summary_metrics(pairs.filter(~F.col("seen")), labs)
                          .withColumn("subset", F.lit("unseen"))))
+
+
+# --- J1-J5, J13, E3: evidence, replies, prompts -----------------------------------
+
+from threadlens.operators import replies  # noqa: E402
+
+
+def _record_hits(spark, sf_dir, k=3):
+    """Every conversation asks with its customer turns; the index is every
+    other conversation's text (hashed vectors, exact top 3)."""
+    recs = _records(spark, sf_dir)
+    idx, qs = _conv_vectors(spark, sf_dir)
+    hits = retrieval.topk_cosine(qs, idx, k, query_id="conversation_id", vector_id="conversation_id",
+                                 exclude_self=True)
+    ev = replies.hit_evidence(hits, recs)
+    return recs, ev
+
+
+def _drafts(spark, sf_dir):
+    recs, ev = _record_hits(spark, sf_dir)
+    return recs, ev, replies.template_replies(ev, recs.withColumnRenamed("conversation_id", "query_id"))
+
+
+@register("template_replies")
+def q_template_replies(spark, sf_dir):
+    """J2 + E2 + B15: deterministic grounded reply per conversation query."""
+    _, _, d = _drafts(spark, sf_dir)
+    return d.select("query_id", tx.join_ids("evidence_ids").alias("evidence_ids"),
+                    F.round("top_score", 6).alias("top_score"), "reply")
+
+
+def _responses(spark, sf_dir):
+    """Model responses as a table, derived from assistant turns: some queries
+    answered by the first provider, some only by the second (the first blank),
+    some by the third, some by an unknown provider only."""
+    c = _t(spark, sf_dir, "conversations").filter(F.col("turn").isin(1, 3))
+    m = F.col("conv_id") % 4
+    t1 = F.col("turn") == 1
+    rows = [
+        c.filter((m == 0) & t1).select(F.col("conv_id").alias("query_id"), F.lit("groq").alias("provider"),
+                                       F.lit("groq-model").alias("model"), "text"),
+        c.filter((m == 1) & t1).select(F.col("conv_id").alias("query_id"), F.lit("groq").alias("provider"),
+                                       F.lit("groq-model").alias("model"), F.lit("   ").alias("text")),
+        c.filter((m == 1) & t1).select(F.col("conv_id").alias("query_id"), F.lit("gemini").alias("provider"),
+                                       F.lit("gemini-model").alias("model"), "text"),
+        c.filter((m == 2) & ~t1).select(F.col("conv_id").alias("query_id"), F.lit("openrouter").alias("provider"),
+                                        F.lit("router-model").alias("model"), "text"),
+        c.filter((m == 3) & t1).select(F.col("conv_id").alias("query_id"), F.lit("other").alias("provider"),
+                                       F.lit("other-model").alias("model"), "text"),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def _provenance(spark, sf_dir):
+    recs, ev, d = _drafts(spark, sf_dir)
+    chosen = replies.choose_reply(d, _responses(spark, sf_dir))
+    return recs, ev, chosen.withColumn("evidence_ids_text", tx.join_ids("evidence_ids"))
+
+
+@register("reply_provenance")
+def q_reply_provenance(spark, sf_dir):
+    """Response text of the first provider in order, else the template."""
+    _, _, p = _provenance(spark, sf_dir)
+    return p.select("query_id", "provider_used", "model_used", "remote_request_succeeded",
+                    F.length("generated_reply").alias("reply_chars"))
+
+
+@register("reply_batch_check")
+def q_reply_batch_check(spark, sf_dir):
+    """J4 totals."""
+    _, _, p = _provenance(spark, sf_dir)
+    return replies.batch_check(p)
+
+
+@register("reply_checks")
+def q_reply_checks(spark, sf_dir):
+    """J13 on every chosen reply: end punctuation (evidence list cut off),
+    forwarding promises, versions absent from the evidence, steps already tried."""
+    recs, ev, p = _provenance(spark, sf_dir)
+    evid = ev.groupBy("query_id").agg(F.concat_ws(" ", F.collect_list("support_turns")).alias("evidence"))
+    q = recs.select(F.col("conversation_id").alias("query_id"), F.col("customer_turns").alias("query"))
+    j = p.join(q, "query_id").join(evid, "query_id", "left")
+    c = replies.reply_checks(j, "generated_reply", "query", "evidence")
+    return c.select("query_id", "no_end_punctuation", "forward_commitment",
+                    F.size("unsupported_versions").alias("n_unsupported_versions"), "already_tried")
+
+
+def _evidence_rows(spark, sf_dir):
+    lab = _t(spark, sf_dir, "labels")
+    a = (F.col("doc_id") % 100).cast("string")
+    b = (F.col("doc_id") * 7 % 100).cast("string")
+    k = F.col("doc_id") % 4
+    cell = (F.when(k == 0, F.concat(a, F.lit("|"), b, F.lit("|99999")))
+            .when(k == 1, F.lit(""))
+            .when(k == 2, F.concat(F.lit("["), a, F.lit(", "), b, F.lit("]")))
+            .otherwise(F.lit("999998,999999")))
+    return lab.select(F.col("doc_id").alias("row_id"), cell.alias("evidence_ids"))
+
+
+@register("evidence_text")
+def q_evidence_text(spark, sf_dir):
+    """E3 + A7: evidence blocks for id-list cells, in index order."""
+    return replies.evidence_text(_evidence_rows(spark, sf_dir), "evidence_ids", _records(spark, sf_dir))
+
+
+@register("reply_prompts")
+def q_reply_prompts(spark, sf_dir):
+    """J1 + B14: grounded-reply prompt per conversation query (rows-only)."""
+    recs, ev = _record_hits(spark, sf_dir)
+    q = recs.select(F.col("conversation_id").alias("query_id"), F.col("customer_turns").alias("query_text"))
+    return replies.reply_prompt(ev, q)
+
+
+@register("judge_prompts")
+def q_judge_prompts(spark, sf_dir):
+    """J5 + E3 + E4: judge prompt per rated reply; rated rows and evidence are
+    zipped by explicit row id (rows-only)."""
+    ev = replies.evidence_text(_evidence_rows(spark, sf_dir), "evidence_ids", _records(spark, sf_dir))
+    rated = _rated(spark, sf_dir).select(F.col("doc_id").alias("row_id"), "raw_response")
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.left("text", F.lit(300)).alias("q"))
+    rows = rated.join(ev, "row_id").join(docs, "row_id", "left")
+    return replies.judge_prompt(rows, "q", "raw_response", "evidence_text").select("row_id", "judge_prompt")
+
+
+# --- K: triage, streams ---------------------------------------------------------
+
+from threadlens.plans import triage as triage_plan  # noqa: E402
+from threadlens.streaming import stream  # noqa: E402
+
+
+def _user_turns(df):
+    return (df.filter(F.col("role") == "user")
+            .select((F.col("conv_id") * 100 + F.col("turn")).alias("message_id"),
+                    tx.clean_ascii("text").alias("text")))
+
+
+@register("triage_turns")
+def q_triage_turns(spark, sf_dir):
+    """K1 on every user turn (B1-cleaned message): lexicon intent (test
+    lexicon), top 3 conversations, template reply, decision (test rules)."""
+    idx = triage_plan.index_side(_records(spark, sf_dir))
+    msgs = _user_turns(_t(spark, sf_dir, "conversations"))
+    out = triage_plan.triage(msgs, idx, 3, TEST_RULES, TEST_LEXICON)
+    return out.select("message_id", "intent", "intent_confidence", F.array_join("evidence_ids", "|").alias("evidence_ids"),
+                      F.round("top_score", 6).alias("top_score"), F.col("escalation.raw_decision").alias("decision"),
+                      F.col("escalation.risk_level").alias("risk_level"),
+                      F.array_join("escalation.signals_triggered", ",").alias("signals"), "reply")
+
+
+CONV_SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+@register("triage_stream")
+def q_triage_stream(spark, sf_dir):
+    """K2: the same triage over a stream of arriving turns (foreachBatch;
+    rows-only check, equals K1 on the same rows)."""
+    idx = triage_plan.index_side(_records(spark, sf_dir))
+    out = stream.run_triage_stream(
+        spark, sf_dir, CONV_SCHEMA, idx, k=3, rules=TEST_RULES, lex=TEST_LEXICON,
+        prepare=lambda s: _user_turns(s), glob="conversations.parquet")
+    return spark.read.parquet(out).select(
+        "message_id", "intent", F.col("escalation.raw_decision").alias("decision"))
+
+
+EVENTS_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+
+def _event_decision():
+    """Stand-in decision per event (errors and large values go to a human)."""
+    return F.when((F.col("event_type") == "error") | (F.col("value") >= 50), F.lit("human_escalation")) \
+        .otherwise(F.lit("auto_handle"))
+
+
+@register("decision_rate_hourly")
+def q_decision_rate_hourly(spark, sf_dir):
+    """K3 batch form: decisions per hour window."""
+    r = stream.decision_rate(_t(spark, sf_dir, "events"), _event_decision())
+    return r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                    F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("window_end"), "decision", "n_rows")
+
+
+@register("decision_rate_stream")
+def q_decision_rate_stream(spark, sf_dir):
+    """K3 streaming form: watermark 10 minutes, append mode (closed windows
+    only; rows-only check)."""
+    out = stream.run_decision_monitor(spark, sf_dir, EVENTS_SCHEMA, _event_decision(), glob="events.parquet")
+    return spark.read.parquet(out)

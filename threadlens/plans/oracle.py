@@ -721,3 +721,155 @@ pu AS (SELECT * FROM pa WHERE NOT seen)
 SELECT *, 'all' AS subset FROM {_summary('pa', TEST_LEXICON.names)}
 UNION ALL
 SELECT *, 'unseen' FROM {_summary('pu', TEST_LEXICON.names)}"""
+
+# --- replies, evidence, triage -------------------------------------------------------
+
+from threadlens.functions.rules import NOT_FOUND_EVIDENCE, REPLY_CLOSE, REPLY_LEAD  # noqa: E402
+
+_NL = "chr(10)"
+
+
+def _reply_expr(ranked: str, qid: str) -> str:
+    """Template reply per query from a ranked-hits CTE (query_id, rank, vector_id, support_turns)."""
+    line = f"'- Conversation ' || CAST(vector_id AS VARCHAR) || ': ' || rtrim(left({sql_clean_ascii('support_turns')}, 180))"
+    return f"""(
+  SELECT {qid} AS query_id,
+         string_agg(CAST(vector_id AS VARCHAR), '|' ORDER BY rank) AS evidence_ids,
+         max(score) AS top_score,
+         {_q(REPLY_LEAD)} || {_NL} || string_agg({line}, {_NL} ORDER BY rank) || {_NL} || {_q(REPLY_CLOSE)} || {_NL}
+           || 'Evidence IDs: ' || string_agg(CAST(vector_id AS VARCHAR), ', ' ORDER BY rank) AS reply
+  FROM {ranked} GROUP BY {qid})"""
+
+
+_DRAFTS = f"""
+{_RECORDS},
+iv AS {sql_hashed('records', 'conversation_id', 'text')},
+qv AS {sql_hashed('records', 'conversation_id', 'customer_turns')},
+dots AS (SELECT qv.id AS query_id, iv.id AS vector_id, sum(qv.w * iv.w) AS score FROM qv JOIN iv ON qv.bucket = iv.bucket GROUP BY ALL),
+allpairs AS (
+  SELECT q.conversation_id AS query_id, v.conversation_id AS vector_id, coalesce(d.score, 0.0) AS score, v.support_turns
+  FROM records q CROSS JOIN records v LEFT JOIN dots d ON d.query_id = q.conversation_id AND d.vector_id = v.conversation_id
+  WHERE q.conversation_id <> v.conversation_id),
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vector_id) AS rank
+                          FROM allpairs) WHERE rank <= 3),
+drafts AS {_reply_expr('ranked', 'query_id')}
+"""
+
+ORACLE["template_replies"] = f"WITH {_DRAFTS} SELECT query_id, evidence_ids, round(top_score, 6) AS top_score, reply FROM drafts"
+
+_RESP = """
+resp AS (
+  SELECT conv_id AS query_id, 'groq' AS provider, 'groq-model' AS model, text FROM conversations WHERE conv_id % 4 = 0 AND turn = 1
+  UNION ALL SELECT conv_id, 'groq', 'groq-model', '   ' FROM conversations WHERE conv_id % 4 = 1 AND turn = 1
+  UNION ALL SELECT conv_id, 'gemini', 'gemini-model', text FROM conversations WHERE conv_id % 4 = 1 AND turn = 1
+  UNION ALL SELECT conv_id, 'openrouter', 'router-model', text FROM conversations WHERE conv_id % 4 = 2 AND turn = 3
+  UNION ALL SELECT conv_id, 'other', 'other-model', text FROM conversations WHERE conv_id % 4 = 3 AND turn = 1),
+ok AS (
+  SELECT query_id, arg_min({'provider': provider, 'model': model, 'text': text},
+                           CASE provider WHEN 'groq' THEN 1 WHEN 'gemini' THEN 2 WHEN 'openrouter' THEN 3 WHEN 'openai' THEN 4 END) AS pick
+  FROM resp WHERE provider IN ('groq', 'gemini', 'openrouter', 'openai') AND length(trim(coalesce(text, ''))) > 0
+  GROUP BY query_id),
+chosen AS (
+  SELECT d.query_id, d.evidence_ids AS evidence_ids_text,
+         CASE WHEN o.pick IS NOT NULL THEN o.pick.text ELSE d.reply END AS generated_reply,
+         CASE WHEN o.pick IS NOT NULL THEN o.pick.provider ELSE 'deterministic_fallback' END AS provider_used,
+         CASE WHEN o.pick IS NOT NULL THEN o.pick.model ELSE 'deterministic_template' END AS model_used,
+         o.pick IS NOT NULL AS remote_request_succeeded
+  FROM drafts d LEFT JOIN ok o USING (query_id))
+"""
+
+ORACLE["reply_provenance"] = f"""
+WITH {_DRAFTS}, {_RESP}
+SELECT query_id, provider_used, model_used, remote_request_succeeded, length(generated_reply) AS reply_chars FROM chosen"""
+
+ORACLE["reply_batch_check"] = f"""
+WITH {_DRAFTS}, {_RESP}
+SELECT count(*) AS n_rows, count_if(provider_used = 'groq') AS n_groq, count_if(provider_used = 'gemini') AS n_gemini,
+       count_if(provider_used = 'openai') AS n_openai, count_if(provider_used = 'openrouter') AS n_openrouter,
+       count_if(provider_used = 'deterministic_fallback') AS n_deterministic_fallback,
+       count_if(provider_used NOT IN ('groq', 'gemini', 'openai', 'openrouter', 'deterministic_fallback') OR provider_used IS NULL)
+         AS n_other_provider,
+       count_if(length(trim(coalesce(evidence_ids_text, ''))) > 0) AS n_with_evidence,
+       count_if(length(trim(coalesce(generated_reply, ''))) > 0) AS n_nonblank_reply,
+       count_if(remote_request_succeeded) AS n_remote
+FROM chosen"""
+
+_VER = r"\d+(?:\.\d+)+"
+
+ORACLE["reply_checks"] = f"""
+WITH {_DRAFTS}, {_RESP},
+evid AS (SELECT query_id, string_agg(support_turns, ' ') AS evidence FROM ranked GROUP BY query_id),
+j AS (SELECT c.*, r.customer_turns AS query, e.evidence,
+             rtrim(regexp_replace(coalesce(c.generated_reply, ''), '\\n\\s*Evidence( IDs)?:.*$', '', 's')) AS body
+      FROM chosen c JOIN records r ON r.conversation_id = c.query_id LEFT JOIN evid e USING (query_id))
+SELECT query_id, NOT regexp_matches(body, '[.!?]\\z') AS no_end_punctuation,
+       regexp_matches(lower(coalesce(generated_reply, '')), {_q(keyword_regex(['we will forward', 'our team is working on']))}) AS forward_commitment,
+       len(list_filter(list_distinct(regexp_extract_all(coalesce(generated_reply, ''), {_q(_VER)})),
+                       lambda x: NOT list_contains(regexp_extract_all(coalesce(evidence, ''), {_q(_VER)}), x))) AS n_unsupported_versions,
+       regexp_matches(lower(coalesce(query, '')), {_q(keyword_regex(['already tried', 'did reset', 'restarted']))}) AS already_tried
+FROM j"""
+
+ORACLE["evidence_text"] = f"""
+WITH {_RECORDS},
+rows AS (
+  SELECT doc_id AS row_id,
+         CASE doc_id % 4 WHEN 0 THEN CAST(doc_id % 100 AS VARCHAR) || '|' || CAST(doc_id * 7 % 100 AS VARCHAR) || '|99999'
+                         WHEN 1 THEN ''
+                         WHEN 2 THEN '[' || CAST(doc_id % 100 AS VARCHAR) || ', ' || CAST(doc_id * 7 % 100 AS VARCHAR) || ']'
+                         ELSE '999998,999999' END AS cell
+  FROM labels),
+ids AS (SELECT row_id, regexp_extract_all(cell, '\\d+') AS raw FROM rows),
+m AS (
+  SELECT i.row_id, string_agg('Conversation ID ' || CAST(r.conversation_id AS VARCHAR) || ':' || chr(10) || '  Customer: '
+           || left(trim(r.customer_turns), 200) || chr(10) || '  Support: ' || left(trim(r.support_turns), 200),
+           chr(10) || chr(10) ORDER BY r.conversation_id) AS blocks
+  FROM (SELECT DISTINCT row_id, CAST(x AS BIGINT) AS id FROM ids, unnest(raw) AS u(x)) i
+  JOIN records r ON r.conversation_id = i.id GROUP BY i.row_id)
+SELECT ids.row_id,
+       CASE WHEN len(raw) = 0 THEN {_q(NOT_FOUND_EVIDENCE)}
+            WHEN m.blocks IS NULL THEN 'Evidence IDs cited: ' || array_to_string(raw, ', ') || ' (details not found in index)'
+            ELSE m.blocks END AS evidence_text
+FROM ids LEFT JOIN m USING (row_id)"""
+
+_TRIAGE = f"""
+{_RECORDS},
+msgs0 AS (SELECT conv_id * 100 + turn AS message_id, {sql_clean_ascii('text')} AS text FROM conversations WHERE role = 'user'),
+msgs AS (SELECT message_id, text, {sql_clean_ascii('text')} AS clean FROM msgs0),
+mscored AS (SELECT *, {sql_tokens('clean')} AS n_words, {sql_ranked()} AS r,
+                  {' + '.join(f's{i}' for i in range(len(TEST_LEXICON.labels)))} AS total
+            FROM (SELECT *, {sql_lexicon_scores('clean')} FROM msgs)),
+cls AS (
+  SELECT message_id, text,
+         CASE WHEN n_words < 2 THEN 'ambiguous' WHEN r[1].score > 0 THEN r[1].label ELSE {_q(TEST_LEXICON.default_label)} END AS intent,
+         CAST(CASE WHEN n_words < 2 THEN 0.0 WHEN total > 0 THEN round(r[1].score / total, 4) ELSE 0.0 END AS DOUBLE) AS confidence
+  FROM mscored),
+iv AS {sql_hashed('records', 'conversation_id', 'text')},
+qv AS {sql_hashed('msgs', 'message_id', 'clean')},
+dots AS (SELECT qv.id AS query_id, iv.id AS vector_id, sum(qv.w * iv.w) AS score FROM qv JOIN iv ON qv.bucket = iv.bucket GROUP BY ALL),
+allpairs AS (
+  SELECT q.message_id AS query_id, v.conversation_id AS vector_id, coalesce(d.score, 0.0) AS score, v.support_turns
+  FROM msgs q CROSS JOIN records v LEFT JOIN dots d ON d.query_id = q.message_id AND d.vector_id = v.conversation_id),
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vector_id) AS rank
+                          FROM allpairs) WHERE rank <= 3),
+drafts AS {_reply_expr('ranked', 'query_id')},
+base AS (
+  SELECT c.message_id, c.text, c.intent, c.confidence, d.evidence_ids, coalesce(d.top_score, 0.0) AS top_score,
+         d.reply AS draft_reply
+  FROM cls c JOIN drafts d ON d.query_id = c.message_id),
+decided AS (SELECT *, {sql_escalation(TEST_RULES)} FROM base)
+"""
+
+ORACLE["triage_turns"] = f"""
+WITH {_TRIAGE}
+SELECT message_id, intent, confidence AS intent_confidence, evidence_ids, round(top_score, 6) AS top_score,
+       decision, risk_level, signals, draft_reply AS reply
+FROM decided"""
+
+ORACLE["decision_rate_hourly"] = """
+WITH e AS (
+  SELECT time_bucket(INTERVAL '1 hour', ts) AS ws,
+         CASE WHEN event_type = 'error' OR value >= 50 THEN 'human_escalation' ELSE 'auto_handle' END AS decision
+  FROM events)
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(ws + INTERVAL '1 hour', '%Y-%m-%d %H:%M:%S') AS window_end,
+       decision, count(*) AS n_rows
+FROM e GROUP BY ws, decision"""
