@@ -767,3 +767,32 @@ def q_decision_rate_stream(spark, sf_dir):
     only; rows-only check)."""
     out = stream.run_decision_monitor(spark, sf_dir, EVENTS_SCHEMA, _event_decision(), glob="events.parquet")
     return spark.read.parquet(out)
+
+
+# --- A6, A7, B7, B8: cell parsing and coercion on the star schema ----------------
+
+def _id_cells(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    m = F.col("o_orderkey") % 7
+    cell = (F.when(m == 0, F.concat(k, F.lit(","), c))
+            .when(m == 1, F.concat(F.lit("["), k, F.lit("]")))
+            .when(m == 2, F.lit("nan"))
+            .when(m == 3, F.concat(k, F.lit(",x,"), c))
+            .when(m == 4, F.concat(F.lit('"'), k, F.lit('", "'), c, F.lit('"')))
+            .when(m == 5, F.lit(None).cast("string"))
+            .otherwise(F.concat(F.lit(" "), k, F.lit(" | "), c, F.lit(" "))))
+    raw_id = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("#"), k)).otherwise(k)
+    flag = F.when(F.col("o_orderkey") % 3 == 0, F.lit(" TRUE ")).otherwise(F.col("o_orderstatus"))
+    return o.select("o_orderkey", cell.alias("cell"), raw_id.alias("raw_id"), flag.alias("flag"))
+
+
+@register("id_list_parse")
+def q_id_list_parse(spark, sf_dir):
+    """A6 (response-id lists), A7 (every integer), B7 (bad id -> null), B8
+    (normalised flag) over every order."""
+    c = _id_cells(spark, sf_dir)
+    ids, ints = tx.parse_id_list("cell"), tx.extract_ints("cell")
+    return c.select("o_orderkey", F.size(ids).alias("n_ids"), F.array_join(ids, ",").alias("ids"),
+                    F.array_join(ints, ",").alias("ints"), F.col("raw_id").try_cast("bigint").alias("coerced_id"),
+                    (tx.norm_flag("flag") == "true").alias("inbound"))

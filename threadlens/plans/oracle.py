@@ -873,3 +873,28 @@ WITH e AS (
 SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(ws + INTERVAL '1 hour', '%Y-%m-%d %H:%M:%S') AS window_end,
        decision, count(*) AS n_rows
 FROM e GROUP BY ws, decision"""
+
+# --- cell parsing ----------------------------------------------------------------
+
+ORACLE["id_list_parse"] = """
+WITH c AS (
+  SELECT o_orderkey,
+         CASE o_orderkey % 7 WHEN 0 THEN CAST(o_orderkey AS VARCHAR) || ',' || CAST(o_custkey AS VARCHAR)
+              WHEN 1 THEN '[' || CAST(o_orderkey AS VARCHAR) || ']' WHEN 2 THEN 'nan'
+              WHEN 3 THEN CAST(o_orderkey AS VARCHAR) || ',x,' || CAST(o_custkey AS VARCHAR)
+              WHEN 4 THEN '"' || CAST(o_orderkey AS VARCHAR) || '", "' || CAST(o_custkey AS VARCHAR) || '"'
+              WHEN 5 THEN NULL
+              ELSE ' ' || CAST(o_orderkey AS VARCHAR) || ' | ' || CAST(o_custkey AS VARCHAR) || ' ' END AS cell,
+         CASE WHEN o_orderkey % 5 = 0 THEN '#' || CAST(o_orderkey AS VARCHAR) ELSE CAST(o_orderkey AS VARCHAR) END AS raw_id,
+         CASE WHEN o_orderkey % 3 = 0 THEN ' TRUE ' ELSE o_orderstatus END AS flag
+  FROM orders),
+p AS (
+  SELECT *, CASE WHEN cell IS NULL OR trim(cell) IN ('nan', '', 'None', 'NaN') THEN [] ELSE
+              list_transform(list_filter(list_transform(string_split(regexp_replace(trim(cell), '["\\[\\]]', '', 'g'), ','),
+                                                        lambda t: trim(t)), lambda t: regexp_full_match(t, '[0-9]+')),
+                             lambda t: CAST(t AS BIGINT)) END AS ids,
+         list_transform(regexp_extract_all(coalesce(cell, ''), '\\d+'), lambda t: CAST(t AS BIGINT)) AS ints
+  FROM c)
+SELECT o_orderkey, CAST(len(ids) AS INTEGER) AS n_ids, array_to_string(ids, ',') AS ids, array_to_string(ints, ',') AS ints,
+       TRY_CAST(raw_id AS BIGINT) AS coerced_id, lower(trim(flag)) = 'true' AS inbound
+FROM p"""
