@@ -141,10 +141,15 @@ class Lexicon:
 
 DEFAULT_LEXICON = Lexicon()
 
-# Test lexicon of short letter groups with unequal frequencies: ties, margins
-# and all four sampler passes occur on the driver's prose.
+# Test lexicon: one label per language of the driver's prose (so labels,
+# margins and ties are meaningful), three rare labels and two that never hit
+# (the distribution must still show them). On sf0.01 documents every sampler
+# pass occurs (measured: 93 / 31 / 45 / 17 rows in passes 1-4).
 TEST_LEXICON = Lexicon(labels=(
-    ("lab_th", ("th", "the")), ("lab_on", ("on", "ion", "ong")), ("lab_er", ("er", "ere")),
-    ("lab_ei", ("ei", "ein")), ("lab_qu", ("qu", "que")), ("lab_an", ("an", "and")),
-    ("lab_sch", ("sch",)), ("lab_ou", ("ou", "our")), ("lab_xy", ("xyz",)), ("lab_default", ("zzq",)),
+    ("lab_en", ("th", "the", "ing", "and", "ed ", "wh")),
+    ("lab_fr", ("eau", "ment", "aux", "oi", "\u00ea", "\u00e8")),
+    ("lab_de", ("sch", "ein", "ung", "ich", "\u00fc", "\u00e4")),
+    ("lab_es", ("ci\u00f3n", "ado", "los", "\u00f1", "\u00eda", "del")),
+    ("lab_trash", ("trash", "idiot")), ("lab_rare2", ("nding", "\u00e9ment")), ("lab_rare3", ("queque", "enlich")),
+    ("lab_mail", ("mail",)), ("lab_xy", ("xyz",)), ("lab_default", ("zzq",)),
 ))
