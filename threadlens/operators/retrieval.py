@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.functions.vectors import as_double
+from threadlens.session import cut_lineage
 
 HIT_SCHEMA = "query_id long, vector_id long, score double"
 
@@ -106,8 +107,11 @@ def topk_cosine(queries: DataFrame, index: DataFrame, k: int, query_id: str = "q
     to probe mode (H8): a query is scored only against vectors of its cells.
     """
     spark = queries.sparkSession
-    q = queries.select(F.col(query_id).cast("long").alias("qid"), as_double(query_vec).alias("qv"))
-    v = index.select(F.col(vector_id).cast("long").alias("vid"), as_double(index_vec).alias("iv"))
+    # Both sides are materialised once in the checkpoint folder: the grid
+    # needs their sizes, and the encoder upstream (text cleaning, hashing,
+    # joins) must not run again for the scoring pass.
+    q = cut_lineage(queries.select(F.col(query_id).cast("long").alias("qid"), as_double(query_vec).alias("qv")))
+    v = cut_lineage(index.select(F.col(vector_id).cast("long").alias("vid"), as_double(index_vec).alias("iv")))
     n_q, n_v = q.count(), v.count()
     par = spark.sparkContext.defaultParallelism
     blocks = max(_grid(n_q, block_rows), min(par, _grid(n_q, 256)))
@@ -136,8 +140,10 @@ def topk_cosine(queries: DataFrame, index: DataFrame, k: int, query_id: str = "q
     hits = (qx.groupBy("qb", "shard").cogroup(vx.groupBy("qb", "shard"))
             .applyInPandas(_cell_topk(k, exclude_self, metric), HIT_SCHEMA))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vector_id").asc())
-    return (hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vector_id", "score"))
+    # k rows per query: small, and read by several consumers (evidence, replies,
+    # decisions), so the Python scoring pass runs once.
+    return cut_lineage(hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+                       .select("query_id", F.col("rank").cast("int").alias("rank"), "vector_id", "score"))
 
 
 def lookup_hits(hits: DataFrame, records: DataFrame, id_col: str = "conversation_id") -> DataFrame:

@@ -242,8 +242,13 @@ def q_judged_evidence_summary(spark, sf_dir):
     return retrieval.graded_summary(judged_hits(spark, sf_dir))
 
 
-def _conv_vectors(spark, sf_dir, dim=256):
-    recs = _records(spark, sf_dir)
+def _records_once(spark, sf_dir):
+    """Records materialised once for queries that read them several times."""
+    return cut_lineage(_records(spark, sf_dir))
+
+
+def _conv_vectors(spark, sf_dir, dim=256, recs=None):
+    recs = recs if recs is not None else _records_once(spark, sf_dir)
     idx = vx.hashed_tf_vectors(recs.select("conversation_id", "text"), "conversation_id", "text", dim)
     qs = vx.hashed_tf_vectors(recs.select("conversation_id", "customer_turns"), "conversation_id",
                               "customer_turns", dim)
@@ -366,10 +371,8 @@ def q_tfidf_doc_summary(spark, sf_dir):
     """G2 over every document's B1-cleaned text: per document the number of
     terms, the sum of weights and the heaviest term (ties by term)."""
     d = _t(spark, sf_dir, "documents").select("doc_id", tx.clean_ascii("text").alias("clean"))
-    w = tfidf.tfidf(d, "doc_id", "clean")
-    return w.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 6).alias("weight_sum"),
-        F.min_by("term", F.struct((-F.col("weight")).alias("nw"), F.col("term").alias("t"))).alias("top_term"))
+    s = tfidf.doc_summary(d, "doc_id", "clean")
+    return s.select("doc_id", "n_terms", F.round("weight_sum", 6).alias("weight_sum"), "top_term")
 
 
 def _emb_split(spark, sf_dir):
@@ -587,8 +590,8 @@ from threadlens.operators import replies  # noqa: E402
 def _record_hits(spark, sf_dir, k=3):
     """Every conversation asks with its customer turns; the index is every
     other conversation's text (hashed vectors, exact top 3)."""
-    recs = _records(spark, sf_dir)
-    idx, qs = _conv_vectors(spark, sf_dir)
+    recs = _records_once(spark, sf_dir)
+    idx, qs = _conv_vectors(spark, sf_dir, recs=recs)
     hits = retrieval.topk_cosine(qs, idx, k, query_id="conversation_id", vector_id="conversation_id",
                                  exclude_self=True)
     ev = replies.hit_evidence(hits, recs)

@@ -16,6 +16,7 @@ from threadlens.functions.text import clean_ascii, format_fixed, format_percent,
 from threadlens.functions.vectors import hashed_tf_vectors
 from threadlens.operators import escalation, lexicon, replies
 from threadlens.operators.retrieval import topk_cosine
+from threadlens.session import cut_lineage
 
 VECTOR_DIM = 256
 
@@ -34,8 +35,10 @@ def lexicon_intent(msgs: DataFrame, lex: Lexicon = DEFAULT_LEXICON, ambiguous: s
 
 
 def index_side(records: DataFrame, dim: int = VECTOR_DIM) -> DataFrame:
-    """Records with their hashed text vectors (the retrieval index)."""
-    return hashed_tf_vectors(records, "conversation_id", "text", dim)
+    """Records with their hashed text vectors (the retrieval index),
+    materialised once: it is static and every batch reads it."""
+    recs = cut_lineage(records)
+    return cut_lineage(recs.join(hashed_tf_vectors(recs, "conversation_id", "text", dim), "conversation_id"))
 
 
 def triage(messages: DataFrame, indexed_records: DataFrame, k: int = 3, rules: EscalationRules = DEFAULT_RULES,
@@ -43,7 +46,8 @@ def triage(messages: DataFrame, indexed_records: DataFrame, k: int = 3, rules: E
            classify=lexicon_intent, dim: int = VECTOR_DIM, n_index: int | None = None) -> DataFrame:
     msgs = messages.select(F.col(message_id).alias("query_id"), F.col(text).alias("query"))
     msgs = msgs.withColumn("clean", clean_ascii("query")).withColumn("n_words", token_count("clean"))
-    msgs = classify(msgs, lex)
+    # read by the encoder, the reply and the decision: clean and classify once
+    msgs = cut_lineage(classify(msgs, lex))
     qv = hashed_tf_vectors(msgs.select("query_id", "clean"), "query_id", "clean", dim)
     hits = topk_cosine(qv, indexed_records, k, query_id="query_id", vector_id="conversation_id")
     ev = replies.hit_evidence(hits, indexed_records.drop("embedding"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.plans.triage import triage
-from threadlens.session import cut_lineage, ensure_checkpoint_dir
+from threadlens.session import ensure_checkpoint_dir
 
 
 def run_triage_stream(spark: SparkSession, source_dir: str, schema: str, indexed_records: DataFrame,
@@ -31,7 +31,7 @@ def run_triage_stream(spark: SparkSession, source_dir: str, schema: str, indexed
     if not 1 <= k <= 10:
         raise ValueError("k must be between 1 and 10")
     base = out_dir or os.path.join(ensure_checkpoint_dir(spark), f"triage-{uuid.uuid4().hex}")
-    index = cut_lineage(indexed_records)
+    index = indexed_records          # ``index_side`` output: already materialised
     n_index = index.count()
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
     if glob:
