@@ -799,3 +799,41 @@ def q_id_list_parse(spark, sf_dir):
     return c.select("o_orderkey", F.size(ids).alias("n_ids"), F.array_join(ids, ",").alias("ids"),
                     F.array_join(ints, ",").alias("ints"), F.col("raw_id").try_cast("bigint").alias("coerced_id"),
                     (tx.norm_flag("flag") == "true").alias("inbound"))
+
+
+# --- J4 per-group counts, G5 linear on vectors, G6 scoring ------------------------
+
+@register("reply_model_counts")
+def q_reply_model_counts(spark, sf_dir):
+    """Rows per (provider, model) of the reply batch."""
+    _, _, p = _provenance(spark, sf_dir)
+    return p.groupBy("provider_used", "model_used").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("vector_lr_eval")
+def q_vector_lr_eval(spark, sf_dir):
+    """One-vs-rest logistic regression on the embedding vectors, same split
+    as the centroid model (rows-only check)."""
+    from pyspark.ml.functions import array_to_vector
+    sp = cut_lineage(_emb_split(spark, sf_dir).withColumn("features", array_to_vector("embedding"))
+                     .withColumn("label_s", F.col("label").cast("string")))
+    train, test = sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
+    model, labels = classify.fit_linear(train, "features", "label_s", max_iter=50)
+    scored = classify.score_linear(model, labels, test, "features")
+    pairs = scored.select(F.col("label_s").alias("y_true"), F.col("intent").alias("y_pred"))
+    return classify.summary_metrics(pairs, [str(x) for x in EMB_LABELS])
+
+
+@register("intent_scores")
+def q_intent_scores(spark, sf_dir):
+    """The weak-label classifier scores every conversation turn: intent,
+    confidence (4 dp), probability map; turns under 2 tokens are 'ambiguous'
+    (rows-only check)."""
+    docs = cut_lineage(_weak_docs(spark, sf_dir))
+    feats = classify.hashed_features(docs, "clean", 1 << 16)
+    train_x = cut_lineage(feats.transform(docs).select("assigned_label", "features"))
+    model, labels = classify.fit_linear(train_x, "features", "assigned_label", max_iter=30)
+    turns = _t(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", tx.clean_ascii("text").alias("clean")).withColumn("n_tokens", tx.token_count("clean"))
+    scored = classify.score_linear(model, labels, feats.transform(turns), "features", n_tokens="n_tokens")
+    return scored.select("conv_id", "turn", "intent", "confidence", F.size("probabilities").alias("n_classes"))

@@ -898,3 +898,7 @@ p AS (
 SELECT o_orderkey, CAST(len(ids) AS INTEGER) AS n_ids, array_to_string(ids, ',') AS ids, array_to_string(ints, ',') AS ints,
        TRY_CAST(raw_id AS BIGINT) AS coerced_id, lower(trim(flag)) = 'true' AS inbound
 FROM p"""
+
+ORACLE["reply_model_counts"] = f"""
+WITH {_DRAFTS}, {_RESP}
+SELECT provider_used, model_used, count(*) AS n_rows FROM chosen GROUP BY ALL"""
