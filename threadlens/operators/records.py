@@ -15,6 +15,7 @@ from threadlens.functions.rules import SUPPORT_AUTHOR
 from threadlens.functions.frames import keep_rows
 from threadlens.functions.text import clean_ascii
 from threadlens.operators.ordering import ordinal_within
+from threadlens.session import cut_lineage
 
 RECORD_COLUMNS = ["conversation_id", "text", "transcript", "customer_turns", "support_turns",
                   "n_messages", "n_customer_turns", "n_support_turns"]
@@ -40,6 +41,9 @@ def build_records(threaded: DataFrame, support_author: str = SUPPORT_AUTHOR, dro
     m = (m.select("conversation_id", F.col("thread_order").cast("long").alias("ord"),
                   F.lower(F.trim(F.col("author_id"))).alias("_author"), clean_ascii("text", unescape).alias("clean")))
     m = keep_rows(m, F.length("clean") > 0).withColumn("is_support", F.col("_author") == support_author.lower())
+    # the cleaned turns feed two branches (chunk sizes and numbering):
+    # materialise them instead of running the regex chain twice
+    m = cut_lineage(m.drop("_author"))
     m = ordinal_within(m, "conversation_id", "ord", "pos", chunk_width)
     m = m.withColumn("_chunk", F.floor((F.col("pos") - 1) / F.lit(chunk_width)))
 
