@@ -63,24 +63,26 @@ def resolve_roots(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
     resolves nothing, no unresolved message can ever reach a chain end (the
     closest one would have resolved), so the rest are cycle members.
     """
-    spark = nodes.sparkSession
     nodes = cut_lineage(nodes.select("id", "parent"))
     done_parts = [nodes.filter(F.col("parent").isNull()).select("id", F.col("id").alias("root"))]
     active = nodes.filter(F.col("parent").isNotNull()).select("id", F.col("parent").alias("ptr"))
-    active = cut_lineage(active)
+    n_active = active.count()
     for _ in range(max_rounds):
-        if active.isEmpty():
+        if n_active == 0:
             break
-        done_all = done_parts[0] if len(done_parts) == 1 else spark_union(done_parts)
-        state = (done_all.select("id", F.lit(None).cast("bigint").alias("s_ptr"), F.col("root").alias("s_root"))
+        state = (spark_union(done_parts).select("id", F.lit(None).cast("bigint").alias("s_ptr"),
+                                                F.col("root").alias("s_root"))
                  .unionByName(active.select("id", F.col("ptr").alias("s_ptr"),
                                             F.lit(None).cast("bigint").alias("s_root"))))
-        j = active.join(state.withColumnRenamed("id", "ptr"), "ptr")
-        newly = cut_lineage(j.filter(F.col("s_root").isNotNull()).select("id", F.col("s_root").alias("root")))
-        if newly.isEmpty():
+        # one materialised jump per round; both outcomes are read from it
+        j = cut_lineage(active.join(state.withColumnRenamed("id", "ptr"), "ptr").select("id", "s_ptr", "s_root"))
+        counts = j.agg(F.count_if(F.col("s_root").isNotNull()).alias("resolved"),
+                       F.count_if(F.col("s_root").isNull()).alias("open")).first()
+        if counts["resolved"] == 0:
             break
-        done_parts.append(newly)
-        active = cut_lineage(j.filter(F.col("s_root").isNull()).select("id", F.col("s_ptr").alias("ptr")))
+        done_parts.append(j.filter(F.col("s_root").isNotNull()).select("id", F.col("s_root").alias("root")))
+        active = j.filter(F.col("s_root").isNull()).select("id", F.col("s_ptr").alias("ptr"))
+        n_active = counts["open"]
     cyclic = active.select("id", F.col("id").alias("root"))
     return spark_union(done_parts + [cyclic])
 
@@ -92,15 +94,23 @@ def spark_union(parts):
     return out
 
 
-def thread_edges(messages: DataFrame, nodes: DataFrame) -> DataFrame:
+def thread_edges(messages: DataFrame, nodes: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Directed edges (src, dst) between present messages: listed
-    responses, parent pointers and reverse parent pointers."""
+    responses, parent pointers and reverse parent pointers.
+
+    With ``roots`` given, parent edges are kept only for messages on or leading
+    into a cycle (root = own id, parent present): every other parent edge joins
+    two messages of the same tree, which the unit graph does not need."""
     ids = nodes.select(F.col("id").alias("dst"))
     listed = (messages.filter(F.col("tweet_id").isNotNull())
               .select(F.col("tweet_id").alias("src"),
                       F.explode(parse_id_list("response_tweet_id")).alias("dst"))
               .join(ids, "dst", "left_semi"))
-    up = nodes.filter(F.col("parent").isNotNull()).select(F.col("id").alias("src"), F.col("parent").alias("dst"))
+    with_parent = nodes.filter(F.col("parent").isNotNull())
+    if roots is not None:
+        cyc = roots.filter(F.col("root") == F.col("id")).select("id")
+        with_parent = with_parent.join(cyc, "id", "left_semi")
+    up = with_parent.select(F.col("id").alias("src"), F.col("parent").alias("dst"))
     down = up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return listed.select("src", "dst").unionByName(up).unionByName(down).distinct()
 
@@ -131,7 +141,7 @@ def support_thread_ids(messages: DataFrame, support_author: str = SUPPORT_AUTHOR
     support account or mention one of ``handles`` (case-sensitive)."""
     nodes = nodes if nodes is not None else message_nodes(messages)
     roots = roots if roots is not None else resolve_roots(nodes)
-    edges = thread_edges(messages, nodes)
+    edges = thread_edges(messages, nodes, roots)
     unit = roots.select("id", F.col("root").alias("unit"))
     unit_edges = (edges.join(unit.withColumnRenamed("id", "src").withColumnRenamed("unit", "u_src"), "src")
                   .join(unit.withColumnRenamed("id", "dst").withColumnRenamed("unit", "u_dst"), "dst")

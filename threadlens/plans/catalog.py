@@ -837,3 +837,18 @@ def q_intent_scores(spark, sf_dir):
         "conv_id", "turn", tx.clean_ascii("text").alias("clean")).withColumn("n_tokens", tx.token_count("clean"))
     scored = classify.score_linear(model, labels, feats.transform(turns), "features", n_tokens="n_tokens")
     return scored.select("conv_id", "turn", "intent", "confidence", F.size("probabilities").alias("n_classes"))
+
+
+@register("first_records")
+def q_first_records(spark, sf_dir):
+    """The first 50 conversation records by id (a bounded corpus; the
+    limit is the feature)."""
+    return records.first_n_by_id(_records(spark, sf_dir), 50).select("conversation_id", "n_messages")
+
+
+@register("unescape_pages_full")
+def q_unescape_pages_full(spark, sf_dir):
+    """B4 through the standard library's full entity table (Arrow-batched);
+    on these pages it must equal the native fixed table."""
+    p = _t(spark, sf_dir, "pages")
+    return p.select("page_id", tx.unescape_html_full(F.coalesce("html", F.lit(""))).alias("text"))

@@ -902,3 +902,7 @@ FROM p"""
 ORACLE["reply_model_counts"] = f"""
 WITH {_DRAFTS}, {_RESP}
 SELECT provider_used, model_used, count(*) AS n_rows FROM chosen GROUP BY ALL"""
+
+ORACLE["first_records"] = f"WITH {_RECORDS} SELECT conversation_id, n_messages FROM records ORDER BY conversation_id LIMIT 50"
+
+ORACLE["unescape_pages_full"] = ORACLE["unescape_pages"]
