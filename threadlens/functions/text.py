@@ -38,10 +38,13 @@ AMP_RE = "&amp;?|&#38;"
 
 def unescape_html(col) -> Column:
     """B4, native path: decode the fixed entity table above with nested replaces."""
-    x = F.coalesce(_c(col).cast("string"), F.lit(""))
+    src = F.coalesce(_c(col).cast("string"), F.lit(""))
+    x = src
     for ent, ch in HTML_ENTITIES:
         x = F.replace(x, F.lit(ent), F.lit(ch))
-    return F.regexp_replace(x, AMP_RE, "&")
+    # text without '&' has nothing to decode: skip the chain (only the taken
+    # branch of a CASE is evaluated)
+    return F.when(src.contains("&"), F.regexp_replace(x, AMP_RE, "&")).otherwise(src)
 
 
 @F.pandas_udf(T.StringType())
