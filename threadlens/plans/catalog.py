@@ -702,7 +702,7 @@ def q_judge_prompts(spark, sf_dir):
     zipped by explicit row id (rows-only)."""
     ev = replies.evidence_text(_evidence_rows(spark, sf_dir), "evidence_ids", _records(spark, sf_dir))
     rated = _rated(spark, sf_dir).select(F.col("doc_id").alias("row_id"), "raw_response")
-    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.left("text", F.lit(300)).alias("q"))
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("q"))
     rows = rated.join(ev, "row_id").join(docs, "row_id", "left")
     return replies.judge_prompt(rows, "q", "raw_response", "evidence_text").select("row_id", "judge_prompt")
 
