@@ -50,6 +50,28 @@ def _normalize_rows(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+def _select_topk(sc: np.ndarray, ids: np.ndarray, vid: np.ndarray, kk: int):
+    """Per row of ``sc``: the kk best columns by (score desc, vector id asc),
+    vectorised: a row-wise partition finds each row's cut, one lexsort orders
+    the survivors (ties at the cut included), a rank-within-row keeps kk."""
+    n = sc.shape[1]
+    if kk < n:
+        cut = np.partition(sc, n - kk, axis=1)[:, n - kk]
+        mask = sc >= cut[:, None]
+    else:
+        mask = np.ones(sc.shape, dtype=bool)
+    mask &= np.isfinite(sc)
+    r, c = np.nonzero(mask)
+    order = np.lexsort((vid[c], -sc[r, c], r))
+    r, c = r[order], c[order]
+    if len(r) == 0:
+        return ids[:0], vid[:0], np.zeros(0)
+    start = np.r_[0, np.flatnonzero(np.diff(r)) + 1]
+    rank = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
+    keep = rank < kk
+    return ids[r[keep]], vid[c[keep]], sc[r[keep], c[keep]]
+
+
 def _cell_topk(k: int, exclude_self: bool, metric: str, pair_budget: int = 4_000_000):
     def fn(_key, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(v) == 0:
@@ -72,20 +94,10 @@ def _cell_topk(k: int, exclude_self: bool, metric: str, pair_budget: int = 4_000
             ids = qid[s:s + step]
             if exclude_self:
                 sc = np.where(ids[:, None] == vid[None, :], -np.inf, sc)
-            kk = min(k, len(vid))
-            for r in range(sc.shape[0]):
-                row = sc[r]
-                if kk < len(row):
-                    cut = np.partition(row, len(row) - kk)[len(row) - kk]
-                    cand = np.nonzero(row >= cut)[0]
-                else:
-                    cand = np.arange(len(row))
-                order = np.lexsort((vid[cand], -row[cand]))[:kk]
-                sel = cand[order]
-                sel = sel[np.isfinite(row[sel])]
-                out_q.append(np.full(len(sel), ids[r], dtype=np.int64))
-                out_v.append(vid[sel])
-                out_s.append(row[sel])
+            qi, vi, sv = _select_topk(sc, ids, vid, min(k, len(vid)))
+            out_q.append(qi)
+            out_v.append(vi)
+            out_s.append(sv)
         if not out_q:
             return pd.DataFrame({"query_id": [], "vector_id": [], "score": []})
         return pd.DataFrame({"query_id": np.concatenate(out_q), "vector_id": np.concatenate(out_v),
