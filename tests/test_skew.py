@@ -1,6 +1,7 @@
 """Hot keys: one parent with most of the replies, one conversation with most
 of the rows. Results must equal the unchunked definitions."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,17 +13,29 @@ SCHEMA = ("tweet_id string, author_id string, inbound string, text string, respo
           "in_response_to_tweet_id string")
 
 
-def test_hub_message(spark):
+@pytest.mark.parametrize("hot_rows", [1_000_000, 100])
+def test_hub_message(spark, hot_rows):
     rows = [("1", "AppleSupport", "False", "root", None, None)]
     rows += [(str(i), "c", "True", "@AppleSupport me too", None, "1") for i in range(2, 3000)]
     rows += [(str(i), "AppleSupport", "False", "reply", None, str(i - 1000)) for i in range(3000, 3500)]
+    # second-level hub: 600 replies to message 5, so a pointer stays hot after round 0
+    rows += [(str(i), "c", "True", "@AppleSupport also", None, "5") for i in range(4000, 4600)]
     df = coerce_messages(spark.createDataFrame(rows, SCHEMA))
-    got = threads.build_threads(df, chunk_width=64).collect()
+    got = threads.build_threads(df, chunk_width=64, hot_rows=hot_rows).collect()
     assert len(got) == len(rows)
     assert {r.conversation_id for r in got} == {1}
     assert sorted(r.thread_order for r in got) == list(range(1, len(rows) + 1))
 
 
+def test_split_hot_join_equals_join(spark):
+    from threadlens.operators.skew import split_hot_join
+    facts = spark.createDataFrame([(i, 0 if i % 2 else i % 7) for i in range(2000)], "id long, k long")
+    dim = spark.createDataFrame([(k, f"v{k}") for k in range(7)], "k long, v string")
+    a = sorted(map(tuple, split_hot_join(facts, dim, "k", hot_rows=50).select("id", "k", "v").collect()))
+    b = sorted(map(tuple, facts.join(dim, "k").select("id", "k", "v").collect()))
+    assert a == b and len(a) == 2000
+
+
 def test_ordinal_within_equals_row_number(spark):
     data = [(0 if i % 3 else 1, (i * 7919) % 100_003, i) for i in range(5000)]
     df = spark.createDataFrame(data, "g int, k long, tie long")

@@ -24,9 +24,9 @@ message at a time. Instead:
    (semi-naive: frontier join edges, anti join visited, checkpoint per round).
 
 Hot keys: a message with millions of replies makes its id a hot join key. The
-jumps join the unresolved side on ``ptr`` against a side unique on ``id``; AQE's
-skew-join rule splits the hot partition (enabled in ``threadlens.session``), and
-resolved rows leave the loop, so the hot root is never joined again.
+jumps join the unresolved side on ``ptr`` against a side unique on ``id``; hot
+pointers are split off and joined by broadcast (``skew.split_hot_join``), and
+resolved rows leave the loop, so a hot root is joined once.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from threadlens.functions.rules import SUPPORT_AUTHOR, SUPPORT_HANDLES
 from threadlens.functions.text import parse_id_list
 from threadlens.operators.ordering import ordinal_within
+from threadlens.operators.skew import HOT_ROWS, split_hot_join
 from threadlens.session import cut_lineage
 
 
@@ -52,7 +53,7 @@ def message_nodes(messages: DataFrame) -> DataFrame:
             .select("id", F.when(F.col("_present"), F.col("parent_raw")).alias("parent")))
 
 
-def resolve_roots(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
+def resolve_roots(nodes: DataFrame, max_rounds: int = 64, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, parent) -> (id, root).
 
     root = last message of the parent chain (null parent); a message on or
@@ -75,7 +76,9 @@ def resolve_roots(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
                  .unionByName(active.select("id", F.col("ptr").alias("s_ptr"),
                                             F.lit(None).cast("bigint").alias("s_root"))))
         # one materialised jump per round; both outcomes are read from it
-        j = cut_lineage(active.join(state.withColumnRenamed("id", "ptr"), "ptr").select("id", "s_ptr", "s_root"))
+        # a message with a huge number of replies is a hot pointer: split it off
+        j = cut_lineage(split_hot_join(active, state.withColumnRenamed("id", "ptr"), "ptr", hot_rows=hot_rows)
+                        .select("id", "s_ptr", "s_root"))
         counts = j.agg(F.count_if(F.col("s_root").isNotNull()).alias("resolved"),
                        F.count_if(F.col("s_root").isNull()).alias("open")).first()
         if counts["resolved"] == 0:
@@ -162,12 +165,12 @@ def support_thread_ids(messages: DataFrame, support_author: str = SUPPORT_AUTHOR
 
 
 def build_threads(messages: DataFrame, support_author: str = SUPPORT_AUTHOR, handles=SUPPORT_HANDLES,
-                  chunk_width: int = 1 << 16) -> DataFrame:
+                  chunk_width: int = 1 << 16, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The support threads. Every kept message row (duplicates of an id
     included) with ``conversation_id`` = root of its parent chain over the full
     table and ``thread_order`` = position by id inside the conversation."""
     nodes = cut_lineage(message_nodes(messages))
-    roots = resolve_roots(nodes)
+    roots = resolve_roots(nodes, hot_rows=hot_rows)
     keep_ids = support_thread_ids(messages, support_author, handles, roots=roots, nodes=nodes)
     rows = (messages.join(keep_ids.withColumnRenamed("id", "tweet_id"), "tweet_id", "left_semi")
             .join(roots.select(F.col("id").alias("tweet_id"), F.col("root").alias("conversation_id")), "tweet_id"))
