@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.functions.vectors import as_double
-from threadlens.session import cut_lineage
+from threadlens.session import cut_lineage, ship_package
 
 HIT_SCHEMA = "query_id long, vector_id long, score double"
 
@@ -119,6 +119,7 @@ def topk_cosine(queries: DataFrame, index: DataFrame, k: int, query_id: str = "q
     to probe mode (H8): a query is scored only against vectors of its cells.
     """
     spark = queries.sparkSession
+    ship_package(spark)
     # Both sides are materialised once in the checkpoint folder: the grid
     # needs their sizes, and the encoder upstream (text cleaning, hashing,
     # joins) must not run again for the scoring pass.
@@ -216,6 +217,7 @@ def coarse_cells(index: DataFrame, queries: DataFrame, n_cells: int, n_probe: in
     from pyspark.ml.functions import array_to_vector
 
     from threadlens.functions.vectors import l2_normalize
+    ship_package(index.sparkSession)
     iv = index.select(F.col(vector_id).alias("vid"), array_to_vector(l2_normalize(vec)).alias("features"))
     model = KMeans(k=n_cells, seed=seed, maxIter=20, featuresCol="features").fit(iv)
     cells = model.transform(iv).select(F.col("vid").cast("long").alias(vector_id),

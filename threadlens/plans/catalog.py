@@ -13,7 +13,7 @@ from threadlens.functions import text as tx
 from threadlens.functions.rules import TEST_RULES
 from threadlens.operators import escalation, records, threads
 from threadlens.functions.frames import keep_rows, spread
-from threadlens.session import cut_lineage
+from threadlens.session import cut_lineage, ship_package
 from threadlens.sources.tables import messages_from_conversations, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,7 @@ def register(name: str):
 def _t(spark, sf_dir, name):
     """Driver table; text tables are spread over the cores when the file has
     fewer row groups than there are cores (no-op for large inputs)."""
+    ship_package(spark)
     df = table(spark, sf_dir, name)
     return spread(df) if name in ("documents", "pages", "conversations") else df
 
