@@ -23,3 +23,16 @@ def test_required_columns(spark):
     assert require_columns(df, ["a"]) is df
     with pytest.raises(ValueError, match=r"\['c', 'z'\]"):
         require_columns(df, ["z", "a", "c"], "input")
+
+
+def test_coerce_ids(spark):
+    from threadlens.sources.tables import coerce_messages
+    rows = [("914271473914281984", " Support ", "True", None, "914271473914281985.0"),
+            ("x1", "u", "false", "t", "nan"), ("7.0", "u", "TRUE", "t", None)]
+    df = spark.createDataFrame(rows, "tweet_id string, author_id string, inbound string, text string, "
+                                     "in_response_to_tweet_id string")
+    got = coerce_messages(df).collect()
+    assert got[0].tweet_id == 914271473914281984 and got[0].in_response_to_tweet_id == 914271473914281985
+    assert got[0].author_id == "Support" and got[0].inbound is True and got[0].text == ""
+    assert got[1].tweet_id is None and got[1].in_response_to_tweet_id is None and got[1].inbound is False
+    assert got[2].tweet_id == 7

@@ -54,13 +54,17 @@ def coerce_messages(raw: DataFrame) -> DataFrame:
     """B7/B8 on the raw message schema: ids to numbers (bad -> null), author
     trimmed, text null -> '', inbound normalised to a boolean."""
     require_columns(raw, ["tweet_id", "author_id", "text"], "messages")
+
+    def as_id(c):
+        # '123' and '123.0' (a float written by another tool) -> 123; anything
+        # else -> null. No detour through double: 18-digit ids stay exact.
+        return F.regexp_replace(F.trim(F.col(c).cast("string")), r"\.0+$", "").try_cast("bigint")
     out = (raw
-           .withColumn("tweet_id", F.col("tweet_id").cast("string").try_cast("bigint"))
+           .withColumn("tweet_id", as_id("tweet_id"))
            .withColumn("author_id", F.trim(F.col("author_id").cast("string")))
            .withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))))
     if "in_response_to_tweet_id" in raw.columns:
-        out = out.withColumn("in_response_to_tweet_id",
-                             F.col("in_response_to_tweet_id").cast("string").try_cast("double").cast("bigint"))
+        out = out.withColumn("in_response_to_tweet_id", as_id("in_response_to_tweet_id"))
     if "inbound" in raw.columns:
         out = out.withColumn("inbound", norm_flag("inbound") == F.lit("true"))
     return out
