@@ -109,7 +109,7 @@ def topk_cosine(queries: DataFrame, index: DataFrame, k: int, query_id: str = "q
                 query_vec: str = "embedding", vector_id: str = "vector_id", index_vec: str = "embedding",
                 exclude_self: bool = False, metric: str = "ip", block_rows: int = 8192,
                 shard_rows: int = 65536, query_cells: DataFrame | None = None,
-                index_cells: DataFrame | None = None) -> DataFrame:
+                index_cells: DataFrame | None = None, materialize_index: bool = True) -> DataFrame:
     """H3: (query_id, rank, vector_id, score) for the k best index vectors of
     every query; ties by vector id ascending; k is clipped to the index size.
 
@@ -124,7 +124,9 @@ def topk_cosine(queries: DataFrame, index: DataFrame, k: int, query_id: str = "q
     # needs their sizes, and the encoder upstream (text cleaning, hashing,
     # joins) must not run again for the scoring pass.
     q = cut_lineage(queries.select(F.col(query_id).cast("long").alias("qid"), as_double(query_vec).alias("qv")))
-    v = cut_lineage(index.select(F.col(vector_id).cast("long").alias("vid"), as_double(index_vec).alias("iv")))
+    v = index.select(F.col(vector_id).cast("long").alias("vid"), as_double(index_vec).alias("iv"))
+    if materialize_index:           # pass False when ``index`` is already a checkpoint
+        v = cut_lineage(v)
     n_q, n_v = q.count(), v.count()
     par = spark.sparkContext.defaultParallelism
     blocks = max(_grid(n_q, block_rows), min(par, _grid(n_q, 256)))

@@ -49,7 +49,8 @@ def triage(messages: DataFrame, indexed_records: DataFrame, k: int = 3, rules: E
     # read by the encoder, the reply and the decision: clean and classify once
     msgs = cut_lineage(classify(msgs, lex))
     qv = hashed_tf_vectors(msgs.select("query_id", "clean"), "query_id", "clean", dim)
-    hits = topk_cosine(qv, indexed_records, k, query_id="query_id", vector_id="conversation_id")
+    hits = topk_cosine(qv, indexed_records, k, query_id="query_id", vector_id="conversation_id",
+                       materialize_index=False)     # ``index_side`` output is a checkpoint
     ev = replies.hit_evidence(hits, indexed_records.drop("embedding"))
     drafted = replies.template_replies(ev, msgs)
     evidence = (ev.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
