@@ -148,3 +148,14 @@ def test_long_chain_needs_few_rounds(spark):
     rows += [(str(i), "AppleSupport", "False", "t", None, str(i - 1)) for i in range(2, 300)]
     got = run(spark, rows)
     assert all(v[0] == 1 for v in got.values()) and got[299][1] == 299
+
+
+def test_order_by_time(spark):
+    rows = [("1", "cust", "True", "@AppleSupport q", None, None, "2017-10-31 22:10:00"),
+            ("3", "AppleSupport", "False", "a", None, "1", "2017-10-31 22:11:00"),
+            ("2", "cust", "True", "@AppleSupport more", None, "1", "2017-10-31 22:12:00")]
+    df = coerce_messages(spark.createDataFrame(rows, SCHEMA + ", created_at string"))
+    by_id = {r.tweet_id: r.thread_order for r in threads.build_threads(df).collect()}
+    by_time = {r.tweet_id: r.thread_order for r in threads.build_threads(df, order_by="created_at").collect()}
+    assert by_id == {1: 1, 2: 2, 3: 3}
+    assert by_time == {1: 1, 3: 2, 2: 3}

@@ -165,16 +165,24 @@ def support_thread_ids(messages: DataFrame, support_author: str = SUPPORT_AUTHOR
 
 
 def build_threads(messages: DataFrame, support_author: str = SUPPORT_AUTHOR, handles=SUPPORT_HANDLES,
-                  chunk_width: int = 1 << 16, hot_rows: int = HOT_ROWS) -> DataFrame:
+                  chunk_width: int = 1 << 16, hot_rows: int = HOT_ROWS, order_by: str | None = None) -> DataFrame:
     """The support threads. Every kept message row (duplicates of an id
     included) with ``conversation_id`` = root of its parent chain over the full
-    table and ``thread_order`` = position by id inside the conversation."""
+    table and ``thread_order`` = position inside the conversation: by id (the
+    original rule) or, with ``order_by``, by that column (a timestamp or
+    number, e.g. ``created_at``) with the id breaking ties."""
     nodes = cut_lineage(message_nodes(messages))
     roots = resolve_roots(nodes, hot_rows=hot_rows)
     keep_ids = support_thread_ids(messages, support_author, handles, roots=roots, nodes=nodes)
     rows = (messages.join(keep_ids.withColumnRenamed("id", "tweet_id"), "tweet_id", "left_semi")
             .join(roots.select(F.col("id").alias("tweet_id"), F.col("root").alias("conversation_id")), "tweet_id"))
-    return ordinal_within(rows, "conversation_id", "tweet_id", "thread_order", chunk_width)
+    if order_by is None:
+        return ordinal_within(rows, "conversation_id", "tweet_id", "thread_order", chunk_width)
+    key = F.col(order_by).cast("timestamp").cast("double") if dict(rows.dtypes)[order_by] in ("string", "timestamp") \
+        else F.col(order_by).cast("double")
+    keyed = rows.withColumn("_order", F.coalesce(F.floor(key * 1000).cast("long"), F.lit(0)))
+    return ordinal_within(keyed, "conversation_id", "_order", "thread_order", chunk_width,
+                          tie_col="tweet_id").drop("_order")
 
 
 def thread_metrics(threads: DataFrame, support_author: str = SUPPORT_AUTHOR) -> DataFrame:
