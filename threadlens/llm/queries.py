@@ -1,8 +1,9 @@
 """Registered queries of the numbered operators, and their SQL where SQL can say it."""
 
-from . import substring
+from . import decontaminate, substring
 
 QUERIES = {
+    "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op8_substring_dedup": substring.op8_substring_dedup,
 }
 
