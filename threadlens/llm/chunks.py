@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-MAX_CHUNKS = 250_000
+MAX_CHUNKS = 600_000
 MAX_IDS = 4_000_000
 
 
@@ -38,7 +38,7 @@ class ChunkCache:
         if len(self._index) > MAX_CHUNKS or len(self._flat) > MAX_IDS:
             self._clear()
         index = self._index
-        new = [c for c in dict.fromkeys(chunks) if c not in index]
+        new = list(set(chunks).difference(index))
         if new:
             flat, lens = self._encode(new)
             index.update(zip(new, range(len(index), len(index) + len(new))))
