@@ -1,14 +1,16 @@
 """Registered queries of the numbered operators, and their SQL where SQL can say it."""
 
-from . import decontaminate, fingerprint, minhash, pieces, sharding, substring, tokens
+from . import decontaminate, fingerprint, langid, minhash, pieces, sharding, substring, tokens, toxicity
 
 QUERIES = {
     "op1_document_fingerprints": fingerprint.op1_document_fingerprints,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op7_token_ids": tokens.op7_token_ids,
     "op8_substring_dedup": substring.op8_substring_dedup,
+    "op9_language_id": langid.op9_language_id,
     "op10_histogram_sort": sharding.op10_histogram_sort,
 }
 
