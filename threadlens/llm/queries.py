@@ -1,9 +1,10 @@
 """Registered queries of the numbered operators, and their SQL where SQL can say it."""
 
-from . import decontaminate, fingerprint, langid, minhash, pieces, sharding, substring, tokens, toxicity
+from . import decontaminate, fingerprint, langid, minhash, pieces, quality, sharding, substring, tokens, toxicity
 
 QUERIES = {
     "op1_document_fingerprints": fingerprint.op1_document_fingerprints,
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op5_toxicity": toxicity.op5_toxicity,
