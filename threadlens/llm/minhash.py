@@ -12,13 +12,15 @@ Job:
 2. Band keys of the classes that share a bucket with another class. Buckets are
    resolved by leaders: in each round every unfinished bucket names leaders (the
    class with the largest buckets first, which a group's original tends to be; the
-   bucket is split by hash and every part names one, twice as many parts each
+   bucket is split by hash and every part names one, eight times as many parts each
    round), leaders are paired with the members of other components, pairs are
    confirmed on the full sets, and the links join components. A
    bucket is finished when it is one component or every member has led, that is,
    when every pair of its members has been confirmed, refuted or is linked already.
    No pair list of a whole bucket is made, none is cut.
-3. Components by min-label propagation with pointer jumping over the link table.
+   Component labels take two propagation steps a round (a label that lags only costs a
+   confirmation, never a link).
+3. Components by min-label propagation with pointer jumping over the link table, to the end.
 
 Hot buckets: leader choice and bucket counts are partial aggregates; the joins
 bucket x leaders and pairs x texts are plain equi-joins that adaptive execution splits.
@@ -45,6 +47,7 @@ SHINGLE = 3
 BANDS = 24
 ROWS = 5
 PERCENT = 85
+GROWTH = 8
 _SHIFT = 0xA24BAED4963EE407
 _SIGMA = U64(0x8EBC6AF09C88C6E3)
 _PI = U64(0x589965CC75374CC3)
@@ -89,6 +92,7 @@ _SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
 
 
 def signed_sets(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
+    """Narrow rows: set size, set digest, and one key per band (the band is part of it)."""
     names = ["doc_id", "n_shingles", "d1", "d2", "bands"]
 
     def run(batches):
@@ -97,7 +101,7 @@ def signed_sets(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFra
             for lo, hi, raw, offs in text_parts(text_column(batch), 1_000_000):
                 h, at = shingle_sets(raw, offs, shingle)
                 sig = circulant_signatures(h, at, bands * rows).reshape(bands, rows, hi - lo)
-                keys = np.zeros((bands, hi - lo), dtype=U64)
+                keys = np.repeat(np.arange(bands, dtype=U64)[:, None], hi - lo, axis=1)
                 for r in range(rows):
                     keys = mix(keys * U64(0x9FB21C651E98DF25) + sig[:, r, :])
                 sums = [np.concatenate([[U64(0)], np.cumsum(mix(h ^ U64(c)))]) for c in (0x1234567, 0x89ABCDEF)]
@@ -110,11 +114,12 @@ def signed_sets(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFra
     return map_arrow(docs.select("doc_id", "text"), run, _SIGNED)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
-    texts = docs.select(F.col("doc_id").alias("_id"), "text")
-    both = pairs.join(texts.select(F.col("_id").alias("a"), F.col("text").alias("ta")), "a") \
-        .join(texts.select(F.col("_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """The pairs (rep, leader) with 100 * intersection >= percent * union, on full sets.
+    ``texts`` (id, text) has one row per id; leaders are few, so their side is small."""
+    heads = texts.join(pairs.select(F.col("leader").alias("id")).distinct(), "id", "left_semi")
+    both = pairs.join(texts.select(F.col("id").alias("rep"), F.col("text").alias("ta")), "rep") \
+        .join(heads.select(F.col("id").alias("leader"), F.col("text").alias("tb")), "leader").select("rep", "leader", "ta", "tb")
 
     def run(batches):
         for batch in batches:
@@ -141,25 +146,28 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, shingle: int) -> Da
                 union = size[:hi - lo] + size[hi - lo:] - inter
                 keep.append((100 * inter >= percent * union) & (inter > 0))
             mask = pa.array(np.concatenate(keep) if keep else np.zeros(0, bool))
-            yield batch.select(["a", "b"]).filter(mask)
+            yield batch.select(["rep", "leader"]).filter(mask)
 
-    return map_arrow(both, run, "a long, b long")
+    return map_arrow(both, run, "rep long, leader long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, comp) for every id in ``links`` (a, b): the smallest id reachable. Min-label
-    propagation and a pointer jump per round, until nothing changes."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut_lineage(both)
-    label = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")))
+def _spread(label: DataFrame, both: DataFrame) -> DataFrame:
+    """One step of min-label propagation over the links (a, b both ways), and a pointer jump."""
+    near = both.join(label, both.b == label.id).groupBy("a").agg(F.min("comp").alias("m"))
+    hooked = label.join(near, label.id == near.a, "left").select("id", F.least("comp", "m").alias("c2"))
+    jump = label.select(F.col("id").alias("c2"), F.col("comp").alias("c3"))
+    return hooked.join(jump, "c2", "left").select("id", F.least("c2", "c3").alias("comp"))
+
+
+def components(links: DataFrame, label: DataFrame) -> DataFrame:
+    """Final (id, comp): the smallest id reachable over ``links`` (a, b), starting from
+    labels that are already reachable ids. Runs until a round changes nothing."""
+    both = cut_lineage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     while True:
-        near = both.join(label, both.b == label.id).groupBy("a").agg(F.min("comp").alias("m"))
-        hooked = label.join(near, label.id == near.a, "left").select("id", "comp", F.least("comp", "m").alias("c2"))
-        jump = label.select(F.col("id").alias("c2"), F.col("comp").alias("c3"))
-        fresh = cut_lineage(hooked.join(jump, "c2", "left").select("id", "comp", F.least("c2", "c3").alias("new")))
-        moved = fresh.filter("new <> comp").head(1)
-        label = fresh.select("id", F.col("new").alias("comp"))
-        if not moved:
+        fresh = cut_lineage(_spread(_spread(label, both), both))
+        total = [d.agg(F.sum(F.col("comp").cast("decimal(38,0)")).alias("s")).first().s for d in (label, fresh)]
+        label = fresh
+        if total[0] == total[1]:  # labels only ever fall
             return label
 
 
@@ -168,46 +176,46 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     """(doc_id, n_shingles, component_id): one row per row of ``docs``."""
     signed = cut_lineage(signed_sets(docs, bands, rows, shingle))
     full = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = full.join(classes, ["n_shingles", "d1", "d2"]).select("doc_id", "rep", "bands")
-    keys = member.filter("doc_id = rep").dropDuplicates(["rep"]).select(
-        "rep", F.posexplode("bands").alias("band", "key"))
-    shared = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    bucket = cut_lineage(keys.join(shared, ["band", "key"]))
-    weight = bucket.groupBy("rep").agg(F.sum("n").alias("w"))
-    bucket = cut_lineage(bucket.join(weight, "rep").select("band", "key", "rep", "w", F.col("rep").alias("comp"), F.lit(False).alias("led")))
-    reps = docs.select("doc_id", "text").join(bucket.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi") \
-        .dropDuplicates(["doc_id"])
-    links, tested, round_no = None, None, 0
-    while True:
-        open_ = bucket.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("led").alias("done"))
-        open_ = open_.filter("c0 <> c1 and not done").select("band", "key")
-        live = cut_lineage(bucket.join(open_, ["band", "key"], "left_semi"))
-        if not live.head(1):
-            break
-        parts = 2 ** round_no
-        leaders = live.filter("not led").groupBy("band", "key", F.pmod(F.xxhash64("rep"), F.lit(parts)).alias("part")) \
+    same_set = ["n_shingles", "d1", "d2"]
+    classes = cut_lineage(full.groupBy(*same_set).agg(F.min(F.struct("doc_id", "bands")).alias("m"))
+                          .select(*same_set, F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")))
+    keys = classes.select("rep", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = cut_lineage(keys.join(shared, "key"))
+    weight = cut_lineage(found.groupBy("rep").agg(F.sum("n").alias("w")))
+    texts = cut_lineage(docs.select(F.col("doc_id").alias("id"), "text").join(
+        weight.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]))
+    label = weight.select(F.col("rep").alias("id"), F.col("rep").alias("comp"))
+    bucket = cut_lineage(found.join(weight, "rep").select("key", "rep", "w", F.col("rep").alias("comp"), F.lit(False).alias("led")))
+    links = tested = None
+    parts = 1
+    while bucket.head(1):
+        # every open bucket's leaders (one per part), against its members of other components
+        leaders = bucket.filter("not led").groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(parts)).alias("part")) \
             .agg(F.max_by(F.struct("rep", "comp"), F.struct("w", -F.col("rep"))).alias("l")) \
-            .select("band", "key", F.col("l.rep").alias("leader"), F.col("l.comp").alias("lcomp"))
-        leaders = cut_lineage(leaders)
-        pairs = live.join(leaders, ["band", "key"]).filter("comp <> lcomp").select(
-            F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-        pairs = cut_lineage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+            .select("key", F.col("l.rep").alias("leader"), F.col("l.comp").alias("lcomp"))
+        pairs = bucket.join(leaders, "key").filter("comp <> lcomp").select("rep", "leader").distinct()
+        if tested is not None:
+            known = tested.unionByName(tested.select(F.col("rep").alias("leader"), F.col("leader").alias("rep")))
+            pairs = pairs.join(known, ["rep", "leader"], "left_anti")
+        pairs = cut_lineage(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = confirm(pairs, reps, percent, shingle)
-        links = cut_lineage(found if links is None else links.unionByName(found))
-        comp = components(links).select(F.col("id").alias("rep"), F.col("comp").alias("_new"))
-        led = leaders.select("band", "key", F.col("leader").alias("rep"), F.lit(True).alias("_led"))
-        bucket = live.join(comp, "rep", "left").join(led, ["band", "key", "rep"], "left").select(
-            "band", "key", "rep", "w", F.coalesce("_new", "comp").alias("comp"),
-            (F.col("led") | F.coalesce("_led", F.lit(False))).alias("led"))
-        bucket = cut_lineage(bucket)
-        round_no += 1
-    of_rep = signed.join(classes, ["n_shingles", "d1", "d2"], "left").select(
+        new = cut_lineage(confirm(pairs, texts, percent, shingle).select(F.col("rep").alias("a"), F.col("leader").alias("b")))
+        links = new if links is None else links.unionByName(new)
+        both = new.unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        label = cut_lineage(_spread(_spread(label, both), both))
+        led = leaders.select("key", F.col("leader").alias("rep"), F.lit(True).alias("_led"))
+        moved = bucket.join(led, ["key", "rep"], "left").join(label.select(F.col("id").alias("rep"), F.col("comp").alias("_new")), "rep") \
+            .select("key", "rep", "w", F.col("_new").alias("comp"), (F.col("led") | F.col("_led").isNotNull()).alias("led"))
+        open_ = moved.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("led").alias("done")) \
+            .filter("c0 <> c1 and not done").select("key")
+        bucket = cut_lineage(moved.join(open_, "key", "left_semi"))
+        parts *= GROWTH
+    of_rep = signed.join(classes.select(*same_set, "rep"), same_set, "left").select(
         "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
     if links is None:
         return of_rep.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
-    comp = components(links).select(F.col("id").alias("rep"), "comp")
+    comp = components(links, label).select(F.col("id").alias("rep"), "comp")
     return of_rep.join(comp, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
 
 
