@@ -17,7 +17,8 @@ multiplied by K(landmarks, landmarks)^(-1/2) (Nyström), a linear SVM is fitted
 and its margin is turned into a probability by a logistic fit on the same rows.
 
 Fit: on a sample of at most ``TRAIN_ROWS`` labelled rows (by hash of the id; this bound
-is the only one), as Spark aggregates and ``pyspark.ml``. Scoring reads whole texts; no
+is the only one): landmarks by Spark aggregates, features by Spark, and the two small
+solves on the driver (``TRAIN_ROWS`` x ``LANDMARKS`` numbers at most). Scoring reads whole texts; no
 exchange; the model (landmarks and weights) is broadcast. Each distinct word of a task is
 compared once; a letter-set test skips the landmarks that a word cannot spell.
 
@@ -34,8 +35,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +53,7 @@ FLOOR = 0.5
 SUBSEQUENCE = 3
 LONG = 40
 THRESHOLD = 0.3
+COST = 1.0
 _CACHE_WORDS = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SINGLES = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
@@ -250,16 +250,47 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, limit: int =
             yield pa.RecordBatch.from_arrays([pa.array(f.tolist(), pa.list_(pa.float64())), batch.column(batch.schema.get_field_index("toxic"))],
                                              names=["f", "label"])
 
-    rows_ = cut_lineage(map_arrow(sample, run, "f array<double>, label double")).select(array_to_vector("f").alias("features"), "label")
-    svm = LinearSVC(maxIter=50, regParam=0.001, standardization=False).fit(rows_)
-    margin = svm.transform(rows_).select(F.array(F.element_at(_to_array("rawPrediction"), 2)).alias("m"), "label")
-    logit = LogisticRegression(maxIter=50, standardization=False).fit(margin.select(array_to_vector("m").alias("features"), "label"))
-    return ToxicModel(marks, svm.coefficients.toArray(), float(svm.intercept), max(0.0, float(logit.coefficients[0])), float(logit.intercept))
-
-
-def _to_array(name: str):
-    from pyspark.ml.functions import vector_to_array
-    return vector_to_array(F.col(name))
+    rows_ = map_arrow(sample, run, "f array<double>, label double").toPandas()
+    x, y = np.array(rows_["f"].tolist()), rows_["label"].to_numpy()
+    weights, bias = fit_svm(x, 2 * y - 1)
+    slope, shift = fit_logistic(x @ weights + bias, y)
+    return ToxicModel(marks, weights, bias, max(0.0, slope), shift)
+
+
+def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = COST, steps: int = 50) -> tuple[np.ndarray, float]:
+    """Linear SVM (squared hinge, y = -1 or 1) by Newton steps on the rows inside the margin."""
+    z = np.hstack([x, np.ones((len(x), 1))])
+    ridge = np.ones(z.shape[1])
+    ridge[-1] = 1e-3
+    w = np.zeros(z.shape[1])
+
+    def loss(w):
+        return 0.5 * (ridge * w * w).sum() + cost * (np.maximum(0, 1 - y * (z @ w)) ** 2).sum()
+
+    for _ in range(steps):
+        a = y * (z @ w) < 1
+        grad = ridge * w - 2 * cost * z[a].T @ (y[a] - z[a] @ w)
+        step = np.linalg.solve(np.diag(ridge) + 2 * cost * z[a].T @ z[a], grad)
+        size, now = 1.0, loss(w)
+        while size > 1e-4 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
+    return w[:-1], float(w[-1])
+
+
+def fit_logistic(m: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Slope and shift of P(y = 1 | margin), slightly ridged, by Newton steps."""
+    z = np.stack([m, np.ones(len(m))], 1)
+    w = np.zeros(2)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), z.T @ (p - y) + 1e-2 * w)
+        w = w - np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(w[0]), float(w[1])
 
 
 def score_texts(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -287,9 +318,19 @@ def fit_default(docs: DataFrame, labels: DataFrame) -> ToxicModel:
 
 
 def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows predicted toxic."""
-    return score_texts(docs.select(F.struct(*docs.columns).alias("_tx"), "text"), model, threshold) \
-        .filter("predicted = 0").select("_tx.*")
+    """``docs`` without the rows whose score reaches ``threshold``; all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = shared.value
+        features = Features(model.marks)
+        for batch in batches:
+            for lo, hi, raw, offs in text_parts(text_column(batch), 1_000_000):
+                data = raw.tobytes()
+                score = model.score(features.of([data[a:b].decode() for a, b in zip(offs[:-1], offs[1:])]))
+                yield batch.slice(lo, hi - lo).filter(pa.array(score < threshold))
+
+    return map_arrow(docs, run, docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
