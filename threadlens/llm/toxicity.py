@@ -6,15 +6,16 @@ Values are normalised by the two strings' own kernels and cut off below ``FLOOR`
 
 Strings: the words of a text, lower case, letters only (characters put between or around
 letters vanish), runs of three or more one-letter words also as one word; a word over
-``LONG`` letters counts as overlapping pieces of that length.
+``LONG`` letters counts as its overlapping pieces of that length.
 
-Landmarks: words that labelled toxic texts hold significantly more often than clean
-ones (log-likelihood ratio at least ``MIN_RATIO``, over four times the expected count), best
-first, ``LANDMARKS`` at most; texts that share their three smallest word hashes (copies,
-mostly) count once there. A text's
-feature for a landmark is the largest kernel value of its words; the features are
-multiplied by K(landmarks, landmarks)^(-1/2) (Nyström), a linear SVM is fitted on them
-and its margin is turned into a probability by a logistic fit on the same rows.
+Landmarks: beginnings of words (the longest of equally frequent ones) that labelled toxic
+texts hold significantly more often than clean ones (log-likelihood ratio at least
+``MIN_RATIO``, over twice the expected count), best first, none that continues a better
+one, ``LANDMARKS`` at most; texts that share their three smallest word hashes (copies,
+mostly) count once there. A text has two features per landmark: the largest kernel value of
+its words, and their sum per 100 words (as log(1 + x)); both blocks are multiplied by
+K(landmarks, landmarks)^(-1/2) (Nyström), a linear SVM is fitted on them and its margin is
+turned into a probability by a logistic fit on the same rows.
 
 Fit: on a sample of at most ``TRAIN_ROWS`` labelled rows (by hash of the id; this bound
 is the only one): landmarks by Spark aggregates, features by Spark, and the two small
@@ -51,7 +52,7 @@ MIN_LETTERS = 4
 DECAY = 0.75
 FLOOR = 0.5
 SUBSEQUENCE = 3
-LONG = 40
+LONG = 12
 THRESHOLD = 0.3
 COST = 1.0
 _CACHE_WORDS = 400_000
@@ -124,7 +125,7 @@ class Landmarks:
         """words x landmarks, normalised; below ``floor`` 0."""
         out = np.zeros((len(words), len(self.words)))
         size = np.fromiter(map(len, words), np.int64, len(words))
-        for lo, hi in ((0, 8), (8, 12), (12, 18), (18, LONG + 1)):
+        for lo, hi in ((0, 7), (7, 10), (10, LONG + 1)):
             which = np.flatnonzero((size >= max(lo, SUBSEQUENCE)) & (size < hi))
             for start in range(0, len(which), 20_000):
                 some = which[start:start + 20_000]
@@ -149,7 +150,7 @@ class Landmarks:
 
 
 class Features:
-    """Largest kernel value per landmark for whole texts; caches words (bounded)."""
+    """Nyström features of whole texts; caches words (bounded)."""
 
     def __init__(self, marks: Landmarks):
         self.marks = marks
@@ -182,13 +183,16 @@ class Features:
                 self._rows.append(v)
             if grown:
                 self._table = np.stack(self._rows)
-        out = np.zeros((len(texts), len(self.marks.words)))
+        size = len(self.marks.words)
+        out = np.zeros((len(texts), 2 * size))
         for k, ws in enumerate(words):
-            at = set(map(index.__getitem__, ws))
-            at.discard(0)
-            if at:
-                out[k] = self._table[list(at)].max(axis=0)
-        return out
+            at = np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))
+            at = at[at > 0]
+            if len(at):
+                found = self._table[at]
+                out[k, :size] = found.max(axis=0)
+                out[k, size:] = np.log1p(100 * found.sum(axis=0) / len(ws))
+        return np.hstack([out[:, :size] @ self.marks.whiten, out[:, size:] @ self.marks.whiten])
 
 
 class ToxicModel:
@@ -196,7 +200,7 @@ class ToxicModel:
         self.marks, self.weights, self.bias, self.slope, self.shift = marks, weights, bias, slope, shift
 
     def score(self, features: np.ndarray) -> np.ndarray:
-        margin = features @ self.marks.whiten @ self.weights + self.bias if len(self.weights) else np.full(len(features), self.bias)
+        margin = features @ self.weights + self.bias if len(self.weights) else np.full(len(features), self.bias)
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.shift, -50, 50)))
 
 
@@ -210,12 +214,13 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 
 def pick_landmarks(sample: DataFrame, n_toxic: int, n_clean: int, limit: int = LANDMARKS) -> list[str]:
-    """Words over-represented in toxic texts, by Spark aggregates over the sample."""
+    """Word beginnings over-represented in toxic texts, by Spark aggregates over the sample."""
     def run(batches):
         for batch in batches:
             toxic = batch.column(batch.schema.get_field_index("toxic")).to_pylist()
             for t, y in zip(text_column(batch).to_pylist(), toxic):
-                found = sorted({w for w in (letters(x) for x in words_of(t.decode())) if MIN_LETTERS <= len(w) <= LONG})
+                words = {letters(w)[:LONG] for w in words_of(t.decode())}
+                found = sorted({w[:k] for w in words for k in range(MIN_LETTERS, len(w) + 1)})
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.float64())], names=["word", "toxic"])
 
     smallest = F.slice(F.array_sort(F.transform(F.array_distinct(F.split(F.lower("text"), "\\s+")), lambda w: F.xxhash64(w))), 1, 3)
@@ -226,8 +231,14 @@ def pick_landmarks(sample: DataFrame, n_toxic: int, n_clean: int, limit: int = L
     share = n_toxic / (n_toxic + n_clean)
     expected = (a + b) * share
     ratio = 2 * (a * F.log(a / expected) + F.when(b > 0, b * F.log(b / (a + b - expected))).otherwise(0.0))
-    best = counts.withColumn("g", ratio).filter((F.col("g") >= MIN_RATIO) & (a > 4 * expected)).orderBy(F.desc("g"), "word").limit(limit)
-    return [r.word for r in best.collect()]
+    best = counts.withColumn("g", ratio).filter((F.col("g") >= MIN_RATIO) & (a > 2 * expected)) \
+        .orderBy(F.desc("g"), F.desc(F.length("word")), "word").limit(50 * limit)
+    chosen: list[str] = []
+    for r in best.collect():
+        # neither a longer form of a chosen one nor its equally frequent shorter form
+        if len(chosen) < limit and not any(r.word.startswith(c) or c.startswith(r.word) for c in chosen):
+            chosen.append(r.word)
+    return chosen
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, limit: int = LANDMARKS) -> ToxicModel:
@@ -246,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, limit: int =
     def run(batches):
         features = Features(shared.value)
         for batch in batches:
-            f = features.of([t.decode() for t in text_column(batch).to_pylist()]) @ shared.value.whiten
+            f = features.of([t.decode() for t in text_column(batch).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(f.tolist(), pa.list_(pa.float64())), batch.column(batch.schema.get_field_index("toxic"))],
                                              names=["f", "label"])
 
