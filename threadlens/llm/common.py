@@ -235,9 +235,15 @@ def with_block(docs: DataFrame, splitters: list[int], name: str = "_blk") -> Dat
     return map_arrow(docs, add, schema)
 
 
-def checked_collect(df: DataFrame, max_bytes: int, size) -> list:
-    """Rows of a table whose total size is proved to be under ``max_bytes`` first."""
-    total = df.agg(F.sum(size).alias("b")).first().b or 0
-    if total > max_bytes:
-        raise ValueError(f"{total} bytes exceed the bound of {max_bytes}")
-    return df.collect()
+# --- columns that only pass through -----------------------------------------
+
+def sealed(docs: DataFrame, own: tuple[str, ...] = ("doc_id", "text")):
+    """(``docs`` with every column outside ``own`` under a neutral name, restore).
+    ``restore(df, added)`` gives the columns their names back; an input column named
+    like an added one is replaced by it. So no input name can clash with a helper's."""
+    inner = {n: n if n in own else f"x{i}" for i, n in enumerate(docs.columns)}
+
+    def restore(df: DataFrame, added: tuple[str, ...] = ()) -> DataFrame:
+        return df.select(*[F.col(c).alias(n) for n, c in inner.items() if n not in added], *added)
+
+    return docs.select(*[F.col(f"`{n}`").alias(c) for n, c in inner.items()]), restore

@@ -20,7 +20,7 @@ consecutive words of an item, or all of an item with fewer. Words are compared b
 a 64-bit hash. Defined results: null or empty text has no words and no hits; an
 item without words (or null) has no phrase; an item with a null id marks words
 but is not listed; repeated items count once; an empty table of either side gives
-no hits; other columns pass through (``_fm_*`` names are reserved).
+no hits; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, WORD_BYTES, documents, find_words, hash_words, map_arrow, text_column, text_parts
+from .common import U64, WORD_BYTES, documents, find_words, hash_words, map_arrow, sealed, text_column, text_parts
 
 WINDOW = 10
 SHARD_BYTES = 8_000_000
@@ -305,6 +305,7 @@ def mark_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 def remove_phrases(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """``docs`` with the merged spans cut out of ``text`` (from the first byte of a
     span's first word to the last of its last); other texts unchanged."""
+    docs, restore = sealed(docs)
     marked = mark_phrases(docs, benchmark, **kw)
     names = docs.columns
 
@@ -329,7 +330,7 @@ def remove_phrases(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
                 cols[at] = pa.array(texts, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return map_arrow(marked, run, docs.schema)
+    return restore(map_arrow(marked, run, docs.schema))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:

@@ -29,8 +29,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import U64, documents, id_splitters, int_column, map_arrow, mix, text_column, text_parts, with_block
+from .common import U64, documents, id_splitters, int_column, map_arrow, mix, sealed, text_column, text_parts, with_block
 
 BUCKETS = 1024
 DISTANCES = ((7, 16), (9, 23), (11, 29), (13, 31))
@@ -94,7 +95,7 @@ def _digest_column(col: pa.Array):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``docs`` plus ``fingerprint`` (an input column of that name is replaced)."""
-    kept = docs.drop("fingerprint")
+    kept, restore = sealed(docs)
     names = [*kept.columns, "fingerprint"]
 
     def run(batches):
@@ -103,7 +104,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             for lo, hi, raw, offs in text_parts(col, 1_000_000):
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(to_string(*digests(raw, offs)))], names=names)
 
-    return map_arrow(kept, run, kept.schema.add("fingerprint", "string"))
+    schema = T.StructType([*kept.schema.fields, T.StructField("fingerprint", T.StringType())])
+    return restore(map_arrow(kept, run, schema), ("fingerprint",))
 
 
 def _with_successors(docs: DataFrame, block_bytes: int) -> DataFrame:

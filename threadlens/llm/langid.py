@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .common import U64, documents, map_arrow, mix, text_parts
+from .common import U64, documents, map_arrow, mix, sealed, text_parts
 
 MIN_RATE = 0.01
 MIN_SHARE = 0.3
@@ -191,9 +191,9 @@ def train(docs: DataFrame, min_rate: float = MIN_RATE, min_share: float = MIN_SH
 
 def identify(docs: DataFrame, model: LanguageFilter | None) -> DataFrame:
     """``docs`` plus ``lang_pred`` and ``score``."""
-    kept = docs.drop("lang_pred", "score")
+    kept, restore = sealed(docs)
     if model is None:
-        return kept.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return restore(kept.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score")), ("lang_pred", "score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = kept.withColumn("_li_letter", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -211,7 +211,7 @@ def identify(docs: DataFrame, model: LanguageFilter | None) -> DataFrame:
                     [*part.columns[:-1], pc.if_else(ok, pa.array(names, pa.string()), pa.scalar("und")),
                      pc.if_else(ok, pa.array(score), pa.scalar(0.0))], names=schema.names)
 
-    return map_arrow(rows, run, schema)
+    return restore(map_arrow(rows, run, schema), ("lang_pred", "score"))
 
 
 def language_report(docs: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import NON_SPACE, U64, documents, find_words, hash_words, int_column, map_arrow, mix, text_column, text_parts
+from .common import NON_SPACE, U64, documents, find_words, hash_words, int_column, map_arrow, mix, sealed, text_column, text_parts
 
 SHINGLE = 3
 BANDS = 24
@@ -226,8 +226,9 @@ def component_report(docs: DataFrame, **kw) -> DataFrame:
 def keep_first(docs: DataFrame, **kw) -> DataFrame:
     """``docs`` with one document of each component (the smallest id; of repeated
     rows of one id all are dropped or all kept)."""
+    docs, restore = sealed(docs)
     gone = near_duplicates(docs, **kw).filter("component_id <> doc_id").select(F.col("doc_id").alias("_mh_id")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_mh_id"), "left_anti").select(*docs.columns)
+    return restore(docs.join(gone, docs.doc_id == F.col("_mh_id"), "left_anti"))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

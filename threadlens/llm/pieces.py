@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .chunks import ChunkCache, gather
-from .common import documents, int_column, map_arrow, text_column, text_parts
+from .common import documents, int_column, map_arrow, sealed, text_column, text_parts
 
 SPACE = "▁"
 _CHUNK = re.compile(" +[^ ]*")
@@ -273,7 +273,7 @@ def _encoded(batch: pa.RecordBatch, path: str):
 
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` plus ``piece_ids`` (array of ids) and ``decoded`` (their text)."""
-    kept = docs.drop("piece_ids", "decoded")
+    kept, restore = sealed(docs)
     schema = T.StructType([*kept.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType())),
                            T.StructField("decoded", T.StringType())])
 
@@ -285,7 +285,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
                     [*batch.slice(lo, hi - lo).columns, pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())),
                      pa.array([model.decode(x) for x in ids], pa.string())], names=schema.names)
 
-    return map_arrow(kept, run, schema)
+    return restore(map_arrow(kept, run, schema), ("piece_ids", "decoded"))
 
 
 def piece_report(docs: DataFrame, path: str) -> DataFrame:

@@ -19,8 +19,8 @@ broadcast table of at most ``MAX_SLICES`` rows.
 
 Defined results: size = UTF-8 bytes + 1; a null text counts as empty; a null id hashes
 as the empty string; repeated rows of the same id and text sit next to each other in one
-shard; an empty table gives no rows; other columns pass through (``_hs_*`` reserved; input
-columns ``shard`` and ``slot`` are replaced).
+shard; an empty table gives no rows; other columns pass through (input columns ``shard``
+and ``slot`` are replaced).
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import documents
+from .common import documents, sealed
 
 SHARDS = 8
 PROBES = 256
@@ -144,7 +144,7 @@ def _at_or_after(key) -> Column:
 
 def histogram_sort(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.0, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``docs`` plus ``shard`` (0..) and ``slot`` (gapless within the shard)."""
-    kept = docs.drop("shard", "slot")
+    kept, restore = sealed(docs)
     keyed = with_keys(kept)
     narrow = cut_lineage(keyed.select("_hs_t", "_hs_i", "_hs_id", "_hs_size"))
     borders = find_borders(narrow, shards, tolerance)
@@ -173,8 +173,8 @@ def histogram_sort(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.0
     base = counts.select(*where, (F.sum("n").over(Window.partitionBy("shard").orderBy("_hs_e", "_hs_s")) - F.col("n")).alias("_hs_base"))
     order = Window.partitionBy(*where).orderBy("_hs_t", "_hs_i", "_hs_id")
     numbered = sliced(keyed).withColumn("_hs_no", F.row_number().over(order))
-    return numbered.join(cut_lineage(base), where).select(
-        *kept.columns, "shard", (F.col("_hs_base") + F.col("_hs_no") - 1).cast("long").alias("slot"))
+    return restore(numbered.join(cut_lineage(base), where).withColumn(
+        "slot", (F.col("_hs_base") + F.col("_hs_no") - 1).cast("long")), ("shard", "slot"))
 
 
 def shard_report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

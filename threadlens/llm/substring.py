@@ -38,7 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import ship_package
 from .common import (NON_SPACE, U64, corpus_size, documents, find_words, hash_words, id_splitters, int_column, mix,
-                     text_column, text_parts, window_hashes, window_starts, with_block)
+                     sealed, text_column, text_parts, window_hashes, window_starts, with_block)
 
 WINDOW = 20
 FIRST = 5
@@ -232,6 +232,7 @@ def _kept(text: bytes, gone: np.ndarray) -> bytes:
 def drop_repeats(docs: DataFrame, **kw) -> DataFrame:
     """The documents with repeated words removed from ``text`` (kept words joined
     by one space); texts without a repeat, and all other columns, unchanged."""
+    docs, restore = sealed(docs)
     names = docs.columns
 
     def finish(table, offs, gone):
@@ -245,7 +246,7 @@ def drop_repeats(docs: DataFrame, **kw) -> DataFrame:
         cols = [pa.array(texts, plain.type) if n == "text" else table[n] for n in names]
         return pa.table(cols, names=names)
 
-    return repeated_words(docs, finish, docs.schema, **kw)
+    return restore(repeated_words(docs, finish, docs.schema, **kw))
 
 
 _REPORT = "doc_id long, n_words long, n_removed long, kept_sha256 string"

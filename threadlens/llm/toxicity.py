@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .common import documents, map_arrow, text_column, text_parts
+from .common import documents, map_arrow, sealed, text_column, text_parts
 from .langid import held_out
 
 TRAIN_ROWS = 12_000
@@ -306,7 +306,7 @@ def fit_logistic(m: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float,
 
 def score_texts(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` plus ``score`` and ``predicted``."""
-    kept = docs.drop("score", "predicted")
+    kept, restore = sealed(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
@@ -320,7 +320,7 @@ def score_texts(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(score),
                                                   pa.array((score >= threshold).astype(np.int32))], names=schema.names)
 
-    return map_arrow(kept, run, schema)
+    return restore(map_arrow(kept, run, schema), ("score", "predicted"))
 
 
 def fit_default(docs: DataFrame, labels: DataFrame) -> ToxicModel:
