@@ -18,7 +18,7 @@ Job:
    bucket is finished when it is one component or every member has led, that is,
    when every pair of its members has been confirmed, refuted or is linked already.
    No pair list of a whole bucket is made, none is cut.
-   Component labels take two propagation steps a round (a label that lags only costs a
+   Component labels take one propagation step a round (a label that lags only costs a
    confirmation, never a link).
 3. Components by min-label propagation with pointer jumping over the link table, to the end.
 
@@ -114,12 +114,18 @@ def signed_sets(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFra
     return map_arrow(docs.select("doc_id", "text"), run, _SIGNED)
 
 
+def _merge(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Shuffled join. The loops below run many small joins; as broadcasts each would
+    leave its table on the driver, which many rounds then add up."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """The pairs (rep, leader) with 100 * intersection >= percent * union, on full sets.
     ``texts`` (id, text) has one row per id; leaders are few, so their side is small."""
-    heads = texts.join(pairs.select(F.col("leader").alias("id")).distinct(), "id", "left_semi")
-    both = pairs.join(texts.select(F.col("id").alias("rep"), F.col("text").alias("ta")), "rep") \
-        .join(heads.select(F.col("id").alias("leader"), F.col("text").alias("tb")), "leader").select("rep", "leader", "ta", "tb")
+    heads = _merge(texts, pairs.select(F.col("leader").alias("id")).distinct(), "id", "left_semi")
+    both = _merge(pairs, texts.select(F.col("id").alias("rep"), F.col("text").alias("ta")), "rep")
+    both = _merge(both, heads.select(F.col("id").alias("leader"), F.col("text").alias("tb")), "leader").select("rep", "leader", "ta", "tb")
 
     def run(batches):
         for batch in batches:
@@ -152,23 +158,25 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> D
 
 
 def _spread(label: DataFrame, both: DataFrame) -> DataFrame:
-    """One step of min-label propagation over the links (a, b both ways), and a pointer jump."""
-    near = both.join(label, both.b == label.id).groupBy("a").agg(F.min("comp").alias("m"))
-    hooked = label.join(near, label.id == near.a, "left").select("id", F.least("comp", "m").alias("c2"))
-    jump = label.select(F.col("id").alias("c2"), F.col("comp").alias("c3"))
-    return hooked.join(jump, "c2", "left").select("id", F.least("c2", "c3").alias("comp"))
+    """One step of min-label propagation over the links (a, b both ways), and a pointer
+    jump. A label is a struct (rank, id of the root); ``moved`` says that it fell."""
+    near = _merge(both, label.select("id", "root"), both.b == label.id).groupBy("a").agg(F.min("root").alias("m"))
+    hooked = _merge(label.select("id", "root"), near, label.id == near.a, "left").select("id", "root", F.least("root", "m").alias("to"))
+    jump = label.select(F.col("id").alias("to_id"), F.col("root").alias("next"))
+    return _merge(hooked, jump, F.col("to.id") == F.col("to_id"), "left").select(
+        "id", F.least("to", "next").alias("root"), (F.least("to", "next") != F.col("root")).alias("moved"))
 
 
 def components(links: DataFrame, label: DataFrame) -> DataFrame:
     """Final (id, comp): the smallest id reachable over ``links`` (a, b), starting from
-    labels that are already reachable ids. Runs until a round changes nothing."""
+    labels that are already reachable. Runs until a round moves nothing."""
     both = cut_lineage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     while True:
-        fresh = cut_lineage(_spread(_spread(label, both), both))
-        total = [d.agg(F.sum(F.col("comp").cast("decimal(38,0)")).alias("s")).first().s for d in (label, fresh)]
-        label = fresh
-        if total[0] == total[1]:  # labels only ever fall
-            return label
+        label = cut_lineage(_spread(label, both))
+        if not label.filter("moved").head(1):
+            break
+    least = label.groupBy(F.col("root.id").alias("top")).agg(F.min("id").alias("comp"))
+    return _merge(label, least, F.col("root.id") == F.col("top")).select("id", "comp")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bands: int = BANDS,
@@ -181,12 +189,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
                           .select(*same_set, F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")))
     keys = classes.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = cut_lineage(keys.join(shared, "key"))
+    found = cut_lineage(_merge(keys, shared, "key"))
     weight = cut_lineage(found.groupBy("rep").agg(F.sum("n").alias("w")))
-    texts = cut_lineage(docs.select(F.col("doc_id").alias("id"), "text").join(
-        weight.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]))
-    label = weight.select(F.col("rep").alias("id"), F.col("rep").alias("comp"))
-    bucket = cut_lineage(found.join(weight, "rep").select("key", "rep", "w", F.col("rep").alias("comp"), F.lit(False).alias("led")))
+    texts = cut_lineage(_merge(docs.select(F.col("doc_id").alias("id"), "text"), weight.select(F.col("rep").alias("id")), "id", "left_semi")
+                        .dropDuplicates(["id"]))
+    # a class with larger buckets has the smaller label: a group's leader is its root
+    label = weight.select(F.col("rep").alias("id"), F.struct((-F.col("w")).alias("rank"), F.col("rep").alias("id")).alias("root"))
+    bucket = cut_lineage(_merge(found, weight, "rep").select("key", "rep", "w", F.col("rep").alias("comp"), F.lit(False).alias("led")))
     links = tested = None
     parts = 1
     while bucket.head(1):
@@ -194,29 +203,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         leaders = bucket.filter("not led").groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(parts)).alias("part")) \
             .agg(F.max_by(F.struct("rep", "comp"), F.struct("w", -F.col("rep"))).alias("l")) \
             .select("key", F.col("l.rep").alias("leader"), F.col("l.comp").alias("lcomp"))
-        pairs = bucket.join(leaders, "key").filter("comp <> lcomp").select("rep", "leader").distinct()
+        pairs = _merge(bucket, leaders, "key").filter("comp <> lcomp").select("rep", "leader").distinct()
         if tested is not None:
             known = tested.unionByName(tested.select(F.col("rep").alias("leader"), F.col("leader").alias("rep")))
-            pairs = pairs.join(known, ["rep", "leader"], "left_anti")
+            pairs = _merge(pairs, known, ["rep", "leader"], "left_anti")
         pairs = cut_lineage(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = cut_lineage(confirm(pairs, texts, percent, shingle).select(F.col("rep").alias("a"), F.col("leader").alias("b")))
         links = new if links is None else links.unionByName(new)
         both = new.unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        label = cut_lineage(_spread(_spread(label, both), both))
+        label = cut_lineage(_spread(label, both))
         led = leaders.select("key", F.col("leader").alias("rep"), F.lit(True).alias("_led"))
-        moved = bucket.join(led, ["key", "rep"], "left").join(label.select(F.col("id").alias("rep"), F.col("comp").alias("_new")), "rep") \
+        moved = _merge(_merge(bucket, led, ["key", "rep"], "left"), label.select(F.col("id").alias("rep"), F.col("root.id").alias("_new")), "rep") \
             .select("key", "rep", "w", F.col("_new").alias("comp"), (F.col("led") | F.col("_led").isNotNull()).alias("led"))
         open_ = moved.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("led").alias("done")) \
             .filter("c0 <> c1 and not done").select("key")
-        bucket = cut_lineage(moved.join(open_, "key", "left_semi"))
+        bucket = cut_lineage(_merge(moved, open_, "key", "left_semi"))
         parts *= GROWTH
-    of_rep = signed.join(classes.select(*same_set, "rep"), same_set, "left").select(
+    of_rep = _merge(signed, classes.select(*same_set, "rep"), same_set, "left").select(
         "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
     if links is None:
         return of_rep.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
     comp = components(links, label).select(F.col("id").alias("rep"), "comp")
-    return of_rep.join(comp, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
+    return _merge(of_rep, comp, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
 
 
 def component_report(docs: DataFrame, **kw) -> DataFrame:
