@@ -100,3 +100,10 @@ def test_diffs_truncation_divergence(spark):
     assert [r.diff_overall_quality for r in d.orderBy("id").collect()] == [-1, 0, 2]
     assert [r.id for r in ratings.truncation_rows(d).collect()] == [1]
     assert [r.id for r in ratings.divergent_rows(d, "id").collect()] == [1, 3]
+
+
+def test_single_quoted_objects_are_no_json(spark):
+    raw = "{'helpfulness': 2, 'relevance': 0, 'factual_grounding': 2}"
+    r = ratings.parse_judge(spark.createDataFrame([(raw,)], "raw_response string")).first()
+    assert (r.judge_helpfulness, r.judge_relevance, r.judge_factual_grounding) == (1, 1, 1)
+    assert r.judge_rationale == raw

@@ -47,3 +47,10 @@ def test_sampling_helpers(spark):
     s1 = [r.conversation_id for r in records.seeded_sample(df, 5).collect()]
     s2 = [r.conversation_id for r in records.seeded_sample(df, 5).collect()]
     assert s1 == s2 and len(set(s1)) == 5
+
+
+def test_unknown_author_is_a_customer(spark):
+    df = spark.createDataFrame([(1, 1, None, "where is it"), (1, 2, "support", "on the way"), (1, 3, "system", "note")],
+                               "conversation_id long, thread_order long, author_id string, text string")
+    r = records.build_records(df, support_author="support", drop_roles=["system"]).first()
+    assert r.customer_turns == "where is it" and r.n_messages == 2 and r.n_customer_turns == 1

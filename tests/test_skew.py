@@ -21,7 +21,7 @@ def test_hub_message(spark, hot_rows):
     # second-level hub: 600 replies to message 5, so a pointer stays hot after round 0
     rows += [(str(i), "c", "True", "@AppleSupport also", None, "5") for i in range(4000, 4600)]
     df = coerce_messages(spark.createDataFrame(rows, SCHEMA))
-    got = threads.build_threads(df, chunk_width=64, hot_rows=hot_rows).collect()
+    got = threads.build_threads(df, chunk_rows=64, hot_rows=hot_rows).collect()
     assert len(got) == len(rows)
     assert {r.conversation_id for r in got} == {1}
     assert sorted(r.thread_order for r in got) == list(range(1, len(rows) + 1))
@@ -39,7 +39,7 @@ def test_split_hot_join_equals_join(spark):
 def test_ordinal_within_equals_row_number(spark):
     data = [(0 if i % 3 else 1, (i * 7919) % 100_003, i) for i in range(5000)]
     df = spark.createDataFrame(data, "g int, k long, tie long")
-    got = ordinal_within(df, "g", "k", "pos", chunk_width=97, tie_col="tie")
+    got = ordinal_within(df, "g", "k", "pos", chunk_rows=97, tie_col="tie")
     want = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("k", "tie")))
     assert sorted(map(tuple, got.select("g", "k", "tie", "pos").collect())) == \
         sorted(map(tuple, want.select("g", "k", "tie", "pos").collect()))

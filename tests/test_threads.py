@@ -1,8 +1,9 @@
-"""C1-C7 on crafted reply graphs, checked against a direct walk (brute force)."""
+"""Hand-worked reply graphs, and random graphs against a recursive-SQL closure."""
 
 import random
-from collections import deque
 
+import duckdb
+import pandas as pd
 import pytest
 
 from threadlens.operators import threads
@@ -12,60 +13,25 @@ SCHEMA = ("tweet_id string, author_id string, inbound string, text string, respo
           "in_response_to_tweet_id string")
 
 
-def brute(rows, support="applesupport", handles=("@AppleSupport", "@applesupport")):
-    """Walk the graph one message at a time (the semantics, stated directly)."""
-    by_id = {}
-    for r in rows:
-        if r[0] is not None and str(r[0]).isdigit():
-            by_id[int(r[0])] = r
-    children = {}
-    for tid, r in by_id.items():
-        p = r[5]
-        if p is not None and str(p).isdigit():
-            children.setdefault(int(p), []).append(tid)
-
-    def listed(r):
-        v = r[4]
-        if v is None or v.strip() in ("nan", "", "None", "NaN"):
-            return []
-        v = v.strip().replace('"', "").replace("[", "").replace("]", "")
-        return [int(t.strip()) for t in v.split(",") if t.strip().isdigit()]
-
-    seeds = sorted(t for t, r in by_id.items() if r[1].strip().lower() == support)
-    q, seen = deque(seeds), set()
-    while q:
-        cur = q.popleft()
-        if cur in seen:
-            continue
-        seen.add(cur)
-        r = by_id[cur]
-        nxt = [c for c in listed(r) if c in by_id]
-        p = r[5]
-        if p is not None and str(p).isdigit() and int(p) in by_id:
-            nxt.append(int(p))
-        nxt += [c for c in children.get(cur, []) if c in by_id]
-        q.extend(c for c in nxt if c not in seen)
-    keep = {t for t in seen if by_id[t][1].strip().lower() == support or any(h in by_id[t][3] for h in handles)}
-
-    def root(t):
-        visited, cur = set(), t
-        while cur in by_id:
-            if cur in visited:
-                break
-            visited.add(cur)
-            p = by_id[cur][5]
-            if p is None or not str(p).isdigit() or int(p) not in by_id:
-                return cur
-            cur = int(p)
-        return t
-    out = {}
-    for t in sorted(keep):
-        out[t] = root(t)
-    order = {}
-    for conv in set(out.values()):
-        for i, t in enumerate(sorted(k for k, v in out.items() if v == conv), start=1):
-            order[t] = i
-    return {t: (out[t], order[t]) for t in out}
+def closure(rows):
+    """(id, root, order) by recursive SQL over (id, support, mentions, parent) and
+    (src, dst) tables: another engine, set-based."""
+    con = duckdb.connect()
+    con.register("m", pd.DataFrame([(r[0], r[1], r[2], r[4]) for r in rows], columns=["id", "support", "mentions", "parent"])
+                 .astype({"parent": "Int64"}))
+    con.register("listed", pd.DataFrame([(r[0], d) for r in rows for d in r[3]] or [(-1, -1)], columns=["src", "dst"]))
+    return {r[0]: (r[1], r[2]) for r in con.execute("""
+        WITH RECURSIVE up AS (SELECT a.id, a.parent FROM m a JOIN m b ON b.id = a.parent),
+        edge AS (SELECT id AS src, parent AS dst FROM up UNION SELECT parent, id FROM up
+                 UNION SELECT src, dst FROM listed WHERE dst IN (SELECT id FROM m)),
+        reach AS (SELECT id FROM m WHERE support UNION SELECT e.dst FROM reach JOIN edge e ON e.src = reach.id),
+        step AS (SELECT id, id AS cur, 0 AS n FROM m
+                 UNION ALL SELECT step.id, up.parent, n + 1 FROM step JOIN up ON up.id = step.cur
+                 WHERE n <= (SELECT count(*) FROM m)),
+        top AS (SELECT id, arg_max(cur, n) AS root, max(n) > (SELECT count(*) FROM m) AS looped FROM step GROUP BY id),
+        kept AS (SELECT m.id, CASE WHEN looped THEN m.id ELSE root END AS root FROM m JOIN top USING (id)
+                 WHERE (support OR mentions) AND m.id IN (SELECT id FROM reach))
+        SELECT id, root, row_number() OVER (PARTITION BY root ORDER BY id) FROM kept""").fetchall()}
 
 
 CRAFTED = [
@@ -109,38 +75,60 @@ def run(spark, rows, **kw):
     return {r.tweet_id: (r.conversation_id, r.thread_order) for r in got}
 
 
+# worked out by hand: id -> (conversation, position)
+EXPECTED = {
+    1: (1, 1), 2: (1, 2), 3: (1, 3),                  # chain
+    10: (10, 1), 11: (10, 2),                         # missing parent: stops at the last present message
+    20: (20, 1), 21: (21, 1), 22: (22, 1),            # a cycle and its tail keep their own ids
+    30: (30, 1), 31: (31, 1),                         # self-parent is a cycle
+    40: (40, 1), 41: (41, 1),                         # listed response, reached forward only
+    50: (50, 1), 52: (50, 2),                         # 51: not an accepted spelling
+    60: (60, 1), 61: (61, 1), 62: (62, 1), 63: (63, 1), 64: (64, 1),   # "61,62", "[63]", "64,x"
+}
+
+
 def test_crafted_graph(spark):
-    got = run(spark, CRAFTED)
-    assert got == brute(CRAFTED)
-    assert got[3] == (1, 3)                # chain
-    assert got[11] == (10, 2)              # missing parent: stops at the last present message
-    assert got[22][0] == 22 and got[20][0] == 20 and got[21][0] == 21   # cycle members keep their own id
-    assert got[31] == (31, 1) and got[30] == (30, 1)                    # self-parent is a cycle
-    assert 41 in got                        # listed response reached forward only
-    assert 52 in got and 51 not in got      # only the two accepted spellings
-    assert {61, 62, 63, 64} <= set(got)     # "61,62", "[63]", "64,x"
-    assert 70 not in got
-
-
-def test_random_graphs_against_brute_force(spark):
-    rnd = random.Random(7)
-    rows = []
-    for i in range(1, 400):
-        parent = rnd.choice([None, None] + [str(rnd.randint(1, 420)) for _ in range(3)])
-        listed = rnd.choice([None, "nan", str(rnd.randint(1, 420)), f"{rnd.randint(1, 420)},{rnd.randint(1, 420)}"])
-        author = rnd.choice(["AppleSupport", "u1", "u2", "u3"])
-        text = rnd.choice(["@AppleSupport hi", "plain", "@applesupport x", "@Applesupport y"])
-        rows.append((str(i), author, "True", text, listed, parent))
-    assert run(spark, rows) == brute(rows)
+    assert run(spark, CRAFTED) == EXPECTED
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_random_graphs_against_recursive_sql(spark, seed):
+    rnd = random.Random(seed)
+    plain, cells = [], []
+    for i in range(1, 300):
+        parent = rnd.choice([None, None] + [rnd.randint(1, 320) for _ in range(3)])
+        listed = [rnd.randint(1, 320) for _ in range(rnd.choice([0, 0, 1, 2]))]
+        support, mention = rnd.random() < 0.25, rnd.random() < 0.5
+        plain.append((i, support, mention, listed, parent))
+        cells.append((str(i), "AppleSupport" if support else "u1", "True", "@AppleSupport hi" if mention else "plain",
+                      ",".join(map(str, listed)) or None, None if parent is None else str(parent)))
+    assert run(spark, cells) == closure(plain)
 
 
 def test_metrics(spark):
     df = coerce_messages(spark.createDataFrame(CRAFTED, SCHEMA))
     m = threads.thread_metrics(threads.build_threads(df)).first()
-    expect = brute(CRAFTED)
-    assert m.n_rows == len(expect)
-    assert m.n_conversations == len({v[0] for v in expect.values()})
-    assert m.n_support == sum(1 for r in CRAFTED if r[1].strip().lower() == "applesupport" and int(r[0]) in expect)
+    assert m.n_rows == 19 and m.n_conversations == 15 and m.n_support == 7
+
+
+def test_long_listed_chain_and_bounds(spark):
+    rows = [(str(i), "AppleSupport" if i == 1 else "c", "True", "@AppleSupport", str(i + 1), None) for i in range(1, 13)]
+    assert set(run(spark, rows)) == set(range(1, 13))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(5)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        threads.reachable_units(spark.createDataFrame([(0,)], "unit long"), edges, max_rounds=2)
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(20)], "id long, parent long")
+    with pytest.raises(RuntimeError):
+        threads.resolve_roots(chain, max_rounds=2).count()
+
+
+def test_last_row_of_an_id_counts(spark):
+    rows = [("1", "AppleSupport", "False", "a", None, None, "1"), ("2", "c", "True", "@AppleSupport old", None, "1", "2"),
+            ("2", "c", "True", "@AppleSupport new", None, None, "3")]
+    df = coerce_messages(spark.createDataFrame(rows, SCHEMA + ", seq string"))
+    assert {r.tweet_id for r in threads.build_threads(df, row_order="seq").collect()} == {1}
+    got = threads.latest_messages(df, "seq").collect()
+    assert {(r.tweet_id, r.text) for r in got} == {(1, "a"), (2, "@AppleSupport new")}
 
 
 def test_long_chain_needs_few_rounds(spark):

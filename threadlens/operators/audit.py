@@ -9,7 +9,7 @@
   that contains the item. Documents are indexed by their distinct tokens, each
   item is joined on its longest interior token, and every candidate pair is
   verified with ``contains``. Items with fewer than three tokens have no such
-  anchor; they are matched by a broadcast of their (size-checked) texts.
+  anchor; they are matched by a broadcast of their texts, in blocks of a checked size.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ def _tokens(col):
 
 
 def contains_overlap(items: DataFrame, docs: DataFrame, item_id: str, item_text: str, doc_id: str,
-                     doc_text: str) -> DataFrame:
+                     doc_text: str, max_items: int = BROADCAST_ITEMS_MAX) -> DataFrame:
     """(item_id, doc_id) pairs where the item's text occurs in the document."""
     it = (items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("itext"))
           .filter(F.length(F.coalesce("itext", F.lit(""))) > 0)
@@ -59,12 +59,17 @@ def contains_overlap(items: DataFrame, docs: DataFrame, item_id: str, item_text:
     stats = short.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("itext")).alias("b")).first()
     if not stats["n"]:
         return long_hits
-    if stats["n"] > BROADCAST_ITEMS_MAX or (stats["b"] or 0) > BROADCAST_BYTES_MAX:
-        raise ValueError(f"{stats['n']} items of fewer than 3 tokens exceed the broadcast bound; "
-                         "give them longer texts or match them in exact mode")
-    short_hits = (dtext.join(F.broadcast(short), F.col("dtext").contains(F.col("itext")))
-                  .select("item_id", "doc_id"))
-    return long_hits.unionByName(short_hits)
+    # as many blocks as keep each within the bound (hashing leaves headroom), each a
+    # broadcast against all documents
+    blocks = 1
+    if stats["n"] > max_items or (stats["b"] or 0) > BROADCAST_BYTES_MAX:
+        blocks = 2 * max(-(-stats["n"] // max_items), -(-(stats["b"] or 0) // BROADCAST_BYTES_MAX))
+    part = F.pmod(F.xxhash64("item_id", "itext"), F.lit(blocks))
+    hits = long_hits
+    for k in range(blocks):
+        block = short if blocks == 1 else short.filter(part == k)
+        hits = hits.unionByName(dtext.join(F.broadcast(block), F.col("dtext").contains(F.col("itext"))).select("item_id", "doc_id"))
+    return hits
 
 
 def overlap_summary(items: DataFrame, pairs: DataFrame, item_id: str) -> DataFrame:

@@ -39,10 +39,17 @@ def parse_judge(df: DataFrame, raw_col: str = "raw_response", dims=DIMENSIONS,
     fields = ", ".join(f"`{d}` string" for d in list(dims) + ["rationale"])
     schema = f"struct<{fields}>"
     out = df.withColumn("_c", c).withColumn("_span", F.regexp_extract("_c", r"(?s)\{.*\}", 0))
-    whole_ok = F.json_object_keys("_c").isNotNull()
-    span_ok = F.json_object_keys("_span").isNotNull()
+    # strict JSON: the engine's default also takes single quotes
+    strict = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_bad"}
+    checked = f"struct<{fields}, _bad string>"
+
+    def is_object(name):
+        got = F.from_json(name, checked, strict)
+        return F.coalesce(F.json_object_keys(name).isNotNull() & got["_bad"].isNull(), F.lit(False))
+
+    whole_ok, span_ok = is_object("_c"), is_object("_span")
     out = (out.withColumn("_src", F.when(whole_ok, F.col("_c")).when(span_ok, F.col("_span")))
-           .withColumn("_obj", F.from_json("_src", schema))
+           .withColumn("_obj", F.from_json("_src", schema, {"allowSingleQuotes": "false"}))
            .withColumn("_keys", F.json_object_keys("_src")))
     cols = {}
     for d in dims:

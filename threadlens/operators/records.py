@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from threadlens.functions.rules import SUPPORT_AUTHOR
 from threadlens.functions.frames import keep_rows
 from threadlens.functions.text import clean_ascii
-from threadlens.operators.ordering import ordinal_within
+from threadlens.operators.ordering import CHUNK_ROWS, ordinal_within
 from threadlens.session import cut_lineage
 
 RECORD_COLUMNS = ["conversation_id", "text", "transcript", "customer_turns", "support_turns",
@@ -26,7 +26,7 @@ def _join_nonempty(arr_col, sep=" "):
 
 
 def build_records(threaded: DataFrame, support_author: str = SUPPORT_AUTHOR, drop_roles=None,
-                  chunk_width: int = 4096, unescape: str = "native") -> DataFrame:
+                  chunk_width: int = 4096, unescape: str = "full") -> DataFrame:
     """D1-D3 over (conversation_id, thread_order, author_id, text).
 
     Turns are cleaned with B1 and empty results dropped before numbering, so
@@ -35,7 +35,8 @@ def build_records(threaded: DataFrame, support_author: str = SUPPORT_AUTHOR, dro
     support and >= 1 customer turn. ``drop_roles`` removes authors first (the
     driver's system turns).
     """
-    m = threaded.filter(F.col("conversation_id").isNotNull())
+    # everyone who is not the support account is a customer, also an unknown author
+    m = threaded.filter(F.col("conversation_id").isNotNull()).withColumn("author_id", F.coalesce("author_id", F.lit("")))
     if drop_roles:
         m = m.filter(~F.lower(F.col("author_id")).isin([r.lower() for r in drop_roles]))
     m = (m.select("conversation_id", F.col("thread_order").cast("long").alias("ord"),
@@ -44,7 +45,7 @@ def build_records(threaded: DataFrame, support_author: str = SUPPORT_AUTHOR, dro
     # the cleaned turns feed two branches (chunk sizes and numbering):
     # materialise them instead of running the regex chain twice
     m = cut_lineage(m.drop("_author"))
-    m = ordinal_within(m, "conversation_id", "ord", "pos", chunk_width)
+    m = ordinal_within(m, "conversation_id", "ord", "pos", chunk_width if chunk_width < 4096 else CHUNK_ROWS)
     m = m.withColumn("_chunk", F.floor((F.col("pos") - 1) / F.lit(chunk_width)))
 
     turn = F.struct("pos", "is_support", "clean")

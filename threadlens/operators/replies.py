@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from threadlens.functions.rules import NOT_FOUND_EVIDENCE, REPLY_CLOSE, REPLY_LEAD
 from threadlens.functions.text import clean_ascii, extract_ints, keyword_regex
 
-PROVIDER_ORDER = ["groq", "gemini", "openrouter", "openai"]
+# The two provider chains, by the provider they start with.
+PROVIDER_CHAINS = {"groq": ["groq", "gemini", "openrouter"], "gemini": ["gemini", "groq", "openrouter", "openai"]}
+PROVIDER_ORDER = PROVIDER_CHAINS["groq"]
 FALLBACK_PROVIDER = "deterministic_fallback"
 FALLBACK_MODEL = "deterministic_template"
 
@@ -26,7 +28,9 @@ VERSION_RE = r"\d+(?:\.\d+)+"
 def hit_evidence(hits: DataFrame, records: DataFrame) -> DataFrame:
     """E2 + B10: ranked hits joined to their records, with the excerpts the
     triage output shows (customer: first 160 chars then clean; support: 180)."""
-    rec = records.dropDuplicates(["conversation_id"]).withColumnRenamed("conversation_id", "vector_id")
+    # of repeated records the smallest row, by all columns in order
+    rec = (records.groupBy("conversation_id").agg(F.min(F.struct(*[c for c in records.columns if c != "conversation_id"])).alias("_r"))
+           .select(F.col("conversation_id").alias("vector_id"), "_r.*"))
     return hits.join(rec, "vector_id").select(
         "query_id", "rank", F.col("vector_id").alias("conversation_id"), "score",
         clean_ascii(F.left("customer_turns", F.lit(160))).alias("customer_excerpt"),

@@ -5,8 +5,8 @@ Keys whose fact frequency reaches ``hot_rows`` are few by construction (at most
 facts / hot_rows of them); their dimension rows are broadcast (the count is
 checked against ``max_hot`` first) and joined map-side, so the hot key never
 lands in one reduce task. The remaining keys use an ordinary shuffle join that
-has no hot key left. Above the bound the plain join is used and AQE's skew-join
-split applies.
+has no hot key left. Above the bound the whole join is salted: fact rows spread
+over ``SALTS`` sub-keys, dimension rows repeated for each.
 """
 
 from __future__ import annotations
@@ -16,6 +16,14 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 MAX_HOT = 1_000_000
+SALTS = 32
+
+
+def salted_join(facts: DataFrame, dim: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+    """Inner join with every key cut into ``salts`` sub-keys by the fact row's hash."""
+    spread = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns, F.monotonically_increasing_id()), F.lit(salts)))
+    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return spread.join(copies, [key, "_salt"]).drop("_salt")
 
 
 def split_hot_join(facts: DataFrame, dim: DataFrame, key: str, freq: DataFrame | None = None,
@@ -27,8 +35,10 @@ def split_hot_join(facts: DataFrame, dim: DataFrame, key: str, freq: DataFrame |
         freq = facts.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     hot_keys = freq.filter(F.col("n") >= hot_rows).select(key)
     n_hot = hot_keys.count()
-    if n_hot == 0 or n_hot > max_hot:
+    if n_hot == 0:
         return facts.join(dim, key)
+    if n_hot > max_hot:
+        return salted_join(facts, dim, key)
     hk = F.broadcast(hot_keys)
     hot_dim = dim.join(hk, key, "left_semi")
     hot_part = facts.join(hk, key, "left_semi").join(F.broadcast(hot_dim), key)

@@ -36,21 +36,32 @@ from pyspark.sql import functions as F
 
 from threadlens.functions.rules import SUPPORT_AUTHOR, SUPPORT_HANDLES
 from threadlens.functions.text import parse_id_list
-from threadlens.operators.ordering import ordinal_within
+from threadlens.operators.ordering import CHUNK_ROWS, ordinal_within
 from threadlens.operators.skew import HOT_ROWS, split_hot_join
 from threadlens.session import cut_lineage
 
 
-def message_nodes(messages: DataFrame) -> DataFrame:
+def message_nodes(messages: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per message id with its parent nulled when the parent is absent
-    (C5 stops there). Duplicate ids: one row per id (max parent)."""
-    ids = messages.filter(F.col("tweet_id").isNotNull()).select(F.col("tweet_id").alias("id")).distinct()
+    (C5 stops there). Repeated ids: the largest parent (see ``latest_messages`` for
+    the last row of an id). Messages without a parent stay out of the join, and
+    parents with very many replies are split off in it."""
     raw = (messages.filter(F.col("tweet_id").isNotNull())
            .groupBy(F.col("tweet_id").alias("id"))
            .agg(F.max("in_response_to_tweet_id").alias("parent_raw")))
-    present = ids.select(F.col("id").alias("parent_raw"), F.lit(True).alias("_present"))
-    return (raw.join(present, "parent_raw", "left")
-            .select("id", F.when(F.col("_present"), F.col("parent_raw")).alias("parent")))
+    raw = cut_lineage(raw)
+    found = split_hot_join(raw.filter(F.col("parent_raw").isNotNull()).withColumnRenamed("parent_raw", "parent"),
+                           raw.select(F.col("id").alias("parent")), "parent", hot_rows=hot_rows)
+    return raw.select("id").join(found, "id", "left").select("id", "parent")
+
+
+def latest_messages(messages: DataFrame, row_order: str) -> DataFrame:
+    """One row per message id: the last by ``row_order`` (equal values: the largest
+    row). Rows without an id are dropped, as everywhere here."""
+    row = F.struct(*messages.columns)
+    key = F.struct(F.col(row_order).alias("_o"), F.xxhash64(*messages.columns).alias("_h"))
+    return (messages.filter(F.col("tweet_id").isNotNull()).groupBy("tweet_id")
+            .agg(F.max_by(row, key).alias("_r")).select("_r.*"))
 
 
 def resolve_roots(nodes: DataFrame, max_rounds: int = 64, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -68,9 +79,11 @@ def resolve_roots(nodes: DataFrame, max_rounds: int = 64, hot_rows: int = HOT_RO
     done_parts = [nodes.filter(F.col("parent").isNull()).select("id", F.col("id").alias("root"))]
     active = nodes.filter(F.col("parent").isNotNull()).select("id", F.col("parent").alias("ptr"))
     n_active = active.count()
-    for _ in range(max_rounds):
-        if n_active == 0:
-            break
+    rounds = 0
+    while n_active:
+        if rounds == max_rounds:
+            raise RuntimeError(f"{n_active} messages are unresolved after {max_rounds} rounds")
+        rounds += 1
         state = (spark_union(done_parts).select("id", F.lit(None).cast("bigint").alias("s_ptr"),
                                                 F.col("root").alias("s_root"))
                  .unionByName(active.select("id", F.col("ptr").alias("s_ptr"),
@@ -118,18 +131,19 @@ def thread_edges(messages: DataFrame, nodes: DataFrame, roots: DataFrame | None
     return listed.select("src", "dst").unionByName(up).unionByName(down).distinct()
 
 
-def reachable_units(seed_units: DataFrame, unit_edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def reachable_units(seed_units: DataFrame, unit_edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """C3 on the unit graph: semi-naive breadth-first closure of ``seed_units``
-    (column ``unit``) over ``unit_edges`` (src, dst)."""
+    (column ``unit``) over ``unit_edges`` (src, dst). Runs until a round finds
+    nothing; with ``max_rounds`` it raises where that bound is passed."""
     visited = cut_lineage(seed_units.select("unit").distinct())
     frontier = visited
     parts = [visited]
-    for _ in range(max_rounds):
+    while True:
+        if max_rounds is not None and len(parts) > max_rounds:
+            raise RuntimeError(f"the closure is not complete after {max_rounds} rounds")
         nxt = (frontier.join(unit_edges.withColumnRenamed("src", "unit"), "unit")
                .select(F.col("dst").alias("unit")).distinct())
-        for p in parts:
-            nxt = nxt.join(p, "unit", "left_anti")
-        nxt = cut_lineage(nxt)
+        nxt = cut_lineage(nxt.join(spark_union(parts), "unit", "left_anti"))
         if nxt.isEmpty():
             break
         parts.append(nxt)
@@ -165,23 +179,27 @@ def support_thread_ids(messages: DataFrame, support_author: str = SUPPORT_AUTHOR
 
 
 def build_threads(messages: DataFrame, support_author: str = SUPPORT_AUTHOR, handles=SUPPORT_HANDLES,
-                  chunk_width: int = 1 << 16, hot_rows: int = HOT_ROWS, order_by: str | None = None) -> DataFrame:
+                  chunk_rows: int = CHUNK_ROWS, hot_rows: int = HOT_ROWS, order_by: str | None = None,
+                  row_order: str | None = None) -> DataFrame:
     """The support threads. Every kept message row (duplicates of an id
     included) with ``conversation_id`` = root of its parent chain over the full
     table and ``thread_order`` = position inside the conversation: by id (the
     original rule) or, with ``order_by``, by that column (a timestamp or
-    number, e.g. ``created_at``) with the id breaking ties."""
-    nodes = cut_lineage(message_nodes(messages))
+    number, e.g. ``created_at``) with the id breaking ties. With ``row_order`` only
+    the last row of each id by that column counts."""
+    if row_order is not None:
+        messages = cut_lineage(latest_messages(messages, row_order))
+    nodes = cut_lineage(message_nodes(messages, hot_rows))
     roots = resolve_roots(nodes, hot_rows=hot_rows)
     keep_ids = support_thread_ids(messages, support_author, handles, roots=roots, nodes=nodes)
     rows = (messages.join(keep_ids.withColumnRenamed("id", "tweet_id"), "tweet_id", "left_semi")
             .join(roots.select(F.col("id").alias("tweet_id"), F.col("root").alias("conversation_id")), "tweet_id"))
     if order_by is None:
-        return ordinal_within(rows, "conversation_id", "tweet_id", "thread_order", chunk_width)
+        return ordinal_within(rows, "conversation_id", "tweet_id", "thread_order", chunk_rows)
     key = F.col(order_by).cast("timestamp").cast("double") if dict(rows.dtypes)[order_by] in ("string", "timestamp") \
         else F.col(order_by).cast("double")
     keyed = rows.withColumn("_order", F.coalesce(F.floor(key * 1000).cast("long"), F.lit(0)))
-    return ordinal_within(keyed, "conversation_id", "_order", "thread_order", chunk_width,
+    return ordinal_within(keyed, "conversation_id", "_order", "thread_order", chunk_rows,
                           tie_col="tweet_id").drop("_order")
 
 

@@ -614,21 +614,24 @@ def q_template_replies(spark, sf_dir):
 
 def _responses(spark, sf_dir):
     """Model responses as a table, derived from assistant turns: some queries
-    answered by the first provider, some only by the second (the first blank),
-    some by the third, some by an unknown provider only."""
-    c = _t(spark, sf_dir, "conversations").filter(F.col("turn").isin(1, 3))
-    m = F.col("conv_id") % 4
-    t1 = F.col("turn") == 1
+    answered by the first provider, some only by the second (the first blank), some by
+    the third, some only by the last of the longer chain, some by an unknown provider only.
+    The text is the first (or last) assistant turn of the conversation."""
+    c = _t(spark, sf_dir, "conversations").filter(F.col("role") == "assistant").groupBy("conv_id").agg(
+        F.min_by("text", "turn").alias("text"), F.max_by("text", "turn").alias("last_text"))
+    m = F.col("conv_id") % 5
     rows = [
-        c.filter((m == 0) & t1).select(F.col("conv_id").alias("query_id"), F.lit("groq").alias("provider"),
+        c.filter(m == 4).select(F.col("conv_id").alias("query_id"), F.lit("openai").alias("provider"),
+                                F.lit("openai-model").alias("model"), "text"),
+        c.filter(m == 0).select(F.col("conv_id").alias("query_id"), F.lit("groq").alias("provider"),
                                        F.lit("groq-model").alias("model"), "text"),
-        c.filter((m == 1) & t1).select(F.col("conv_id").alias("query_id"), F.lit("groq").alias("provider"),
-                                       F.lit("groq-model").alias("model"), F.lit("   ").alias("text")),
-        c.filter((m == 1) & t1).select(F.col("conv_id").alias("query_id"), F.lit("gemini").alias("provider"),
+        c.filter(m == 1).select(F.col("conv_id").alias("query_id"), F.lit("groq").alias("provider"),
+                                F.lit("groq-model").alias("model"), F.lit("   ").alias("text")),
+        c.filter(m == 1).select(F.col("conv_id").alias("query_id"), F.lit("gemini").alias("provider"),
                                        F.lit("gemini-model").alias("model"), "text"),
-        c.filter((m == 2) & ~t1).select(F.col("conv_id").alias("query_id"), F.lit("openrouter").alias("provider"),
-                                        F.lit("router-model").alias("model"), "text"),
-        c.filter((m == 3) & t1).select(F.col("conv_id").alias("query_id"), F.lit("other").alias("provider"),
+        c.filter(m == 2).select(F.col("conv_id").alias("query_id"), F.lit("openrouter").alias("provider"),
+                                F.lit("router-model").alias("model"), F.col("last_text").alias("text")),
+        c.filter(m == 3).select(F.col("conv_id").alias("query_id"), F.lit("other").alias("provider"),
                                        F.lit("other-model").alias("model"), "text"),
     ]
     out = rows[0]
@@ -651,6 +654,15 @@ def q_reply_provenance(spark, sf_dir):
                     F.length("generated_reply").alias("reply_chars"))
 
 
+@register("reply_provenance_long_chain")
+def q_reply_provenance_long_chain(spark, sf_dir):
+    """J3 on the chain that starts with the other provider and ends with a fourth."""
+    _, _, d = _drafts(spark, sf_dir)
+    p = replies.choose_reply(d, _responses(spark, sf_dir), replies.PROVIDER_CHAINS["gemini"])
+    return p.select("query_id", "provider_used", "model_used", "remote_request_succeeded",
+                    F.length("generated_reply").alias("reply_chars"))
+
+
 @register("reply_batch_check")
 def q_reply_batch_check(spark, sf_dir):
     """J4 totals."""
@@ -673,8 +685,9 @@ def q_reply_checks(spark, sf_dir):
 
 def _evidence_rows(spark, sf_dir):
     lab = _t(spark, sf_dir, "labels")
-    a = (F.col("doc_id") % 100).cast("string")
-    b = (F.col("doc_id") * 7 % 100).cast("string")
+    # documents outnumber conversations by ten: these run over the whole table
+    a = F.expr("doc_id div 10").cast("string")
+    b = F.expr("doc_id * 3 div 40").cast("string")
     k = F.col("doc_id") % 4
     cell = (F.when(k == 0, F.concat(a, F.lit("|"), b, F.lit("|99999")))
             .when(k == 1, F.lit(""))

@@ -762,16 +762,19 @@ drafts AS {_reply_expr('ranked', 'query_id')}
 ORACLE["template_replies"] = f"WITH {_DRAFTS} SELECT query_id, evidence_ids, round(top_score, 6) AS top_score, reply FROM drafts"
 
 _RESP = """
+answers AS (
+  SELECT conv_id, arg_min(text, turn) AS text, arg_max(text, turn) AS last_text
+  FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
 resp AS (
-  SELECT conv_id AS query_id, 'groq' AS provider, 'groq-model' AS model, text FROM conversations WHERE conv_id % 4 = 0 AND turn = 1
-  UNION ALL SELECT conv_id, 'groq', 'groq-model', '   ' FROM conversations WHERE conv_id % 4 = 1 AND turn = 1
-  UNION ALL SELECT conv_id, 'gemini', 'gemini-model', text FROM conversations WHERE conv_id % 4 = 1 AND turn = 1
-  UNION ALL SELECT conv_id, 'openrouter', 'router-model', text FROM conversations WHERE conv_id % 4 = 2 AND turn = 3
-  UNION ALL SELECT conv_id, 'other', 'other-model', text FROM conversations WHERE conv_id % 4 = 3 AND turn = 1),
+  SELECT conv_id AS query_id, 'groq' AS provider, 'groq-model' AS model, text FROM answers WHERE conv_id % 5 = 0
+  UNION ALL SELECT conv_id, 'groq', 'groq-model', '   ' FROM answers WHERE conv_id % 5 = 1
+  UNION ALL SELECT conv_id, 'gemini', 'gemini-model', text FROM answers WHERE conv_id % 5 = 1
+  UNION ALL SELECT conv_id, 'openrouter', 'router-model', last_text FROM answers WHERE conv_id % 5 = 2
+  UNION ALL SELECT conv_id, 'other', 'other-model', text FROM answers WHERE conv_id % 5 = 3
+  UNION ALL SELECT conv_id, 'openai', 'openai-model', text FROM answers WHERE conv_id % 5 = 4),
 ok AS (
-  SELECT query_id, arg_min({'provider': provider, 'model': model, 'text': text},
-                           CASE provider WHEN 'groq' THEN 1 WHEN 'gemini' THEN 2 WHEN 'openrouter' THEN 3 WHEN 'openai' THEN 4 END) AS pick
-  FROM resp WHERE provider IN ('groq', 'gemini', 'openrouter', 'openai') AND length(trim(coalesce(text, ''))) > 0
+  SELECT query_id, arg_min({'provider': provider, 'model': model, 'text': text}, list_position(CHAIN, provider)) AS pick
+  FROM resp WHERE list_contains(CHAIN, provider) AND length(trim(coalesce(text, ''))) > 0
   GROUP BY query_id),
 chosen AS (
   SELECT d.query_id, d.evidence_ids AS evidence_ids_text,
@@ -781,6 +784,12 @@ chosen AS (
          o.pick IS NOT NULL AS remote_request_succeeded
   FROM drafts d LEFT JOIN ok o USING (query_id))
 """
+_LONG_RESP = _RESP.replace("CHAIN", "['gemini', 'groq', 'openrouter', 'openai']")
+_RESP = _RESP.replace("CHAIN", "['groq', 'gemini', 'openrouter']")
+
+ORACLE["reply_provenance_long_chain"] = f"""
+WITH {_DRAFTS}, {_LONG_RESP}
+SELECT query_id, provider_used, model_used, remote_request_succeeded, length(generated_reply) AS reply_chars FROM chosen"""
 
 ORACLE["reply_provenance"] = f"""
 WITH {_DRAFTS}, {_RESP}
@@ -817,9 +826,9 @@ ORACLE["evidence_text"] = f"""
 WITH {_RECORDS},
 rows AS (
   SELECT doc_id AS row_id,
-         CASE doc_id % 4 WHEN 0 THEN CAST(doc_id % 100 AS VARCHAR) || '|' || CAST(doc_id * 7 % 100 AS VARCHAR) || '|99999'
+         CASE doc_id % 4 WHEN 0 THEN CAST(doc_id // 10 AS VARCHAR) || '|' || CAST(doc_id * 3 // 40 AS VARCHAR) || '|99999'
                          WHEN 1 THEN ''
-                         WHEN 2 THEN '[' || CAST(doc_id % 100 AS VARCHAR) || ', ' || CAST(doc_id * 7 % 100 AS VARCHAR) || ']'
+                         WHEN 2 THEN '[' || CAST(doc_id // 10 AS VARCHAR) || ', ' || CAST(doc_id * 3 // 40 AS VARCHAR) || ']'
                          ELSE '999998,999999' END AS cell
   FROM labels),
 ids AS (SELECT row_id, regexp_extract_all(cell, '\\d+') AS raw FROM rows),

@@ -44,7 +44,9 @@ def index_side(records: DataFrame, dim: int = VECTOR_DIM) -> DataFrame:
 def triage(messages: DataFrame, indexed_records: DataFrame, k: int = 3, rules: EscalationRules = DEFAULT_RULES,
            lex: Lexicon = DEFAULT_LEXICON, message_id: str = "message_id", text: str = "text",
            classify=lexicon_intent, dim: int = VECTOR_DIM, n_index: int | None = None) -> DataFrame:
-    msgs = messages.select(F.col(message_id).alias("query_id"), F.col(text).alias("query"))
+    # an id of our own: message ids may repeat (a replayed stream delivers them twice)
+    msgs = cut_lineage(messages.select(F.monotonically_increasing_id().alias("query_id"), F.col(message_id).alias("_mid"),
+                                       F.col(text).alias("query")))
     msgs = msgs.withColumn("clean", clean_ascii("query")).withColumn("n_words", token_count("clean"))
     # read by the encoder, the reply and the decision: clean and classify once
     msgs = cut_lineage(classify(msgs, lex))
@@ -77,7 +79,7 @@ def triage(messages: DataFrame, indexed_records: DataFrame, k: int = 3, rules: E
                                                       f"({replies.FALLBACK_MODEL})")),
         _stage(6, "Making Escalation Decision", F.concat(badge, F.lit(": "), F.col("reason"))))
     return out.select(
-        F.col("query_id").alias(message_id), "query", "intent", "intent_confidence",
+        F.col("_mid").alias(message_id), "query", "intent", "intent_confidence",
         F.transform("evidence_ids", lambda i: i.cast("string")).alias("evidence_ids"), "evidence",
         "top_score", "reply",
         F.lit(replies.FALLBACK_PROVIDER).alias("provider_used"), F.lit(replies.FALLBACK_MODEL).alias("model_used"),

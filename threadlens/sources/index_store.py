@@ -9,18 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.functions.vectors import l2_normalize
-from threadlens.operators.ordering import ordinal_within
+from threadlens.operators.ordering import CHUNK_ROWS, ordinal_within
 
 METRIC = "inner_product_normalized_cosine"
 
 
 def index_table(records: DataFrame, id_col: str = "conversation_id", vec_col: str = "embedding",
-                chunk_width: int = 1 << 16) -> DataFrame:
+                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Dense 0-based ``vector_id`` in id order (chunked ordinal, no
     single-partition window), normalised embedding."""
     base = records.select(F.col(id_col).cast("long").alias("conversation_id"),
                           l2_normalize(vec_col).alias("embedding"), F.lit(0).alias("_g"))
-    return (ordinal_within(base, "_g", "conversation_id", "_pos", chunk_width)
+    return (ordinal_within(base, "_g", "conversation_id", "_pos", chunk_rows)
             .select((F.col("_pos") - 1).cast("long").alias("vector_id"), "conversation_id", "embedding"))
 
 
@@ -38,13 +38,20 @@ def save_index(index: DataFrame, path: str) -> None:
 
 def load_index(spark: SparkSession, path: str, build_from: DataFrame | None = None, **kw):
     """Return (index, metadata); builds and saves from ``build_from`` when the
-    path holds no index yet."""
-    vec_path = os.path.join(path, "vectors")
-    try:
-        idx = spark.read.parquet(vec_path)
-    except Exception:
+    path holds no complete index yet (the metadata are written last, so vectors
+    without them are an interrupted save). Any other read error is raised: an index
+    that is there is never overwritten."""
+    if not _complete(spark, path):
         if build_from is None:
             raise FileNotFoundError(f"no vector index at {path}")
         save_index(index_table(build_from, **kw), path)
-        idx = spark.read.parquet(vec_path)
-    return idx, spark.read.parquet(os.path.join(path, "meta"))
+    return spark.read.parquet(os.path.join(path, "vectors")), spark.read.parquet(os.path.join(path, "meta"))
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    found = []
+    for part in ("vectors", "meta"):
+        p = jvm.org.apache.hadoop.fs.Path(os.path.join(path, part, "_SUCCESS"))
+        found.append(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+    return all(found)
