@@ -21,7 +21,8 @@ def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
 
 
 class ChunkCache:
-    """Ids of distinct chunks. ``encode(list of new chunks)`` returns (flat ids, lengths)."""
+    """Ids of distinct chunks. ``encode(list of new chunks)`` returns (the chunks in the
+    order of what follows, flat ids, lengths)."""
 
     def __init__(self, encode, dtype):
         self._encode, self._dtype = encode, dtype
@@ -40,7 +41,7 @@ class ChunkCache:
         index = self._index
         new = list(set(chunks).difference(index))
         if new:
-            flat, lens = self._encode(new)
+            new, flat, lens = self._encode(new)
             index.update(zip(new, range(len(index), len(index) + len(new))))
             self._off = np.concatenate([self._off, len(self._flat) + np.cumsum(lens) - lens])
             self._len = np.concatenate([self._len, lens])

@@ -244,7 +244,7 @@ def model_at(path: str) -> tuple[PieceModel, ChunkCache]:
     """Model and chunk cache of this worker."""
     if path not in _models:
         model = PieceModel(path)
-        _models[path] = model, ChunkCache(model.encode_chunks, np.int32)
+        _models[path] = model, ChunkCache(lambda new: (new, *model.encode_chunks(new)), np.int32)
     return _models[path]
 
 

@@ -148,7 +148,7 @@ def histogram_sort(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.0
     keyed = with_keys(kept)
     narrow = cut_lineage(keyed.select("_hs_t", "_hs_i", "_hs_id", "_hs_size"))
     borders = find_borders(narrow, shards, tolerance)
-    slices = max(64, min(MAX_SLICES, -(-narrow.count() // slice_rows)))
+    slices = max(512, min(MAX_SLICES, -(-narrow.count() // slice_rows)))
     width = -(-_SPAN // slices)
     shard = F.lit(0)
     for key in borders:

@@ -64,25 +64,23 @@ class _Encoder:
         for name, i in self.lib.get_vocab(with_added_tokens=True).items():
             self.token_bytes[i] = len(added[i].encode()) if i in added else len(name)
 
-    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(flat ids, ids per chunk). Chunks led by a space that end with a non-space go through the library as one text: tokens start where they do."""
-        joint = [k for k, c in enumerate(chunks) if c[0] != " " and not c[-1].isspace()]
-        chunks = [c[1:] if c[0] == " " else " " + c for c in chunks]
-        alone = sorted(set(range(len(chunks))) - set(joint))
-        parts: list = [None] * len(chunks)
-        got = self.lib.encode_batch_fast([chunks[k] for k in alone], add_special_tokens=False)
-        for k, e in zip(alone, got):
-            parts[k] = np.array(e.ids, np.int64)
+    def encode(self, keys: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(keys reordered, flat ids, ids per key). Chunks led by a space that end with a
+        non-space go through the library as one text: tokens start where they do, and
+        the byte lengths of the tokens say where."""
+        joint = [k for k in keys if k[0] != " " and not k[-1].isspace()]
+        alone = [k for k in keys if k[0] == " " or k[-1].isspace()]
+        got = self.lib.encode_batch_fast([k[1:] if k[0] == " " else " " + k for k in alone], add_special_tokens=False)
+        flat = [np.array(e.ids, np.int64) for e in got]
+        lens = [np.fromiter(map(len, flat), np.int64, len(flat))]
         for lo in range(0, len(joint), 20_000):
             some = joint[lo:lo + 20_000]
-            texts = [chunks[k] for k in some]
-            ids = np.array(self.lib.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.cumsum(self.token_bytes[ids])
-            stops = np.searchsorted(ends, np.cumsum([len(t.encode()) for t in texts]), side="left") + 1
-            for k, piece in zip(some, np.split(ids, stops[:-1])):
-                parts[k] = piece
-        return (np.concatenate(parts) if parts else np.zeros(0, np.int64),
-                np.fromiter(map(len, parts), np.int64, len(parts)))
+            ids = np.array(self.lib.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            size = np.fromiter((len(k) if k.isascii() else len(k.encode()) for k in some), np.int64, len(some)) + 1
+            stops = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum(size), side="left") + 1
+            flat.append(ids)
+            lens.append(np.diff(stops, prepend=0))
+        return alone + joint, np.concatenate(flat) if flat else np.zeros(0, np.int64), np.concatenate(lens)
 
 
 _encoders: dict[str, tuple[_Encoder, ChunkCache]] = {}
