@@ -235,6 +235,33 @@ def with_block(docs: DataFrame, splitters: list[int], name: str = "_blk") -> Dat
     return map_arrow(docs, add, schema)
 
 
+def pack_by(df: DataFrame, key: str = "_blk") -> DataFrame:
+    """(key, _pack): the other columns' rows, per batch and key value as one compressed
+    Arrow stream. Texts of one language shrink far better together than row by row, so an
+    exchange of packs moves and stores a fraction of the bytes."""
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(key)
+            keys = batch.column(at).to_numpy(zero_copy_only=False)
+            rest = pa.RecordBatch.from_arrays([c for k, c in enumerate(batch.columns) if k != at],
+                                              names=[n for k, n in enumerate(batch.schema.names) if k != at])
+            order = np.argsort(keys, kind="stable")
+            cuts = np.flatnonzero(np.diff(keys[order])) + 1
+            for rows in np.split(order, cuts) if len(keys) else []:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(rest.take(pa.array(rows)))
+                yield pa.RecordBatch.from_arrays([pa.array([keys[rows[0]]], pa.int32()),
+                                                  pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=[key, "_pack"])
+
+    return map_arrow(df, run, f"{key} int, _pack binary")
+
+
+def unpack(table: pa.Table) -> pa.Table:
+    """The rows of a group of packs."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in table["_pack"]])
+
+
 # --- columns that only pass through -----------------------------------------
 
 def sealed(docs: DataFrame, own: tuple[str, ...] = ("doc_id", "text")):

@@ -5,8 +5,8 @@ the counts, rows 3 the thresholds, rows 2 are held out), order 4. A 4-gram is on
 64-bit integer, 16 bits a character (characters above U+FFFF share 2,048 codes), so
 contexts and shorter grams are shifts and masks of it, and counting is SQL:
 
-1. Documents go to blocks by the hash of their id (one exchange of the text, used
-   twice), labels to the same blocks. A block sends each distinct 4-gram once, with its
+1. Documents go to blocks by the hash of their id (exchanged in compressed packs, here
+   and in step 3), labels to the same blocks. A block sends each distinct 4-gram once, with its
    count in trusted text (0: only elsewhere).
 2. Counts of order 4 are sums; counts of lower orders are continuation counts (distinct
    left extensions); discounts come from the counts of counts of each order. The log
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
-from .common import U64, corpus_size, documents, int_column, text_column
+from .common import U64, corpus_size, documents, int_column, pack_by, text_column, unpack
 from .langid import held_out
 
 ORDER = 4
@@ -86,6 +86,7 @@ def gram_rows(docs: pa.Table, trusted: pa.Table) -> pa.Table:
     """(_blk, gram, n): the block's distinct 4-grams and their counts in trusted text."""
     if docs.num_rows == 0:
         return pa.table({"_blk": pa.array([], pa.int32()), "gram": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+    blk, docs = docs["_blk"][0].as_py(), unpack(docs)
     ids = int_column(docs, "doc_id").to_pylist()
     good = set(int_column(trusted, "doc_id").to_pylist())
     texts = [t.decode() for t in text_column(docs).to_pylist()]
@@ -98,7 +99,7 @@ def gram_rows(docs: pa.Table, trusted: pa.Table) -> pa.Table:
         if len(parts) > 8:
             parts = [_merge(parts)]
     u, c = _merge(parts)
-    return pa.table({"_blk": pa.array(np.full(len(u), docs["_blk"][0].as_py()), pa.int32()),
+    return pa.table({"_blk": pa.array(np.full(len(u), blk), pa.int32()),
                      "gram": pa.array(u.view(np.int64)), "n": pa.array(c, pa.int64())})
 
 
@@ -168,7 +169,7 @@ def score(docs: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BYTES) ->
     n, size = corpus_size(docs)
     blocks = max(1, -(-size // block_bytes), -(-n // 1_000_000))
     blk = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("_blk")
-    rows = docs.select(blk, "doc_id", "text", "lang")
+    rows = pack_by(docs.select(blk, "doc_id", "text", "lang"))
     good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("q")) \
         .filter((F.col("q") >= 1) & ~held_out()).select(blk, "doc_id", _fold().alias("fold"))
 
@@ -184,6 +185,7 @@ def score(docs: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BYTES) ->
     fitted = bool(some)
 
     def finish(table: pa.Table, got: pa.Table) -> pa.Table:
+        table = unpack(table)
         ids = int_column(table, "doc_id")
         known = set(int_column(got, "doc_id").drop_null().to_pylist())
         keys = got["gram"].combine_chunks().drop_null() if got.num_rows else pa.array([], pa.int64())
