@@ -1,6 +1,7 @@
 """Registered queries of the numbered operators, and their SQL where SQL can say it."""
 
 from . import decontaminate, fingerprint, langid, minhash, pieces, quality, sharding, substring, tokens, toxicity
+from .oracle import ORACLE
 
 QUERIES = {
     "op1_document_fingerprints": fingerprint.op1_document_fingerprints,
@@ -15,4 +16,4 @@ QUERIES = {
     "op10_histogram_sort": sharding.op10_histogram_sort,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
