@@ -2,14 +2,14 @@
 chunk is encoded once per cache, and whole texts are put together by array gathers.
 
 The cache is bounded (``MAX_CHUNKS`` distinct chunks, or ``MAX_IDS`` ids; then it starts anew), so a task's
-memory does not grow with its input. Keys are the chunks themselves, not hashes.
+memory does not grow with its input; a task clears it when it ends. Keys are the chunks themselves, not hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-MAX_CHUNKS = 600_000
+MAX_CHUNKS = 300_000
 MAX_IDS = 4_000_000
 
 
@@ -26,9 +26,10 @@ class ChunkCache:
 
     def __init__(self, encode, dtype):
         self._encode, self._dtype = encode, dtype
-        self._clear()
+        self.clear()
 
-    def _clear(self):
+    def clear(self):
+        """Forget all chunks (at the end of a task: idle workers keep no memory)."""
         self._index: dict = {}
         self._flat = np.zeros(0, self._dtype)
         self._off = np.zeros(0, np.int64)
@@ -37,7 +38,7 @@ class ChunkCache:
     def ids(self, chunks: list, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks in order, ids per text); counts: chunks per text."""
         if len(self._index) > MAX_CHUNKS or len(self._flat) > MAX_IDS:
-            self._clear()
+            self.clear()
         index = self._index
         new = list(set(chunks).difference(index))
         if new:

@@ -264,13 +264,25 @@ def encode_strings(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]
 def _encoded(batch: pa.RecordBatch, path: str):
     """(first row, end row, texts' id arrays with begin and end) per part."""
     model, _ = model_at(path)
-    for lo, hi, raw, offs in text_parts(text_column(batch), 1_000_000):
+    for lo, hi, raw, offs in text_parts(text_column(batch), 500_000):
         data = raw.tobytes()
         ids, lens = encode_strings(path, [data[a:b].decode() for a, b in zip(offs[:-1], offs[1:])])
         ends = np.cumsum(lens)
         yield lo, hi, [np.concatenate([[model.bos], ids[e - n:e], [model.eos]]).astype(np.uint32) for e, n in zip(ends, lens)]
 
 
+def _tasks(run, path: str):
+    """``run`` over the batches of a task; the chunk cache goes when the task ends."""
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            model_at(path)[1].clear()
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` plus ``piece_ids`` (array of ids) and ``decoded`` (their text)."""
     kept, restore = sealed(docs)
@@ -285,7 +297,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
                     [*batch.slice(lo, hi - lo).columns, pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())),
                      pa.array([model.decode(x) for x in ids], pa.string())], names=schema.names)
 
-    return restore(map_arrow(kept, run, schema), ("piece_ids", "decoded"))
+    return restore(map_arrow(kept, _tasks(run, path), schema), ("piece_ids", "decoded"))
 
 
 def piece_report(docs: DataFrame, path: str) -> DataFrame:
@@ -302,7 +314,7 @@ def piece_report(docs: DataFrame, path: str) -> DataFrame:
                      pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
                      pa.array([hashlib.sha256(model.decode(x).encode()).hexdigest() for x in ids], pa.string())], names=names)
 
-    return map_arrow(docs.select("doc_id", "text"), run,
+    return map_arrow(docs.select("doc_id", "text"), _tasks(run, path),
                      "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

@@ -177,6 +177,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str, slice_bytes:
         out.write(_slice_name("ids", k), flat)
         out.write(_slice_name("lengths", k), [np.concatenate(lens).astype("<i8")])
         out.write(_slice_name("docs", k), [ids[order].astype("<i8")])
+        _encoder(path)[1].clear()
         return pa.table({"slice": pa.array([k], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()),
                          "n_ids": pa.array([int(np.concatenate(lens).sum())], pa.int64()),
                          "width": pa.array([dtype.itemsize], pa.int32())})

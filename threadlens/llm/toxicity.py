@@ -55,7 +55,7 @@ SUBSEQUENCE = 3
 LONG = 12
 THRESHOLD = 0.3
 COST = 1.0
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SINGLES = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
 
