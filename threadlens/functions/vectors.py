@@ -33,11 +33,6 @@ def l2_normalize(vec) -> Column:
                                              .otherwise(v)))
 
 
-def dot(a, b) -> Column:
-    return F.aggregate(F.zip_with(as_double(a), as_double(b), lambda x, y: x * y),
-                       F.lit(0.0).cast("double"), lambda acc, x: acc + x)
-
-
 def term_bucket(term, dim: int) -> Column:
     """Stable bucket of a term: first 8 hex digits of md5, mod dim (same in
     any engine with md5)."""

@@ -89,11 +89,6 @@ def batch_check(batch: DataFrame, known=("groq", "gemini", "openai", "openrouter
     return batch.agg(*aggs)
 
 
-def counts_by(batch: DataFrame, col: str) -> DataFrame:
-    """Rows per provider or per model."""
-    return batch.groupBy(col).agg(F.count(F.lit(1)).alias("n_rows"))
-
-
 def evidence_text(rows: DataFrame, cell_col: str, records: DataFrame, row_id: str = "row_id",
                   order_col: str = "conversation_id", cut: int = 200) -> DataFrame:
     """E3 + A7: evidence blocks for an id-list cell. Ids are every digit run of

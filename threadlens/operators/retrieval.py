@@ -161,13 +161,6 @@ def topk_cosine(queries: DataFrame, index: DataFrame, k: int, query_id: str = "q
                        .select("query_id", F.col("rank").cast("int").alias("rank"), "vector_id", "score"))
 
 
-def lookup_hits(hits: DataFrame, records: DataFrame, id_col: str = "conversation_id") -> DataFrame:
-    """Join ranked hits to their records; ids missing from the records are
-    skipped; duplicate record ids keep one row (smallest by all columns)."""
-    first = records.dropDuplicates([id_col])
-    return hits.join(first.withColumnRenamed(id_col, "vector_id"), "vector_id")
-
-
 def parity(hits_a: DataFrame, hits_b: DataFrame, tol: float = 1e-4) -> DataFrame:
     """H4: compare two top-k results on (query_id, rank): same id and scores
     within ``tol``; one row (n_pairs, n_mismatch)."""

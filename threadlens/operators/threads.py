@@ -64,7 +64,8 @@ def latest_messages(messages: DataFrame, row_order: str) -> DataFrame:
             .agg(F.max_by(row, key).alias("_r")).select("_r.*"))
 
 
-def resolve_roots(nodes: DataFrame, max_rounds: int = 64, hot_rows: int = HOT_ROWS) -> DataFrame:
+def resolve_roots(nodes: DataFrame, max_rounds: int = 64, hot_rows: int = HOT_ROWS,
+                  materialized: bool = False) -> DataFrame:
     """(id, parent) -> (id, root).
 
     root = last message of the parent chain (null parent); a message on or
@@ -75,7 +76,7 @@ def resolve_roots(nodes: DataFrame, max_rounds: int = 64, hot_rows: int = HOT_RO
     resolves nothing, no unresolved message can ever reach a chain end (the
     closest one would have resolved), so the rest are cycle members.
     """
-    nodes = cut_lineage(nodes.select("id", "parent"))
+    nodes = nodes.select("id", "parent") if materialized else cut_lineage(nodes.select("id", "parent"))
     done_parts = [nodes.filter(F.col("parent").isNull()).select("id", F.col("id").alias("root"))]
     active = nodes.filter(F.col("parent").isNotNull()).select("id", F.col("parent").alias("ptr"))
     n_active = active.count()
@@ -190,7 +191,7 @@ def build_threads(messages: DataFrame, support_author: str = SUPPORT_AUTHOR, han
     if row_order is not None:
         messages = cut_lineage(latest_messages(messages, row_order))
     nodes = cut_lineage(message_nodes(messages, hot_rows))
-    roots = resolve_roots(nodes, hot_rows=hot_rows)
+    roots = resolve_roots(nodes, hot_rows=hot_rows, materialized=True)
     keep_ids = support_thread_ids(messages, support_author, handles, roots=roots, nodes=nodes)
     rows = (messages.join(keep_ids.withColumnRenamed("id", "tweet_id"), "tweet_id", "left_semi")
             .join(roots.select(F.col("id").alias("tweet_id"), F.col("root").alias("conversation_id")), "tweet_id"))
