@@ -1,8 +1,8 @@
 """Encoding by distinct chunk: a text is cut where no token can cross, each distinct
 chunk is encoded once per cache, and whole texts are put together by array gathers.
 
-The cache is bounded (``MAX_CHUNKS`` distinct chunks, or ``MAX_IDS`` ids; then it starts anew), so a task's
-memory does not grow with its input; a task clears it when it ends. Keys are the chunks themselves, not hashes.
+The cache is bounded (``max_chunks`` distinct chunks, or ``MAX_IDS`` ids; then it starts anew), so a task's
+memory does not grow with its input. Keys are the chunks themselves, not hashes.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ class ChunkCache:
     """Ids of distinct chunks. ``encode(list of new chunks)`` returns (the chunks in the
     order of what follows, flat ids, lengths)."""
 
-    def __init__(self, encode, dtype):
-        self._encode, self._dtype = encode, dtype
+    def __init__(self, encode, dtype, max_chunks: int = MAX_CHUNKS):
+        self._encode, self._dtype, self._max = encode, dtype, max_chunks
         self.clear()
 
     def clear(self):
@@ -37,7 +37,7 @@ class ChunkCache:
 
     def ids(self, chunks: list, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks in order, ids per text); counts: chunks per text."""
-        if len(self._index) > MAX_CHUNKS or len(self._flat) > MAX_IDS:
+        if len(self._index) > self._max or len(self._flat) > MAX_IDS:
             self.clear()
         index = self._index
         new = list(set(chunks).difference(index))

@@ -46,6 +46,8 @@ from .chunks import ChunkCache
 from .common import documents, id_splitters, int_column, map_arrow, text_column, text_parts, with_block
 
 SLICE_BYTES = 8_000_000
+# slices are small, so the cache serves several slices of a worker
+MAX_CHUNKS = 600_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _HARD = re.compile(r"\s | \s")
 _NO_ID = -2**63
@@ -90,7 +92,7 @@ def _encoder(path: str):
     if path not in _encoders:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         enc = _Encoder(path)
-        _encoders[path] = enc, ChunkCache(enc.encode, np.int32)
+        _encoders[path] = enc, ChunkCache(enc.encode, np.int32, MAX_CHUNKS)
     return _encoders[path]
 
 
@@ -177,7 +179,6 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str, slice_bytes:
         out.write(_slice_name("ids", k), flat)
         out.write(_slice_name("lengths", k), [np.concatenate(lens).astype("<i8")])
         out.write(_slice_name("docs", k), [ids[order].astype("<i8")])
-        _encoder(path)[1].clear()
         return pa.table({"slice": pa.array([k], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()),
                          "n_ids": pa.array([int(np.concatenate(lens).sum())], pa.int64()),
                          "width": pa.array([dtype.itemsize], pa.int32())})
