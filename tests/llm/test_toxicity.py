@@ -31,6 +31,21 @@ def test_inserted_letters_and_gaps_still_match():
     assert f.of(["x i d i o t x"]).any() and not f.of(["", "nothing at all"]).any()
 
 
+def test_masked_words_and_all_pairs():
+    marks = ["loser", "clown", "trash", "worthless", "pathetic", "scum", "idiot", "ümläut", "aaaa"]
+    masked = ["l*ser", "cl*wn", "tr*sh", "w*rthl*ss", "p*th*tic"]
+    value = toxicity.Landmarks(marks).compare([toxicity.letters(w) for w in masked])
+    assert (value[np.arange(5), np.arange(5)] > 0.5).all()
+    words = [toxicity.letters(w) for w in masked] + ["scumbag", "idxixot", "umlaut", "aaa", "aaaaaa", "losers", "日本語", "ab", "", "worthlessnes"]
+    for floor in (0.0, 0.5):
+        got = toxicity.Landmarks(marks).compare(words, floor=floor)
+        for i, a in enumerate(words):
+            for j, b in enumerate(marks):
+                v = kernel(a, b) / np.sqrt(kernel(a, a) * kernel(b, b)) if len(a) > 2 else 0.0
+                assert np.isclose(got[i, j], v if v >= floor else 0.0, rtol=1e-4), (a, b)
+    assert toxicity.Landmarks([]).compare(["word"]).shape == (1, 0)
+
+
 def test_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

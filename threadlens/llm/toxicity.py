@@ -21,7 +21,7 @@ Fit: on a sample of at most ``TRAIN_ROWS`` labelled rows (by hash of the id; thi
 is the only one): landmarks by Spark aggregates, features by Spark, and the two small
 solves on the driver (``TRAIN_ROWS`` x ``LANDMARKS`` numbers at most). Scoring reads whole texts; no
 exchange; the model (landmarks and weights) is broadcast. Each distinct word of a task is
-compared once; a letter-set test skips the landmarks that a word cannot spell.
+compared once, with every landmark.
 
 Defined results: null or empty text scores like a text without any landmark; rows whose
 label or text is null don't train; a label table that repeats an id counts it as toxic if
@@ -33,6 +33,8 @@ toxic share (0 without rows); other columns pass through ``score_texts`` (which
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -102,50 +104,78 @@ def subsequence_kernel(a: np.ndarray, b: np.ndarray, decay: float = DECAY, lengt
     return m.sum(axis=(1, 2), dtype=np.float64)
 
 
-def _letter_set(m: np.ndarray) -> np.ndarray:
-    bit = np.where(m > 0, np.uint64(1) << (m.astype(np.uint64) & np.uint64(63)), np.uint64(0))
-    return np.bitwise_or.reduce(bit, axis=1)
+@lru_cache(maxsize=64)
+def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The increasing position triples below ``n``, and what a match spanning them costs."""
+    i, j, k = np.array(list(combinations(range(n), SUBSEQUENCE)), np.int64).reshape(-1, SUBSEQUENCE).T
+    return i, j, k, DECAY ** (k - i + 1.0)
 
 
 class Landmarks:
-    """Kernel values of words against the landmarks."""
+    """Kernel values of words against the landmarks. The landmarks' letter triples are an
+    inverted index (triple -> landmarks and weights), so every pair is compared exactly."""
 
     def __init__(self, words: list[str]):
         self.words = words
         self.matrix = _matrix(words)
         self.own = subsequence_kernel(self.matrix, self.matrix)
-        self.sets = _letter_set(self.matrix)
-        self.spare = (np.bitwise_count(self.sets) >= 6).astype(np.int64)
-        gram = np.stack([self.compare([w], floor=0.0)[0] for w in words]) if words else np.zeros((0, 0))
+        self._build()
+        gram = self.compare(words, floor=0.0) if words else np.zeros((0, 0))
         value, vector = np.linalg.eigh((gram + gram.T) / 2) if words else (np.zeros(0), gram)
         keep = value > 1e-6
         self.whiten = (vector[:, keep] / np.sqrt(value[keep])) @ vector[:, keep].T
 
+    def _build(self):
+        self.alphabet = np.unique(self.matrix[self.matrix > 0])
+        size, parts = len(self.alphabet) + 1, []
+        for word, m in zip(self.words, self._letters(self.matrix)):
+            i, j, k, weight = _triples(len(word))
+            parts.append((m[i] * size + m[j], m[k], np.full(len(i), len(parts)), weight))
+        first, last, mark, weight = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
+        pairs, first = np.unique(first, return_inverse=True)
+        triples, at = np.unique(first * size + last, return_inverse=True)
+        both, where = np.unique(at * max(1, len(self.words)) + mark, return_inverse=True)
+        self.weight = np.bincount(where, weight, len(both))
+        at, self.mark = np.divmod(both, max(1, len(self.words)))
+        self.start = np.searchsorted(at, np.arange(len(triples) + 1))
+        # pair -> its row in ``triple``, and row and third letter -> the triple; the last row has none
+        self.pair = np.full(size * size, len(pairs), np.int32)
+        self.pair[pairs] = np.arange(len(pairs))
+        self.triple = np.full((len(pairs) + 1) * size, -1, np.int32)
+        self.triple[triples] = np.arange(len(triples))
+
+    def _letters(self, m: np.ndarray) -> np.ndarray:
+        """Places in the alphabet; its length for any other letter."""
+        at = np.searchsorted(self.alphabet, m)
+        return np.where(np.append(self.alphabet, np.uint32(0))[at] == m, at, len(self.alphabet))
+
     def compare(self, words: list[str], floor: float = FLOOR) -> np.ndarray:
         """words x landmarks, normalised; below ``floor`` 0."""
         out = np.zeros((len(words), len(self.words)))
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        for lo, hi in ((0, 7), (7, 10), (10, LONG + 1)):
-            which = np.flatnonzero((size >= max(lo, SUBSEQUENCE)) & (size < hi))
-            for start in range(0, len(which), 20_000):
-                some = which[start:start + 20_000]
-                m = _matrix([words[k] for k in some])
-                sets = _letter_set(m)
-                own = np.full(len(some), -1.0)
-                for j in range(len(self.words)):
-                    missing = np.bitwise_count(self.sets[j] & ~sets)
-                    at = np.flatnonzero(missing <= self.spare[j])
-                    if not len(at):
-                        continue
-                    new = at[own[at] < 0]
-                    for k in range(0, len(new), 1000):
-                        own[new[k:k + 1000]] = subsequence_kernel(m[new[k:k + 1000]], m[new[k:k + 1000]])
-                    n = len(self.words[j])
-                    mark = self.matrix[j:j + 1, :n]
-                    for k in range(0, len(at), 4000):
-                        part = at[k:k + 4000]
-                        value = subsequence_kernel(m[part], np.repeat(mark, len(part), 0)) / np.sqrt(own[part] * self.own[j])
-                        out[some[part], j] = np.where(value >= floor, value, 0.0)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        size, marks = len(self.alphabet) + 1, len(self.words)
+        for n in np.unique(length[length >= SUBSEQUENCE]) if marks else ():
+            which = np.flatnonzero(length == n)
+            i, j, k, weight = _triples(int(n))
+            step = max(1, 400_000 // len(i))
+            # repeated triples only add to a word's own kernel, so this is its least value
+            least = np.sqrt((weight * weight).sum() * self.own) * (floor * (1 - 1e-5))
+            for start in range(0, len(which), step):
+                some = which[start:start + step]
+                m = _matrix([words[w] for w in some])
+                x = self._letters(m)
+                found = self.triple[self.pair[x[:, i] * size + x[:, j]] * size + x[:, k]]
+                row, col = np.nonzero(found >= 0)
+                hit = found[row, col]
+                n_marks = self.start[hit + 1] - self.start[hit]
+                at = np.repeat(self.start[hit] - np.cumsum(n_marks) + n_marks, n_marks) + np.arange(n_marks.sum())
+                value = np.bincount(np.repeat(row, n_marks) * marks + self.mark[at], np.repeat(weight[col], n_marks) * self.weight[at],
+                                    len(some) * marks).reshape(len(some), marks)
+                may = np.flatnonzero(((value >= least) & (value > 0)).any(axis=1))
+                for lo in range(0, len(may), 1000):
+                    part = may[lo:lo + 1000]
+                    exact = value[part] / np.sqrt(subsequence_kernel(m[part], m[part])[:, None] * self.own)
+                    out[some[part]] = np.where(exact >= floor, exact, 0.0)
         return out
 
 
