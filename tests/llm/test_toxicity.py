@@ -46,6 +46,41 @@ def test_masked_words_and_all_pairs():
     assert toxicity.Landmarks([]).compare(["word"]).shape == (1, 0)
 
 
+def test_background_sets_what_lower_values_count_for():
+    marks = toxicity.Landmarks(["idiot", "loser"])
+    f = lambda word: toxicity.Features(marks).of([word])
+    assert not f("idxixot").any()
+    counts = np.zeros((2, 101))
+    counts[0, 20], counts[1, 45] = 900, 900  # clean words reach 0.2 with idiot, 0.45 with loser
+    marks.learn(counts, 1_000_000)
+    assert np.allclose(f("idxixot")[0], f("idiot")[0]) and marks.floor[0] < 0.37
+    assert not f("loxxxser").any() and not f("ixdxixoxt").any()  # as clean words: 0.31, 0.16
+    marks.learn(counts, 1000)  # too few words to tell
+    assert not f("idxixot").any() and np.allclose(marks.floor, 0.5)
+
+
+def test_two_and_more_inserted_letters_and_suffixes(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    words = ["scum", "idiot", "clown", "trash", "stupid", "garbage", "pathetic", "worthless", "disgusting"]
+    marks = toxicity.Landmarks(words)
+    sample = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
+    counts, n = toxicity.background(sample, marks)
+    texts = [r.text for r in sample.filter("toxic = 0").select("text").collect()]
+    assert n == sum(len(toxicity.words_of(t)) for t in texts)
+    marks.learn(counts, n)
+    thrice = {}
+    for j, w in enumerate(words):
+        two = [w[:a] + "x" + w[a:b] + "x" + w[b:] for a in range(1, len(w)) for b in range(a, len(w))]
+        three = [w[:1] + "x" + w[1:2] + "x" + w[2:3] + "x" + w[3:], w[:2] + "xxx" + w[2:]]
+        longer = [w + "s", w + "bag", w + "bags", w + "heads"]
+        found = [(marks.similarity(forms)[:, j] > 0).mean() for forms in (two, three, longer)]
+        assert found[0] >= 0.65 and found[2] == 1, (w, found)
+        thrice[w] = found[1] > 0
+    # three letters take some words as far away as ordinary words of clean text are
+    assert sum(thrice.values()) >= 6, thrice
+
+
 def test_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

@@ -2,7 +2,10 @@
 
 Kernel: gap-weighted common subsequences of three letters; every letter position that a
 match spans costs a factor ``DECAY``, so a gapped or padded spelling still matches, less.
-Values are normalised by the two strings' own kernels and cut off below ``FLOOR``.
+Values are normalised by the two strings' own kernels. From ``FLOOR`` on a value counts as
+it is; a lower one counts as far as words of clean training texts hardly reach it
+(``background``): not at all at a rate of ``COMMON`` a word, as 1 at ``RARE``, by the
+logarithm between; without that background it counts as 0.
 
 Strings: the words of a text, lower case, letters only (characters put between or around
 letters vanish), runs of three or more one-letter words also as one word; a word over
@@ -12,13 +15,14 @@ Landmarks: beginnings of words (the longest of equally frequent ones) that label
 texts hold significantly more often than clean ones (log-likelihood ratio at least
 ``MIN_RATIO``, over twice the expected count), best first, none that continues a better
 one, ``LANDMARKS`` at most; texts that share their three smallest word hashes (copies,
-mostly) count once there. A text has two features per landmark: the largest kernel value of
-its words, and their sum per 100 words (as log(1 + x)); both blocks are multiplied by
+mostly) count once there. A text has three features per landmark: the largest value of its words, the largest
+share by which clean words do not reach a value (0 to 1, as above, also from ``FLOOR`` on),
+and the sum of the values per 100 words (as log(1 + x)); the blocks are multiplied by
 K(landmarks, landmarks)^(-1/2) (Nyström), a linear SVM is fitted on them and its margin is
 turned into a probability by a logistic fit on the same rows.
 
 Fit: on a sample of at most ``TRAIN_ROWS`` labelled rows (by hash of the id; this bound
-is the only one): landmarks by Spark aggregates, features by Spark, and the two small
+is the only one): landmarks and background by Spark aggregates, features by Spark, and the two small
 solves on the driver (``TRAIN_ROWS`` x ``LANDMARKS`` numbers at most). Scoring reads whole texts; no
 exchange; the model (landmarks and weights) is broadcast. Each distinct word of a task is
 compared once, with every landmark.
@@ -33,6 +37,7 @@ toxic share (0 without rows); other columns pass through ``score_texts`` (which
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 from itertools import combinations
 
@@ -53,6 +58,10 @@ MIN_DOCS = 5
 MIN_LETTERS = 4
 DECAY = 0.75
 FLOOR = 0.5
+COMMON = 3e-5
+RARE = 3e-6
+_LEVELS = 100
+_LOWEST = 10
 SUBSEQUENCE = 3
 LONG = 12
 THRESHOLD = 0.3
@@ -104,6 +113,10 @@ def subsequence_kernel(a: np.ndarray, b: np.ndarray, decay: float = DECAY, lengt
     return m.sum(axis=(1, 2), dtype=np.float64)
 
 
+def _level(value: np.ndarray) -> np.ndarray:
+    return np.minimum((value * _LEVELS).astype(np.int64), _LEVELS)
+
+
 @lru_cache(maxsize=64)
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The increasing position triples below ``n``, and what a match spanning them costs."""
@@ -119,6 +132,8 @@ class Landmarks:
         self.words = words
         self.matrix = _matrix(words)
         self.own = subsequence_kernel(self.matrix, self.matrix)
+        self.evidence = np.zeros((len(words), _LEVELS + 1))
+        self.floor = np.full(len(words), FLOOR)
         self._build()
         gram = self.compare(words, floor=0.0) if words else np.zeros((0, 0))
         value, vector = np.linalg.eigh((gram + gram.T) / 2) if words else (np.zeros(0), gram)
@@ -149,8 +164,34 @@ class Landmarks:
         at = np.searchsorted(self.alphabet, m)
         return np.where(np.append(self.alphabet, np.uint32(0))[at] == m, at, len(self.alphabet))
 
-    def compare(self, words: list[str], floor: float = FLOOR) -> np.ndarray:
-        """words x landmarks, normalised; below ``floor`` 0."""
+    def learn(self, counts: np.ndarray, words: int) -> None:
+        """Sets what values below FLOOR count for: ``counts`` (landmarks x levels) of
+        ``words`` words of clean text."""
+        rate = (np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] + 1) / (words + 1)
+        self.evidence = np.clip(np.log(COMMON / rate) / np.log(COMMON / RARE), 0, 1)
+        self.evidence[:, :_LOWEST] = 0
+        first = np.where(self.evidence.any(axis=1), np.argmax(self.evidence > 0, axis=1), _LEVELS)
+        self.floor = np.minimum(FLOOR, first / _LEVELS)
+
+    def word_values(self, words: list[str], floor) -> np.ndarray:
+        """words x landmarks: the largest kernel value of each word's pieces."""
+        plain = [_pieces(letters(w)) for w in words]
+        value = self.compare([p for ps in plain for p in ps], floor)
+        return np.maximum.reduceat(value, np.cumsum([0, *map(len, plain[:-1])]), axis=0) if words else value
+
+    def similarity(self, words: list[str]) -> np.ndarray:
+        """words x (twice the landmarks): what the kernel values count for, and how far
+        clean words do not reach them."""
+        value = self.word_values(words, self.floor)
+        rare = np.zeros_like(value)
+        row, mark = np.nonzero(value)
+        v = value[row, mark]
+        rare[row, mark] = self.evidence[mark, _level(v)]
+        value[row, mark] = np.maximum(np.where(v >= FLOOR, v, 0), rare[row, mark])
+        return np.hstack([value, rare])
+
+    def compare(self, words: list[str], floor=FLOOR) -> np.ndarray:
+        """words x landmarks, normalised; below ``floor`` (one, or one a landmark) 0."""
         out = np.zeros((len(words), len(self.words)))
         length = np.fromiter(map(len, words), np.int64, len(words))
         size, marks = len(self.alphabet) + 1, len(self.words)
@@ -188,8 +229,8 @@ class Features:
 
     def _clear(self):
         self._index: dict[str, int] = {}
-        self._rows = [np.zeros(len(self.marks.words))]  # row 0: no similarity
-        self._table = np.zeros((1, len(self.marks.words)))
+        self._rows = [np.zeros(2 * len(self.marks.words))]  # row 0: no similarity
+        self._table = np.zeros((1, 2 * len(self.marks.words)))
 
     def of(self, texts: list[str]) -> np.ndarray:
         if len(self._index) > _CACHE_WORDS:
@@ -198,31 +239,26 @@ class Features:
         words = [words_of(t) for t in texts]
         new = list(set().union(*words).difference(index)) if words else []
         if new:
-            plain = [_pieces(letters(w)) for w in new]
-            flat = [p for ps in plain for p in ps]
-            owner = np.repeat(np.arange(len(new)), [len(p) for p in plain])
-            value = self.marks.compare(flat)
-            hit = np.flatnonzero(value.any(axis=1))
             index.update(dict.fromkeys(new, 0))
-            grown: dict[int, np.ndarray] = {}
-            for k in hit:
-                o = int(owner[k])
-                grown[o] = np.maximum(grown[o], value[k]) if o in grown else value[k]
-            for o, v in grown.items():
-                index[new[o]] = len(self._rows)
-                self._rows.append(v)
+            grown = False
+            for lo in range(0, len(new), 20_000):
+                value = self.marks.similarity(new[lo:lo + 20_000])
+                for k in np.flatnonzero(value.any(axis=1)):
+                    index[new[lo + k]] = len(self._rows)
+                    self._rows.append(value[k].copy())
+                    grown = True
             if grown:
                 self._table = np.stack(self._rows)
         size = len(self.marks.words)
-        out = np.zeros((len(texts), 2 * size))
+        out = np.zeros((len(texts), 3 * size))
         for k, ws in enumerate(words):
             at = np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))
             at = at[at > 0]
             if len(at):
                 found = self._table[at]
-                out[k, :size] = found.max(axis=0)
-                out[k, size:] = np.log1p(100 * found.sum(axis=0) / len(ws))
-        return np.hstack([out[:, :size] @ self.marks.whiten, out[:, size:] @ self.marks.whiten])
+                out[k, :2 * size] = found.max(axis=0)
+                out[k, 2 * size:] = np.log1p(100 * found[:, :size].sum(axis=0) / len(ws))
+        return np.hstack([out[:, lo:lo + size] @ self.marks.whiten for lo in (0, size, 2 * size)] if size else [out])
 
 
 class ToxicModel:
@@ -271,6 +307,34 @@ def pick_landmarks(sample: DataFrame, n_toxic: int, n_clean: int, limit: int = L
     return chosen
 
 
+def background(sample: DataFrame, marks: Landmarks) -> tuple[np.ndarray, int]:
+    """How many words of the clean texts have a kernel value of each level (landmarks x
+    levels, from _LOWEST on), and how many words there are."""
+    shared = sample.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches):
+        marks = shared.value
+        n = len(marks.words)
+        for batch in batches:
+            for _, _, raw, offs in text_parts(text_column(batch), 1_000_000):
+                data = raw.tobytes()
+                count = Counter(w for a, b in zip(offs[:-1], offs[1:]) for w in words_of(data[a:b].decode()))
+                words, times = list(count), np.array(list(count.values()), np.int64)
+                out = np.zeros(n * (_LEVELS + 1), np.int64)
+                for lo in range(0, len(words), 20_000):
+                    value = marks.word_values(words[lo:lo + 20_000], _LOWEST / _LEVELS)
+                    row, mark = np.nonzero(value)
+                    out += np.bincount(mark * (_LEVELS + 1) + _level(value[row, mark]), times[lo + row], len(out)).astype(np.int64)
+                at = np.flatnonzero(out)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(out[at], times.sum()))], names=["at", "n"])
+
+    found = map_arrow(sample.filter("toxic = 0").select("text"), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros((len(marks.words), _LEVELS + 1))
+    at, n = found["at"].to_numpy(), found["n"].to_numpy()
+    counts.reshape(-1)[at[at >= 0]] = n[at >= 0]
+    return counts, int(n[at < 0].sum())
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, limit: int = LANDMARKS) -> ToxicModel:
     """Fit on labelled rows of ``docs`` (the caller leaves held-out rows out)."""
     sample = cut_lineage(_sample(docs, labels, rows))
@@ -282,6 +346,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, limit: int =
     if not words:
         logit = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
         return ToxicModel(marks, np.zeros(0), logit, 1.0, 0.0)
+    marks.learn(*background(sample, marks))
     shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches):
