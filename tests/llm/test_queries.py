@@ -17,6 +17,7 @@ COLUMNS = {
     "op8_": "doc_id long, n_words long, n_removed long, kept_sha256 string",
     "op9_": "doc_id long, held_out boolean, lang_pred string, score double",
     "op10_": "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int",
+    "op11_": "vec_id long, code string, error long, label_error long, codebooks_sha256 string",
 }
 
 
@@ -34,4 +35,5 @@ def test_columns_and_rows(spark, start):
     for column in COLUMNS[start].split(", "):
         c, kind = column.split()
         assert kinds[c] == {"long": "bigint"}.get(kind, kind), c
-    assert df.count() == spark.read.parquet(f"{D}/documents.parquet").count()
+    table = {"op11_": "embeddings"}.get(start, "documents")
+    assert df.count() == spark.read.parquet(f"{D}/{table}.parquet").count()

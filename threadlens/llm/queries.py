@@ -1,6 +1,6 @@
 """Registered queries of the numbered operators, and their SQL where SQL can say it."""
 
-from . import decontaminate, fingerprint, langid, minhash, pieces, quality, sharding, substring, tokens, toxicity
+from . import decontaminate, fingerprint, langid, minhash, pieces, quality, sharding, substring, tokens, toxicity, vectorcodes
 from .oracle import ORACLE
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_language_id": langid.op9_language_id,
     "op10_histogram_sort": sharding.op10_histogram_sort,
+    "op11_vector_codes": vectorcodes.op11_vector_codes,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
