@@ -17,6 +17,7 @@ COLUMNS = {
     "op8_": "doc_id long, n_words long, n_removed long, kept_sha256 string",
     "op9_": "doc_id long, held_out boolean, lang_pred string, score double",
     "op10_": "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int",
+    "op13_": "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string",
     "op11_": "vec_id long, code string, error long, label_error long, codebooks_sha256 string",
 }
 
@@ -35,5 +36,6 @@ def test_columns_and_rows(spark, start):
     for column in COLUMNS[start].split(", "):
         c, kind = column.split()
         assert kinds[c] == {"long": "bigint"}.get(kind, kind), c
-    table = {"op11_": "embeddings"}.get(start, "documents")
-    assert df.count() == spark.read.parquet(f"{D}/{table}.parquet").count()
+    table = {"op11_": "embeddings", "op13_": "conversations"}.get(start, "documents")
+    source = spark.read.parquet(f"{D}/{table}.parquet")
+    assert df.count() == (source.select("conv_id").distinct() if start == "op13_" else source).count()
