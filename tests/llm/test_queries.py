@@ -17,6 +17,7 @@ COLUMNS = {
     "op8_": "doc_id long, n_words long, n_removed long, kept_sha256 string",
     "op9_": "doc_id long, held_out boolean, lang_pred string, score double",
     "op10_": "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int",
+    "op12_": "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     "op13_": "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string",
     "op11_": "vec_id long, code string, error long, label_error long, codebooks_sha256 string",
 }

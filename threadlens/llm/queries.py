@@ -1,6 +1,7 @@
 """Registered queries of the numbered operators, and their SQL where SQL can say it."""
 
-from . import decontaminate, fingerprint, langid, minhash, pieces, quality, sharding, substring, tokens, toxicity, turns, vectorcodes
+from . import (decontaminate, fingerprint, langid, lmscore, minhash, pieces, quality, sharding, substring, tokens, toxicity, turns,
+               vectorcodes)
 from .oracle import ORACLE
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_histogram_sort": sharding.op10_histogram_sort,
     "op11_vector_codes": vectorcodes.op11_vector_codes,
+    "op12_lm_scores": lmscore.op12_lm_scores,
     "op13_conversation_repair": turns.op13_conversation_repair,
 }
 
