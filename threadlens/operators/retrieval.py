@@ -143,14 +143,14 @@ def topk_cosine(queries: DataFrame, index: DataFrame, k: int, query_id: str = "q
                             .alias("n_sub"))
         vc = index_cells.select(F.col(vector_id).cast("long").alias("vid"), "cell").join(subs, "cell")
         v2 = v.join(vc, "vid")
-        vx = (v2.withColumn("shard", F.col("cell") * F.lit(1 << 20)
+        vx = (v2.withColumn("shard", F.col("cell").cast("long") * F.lit(1 << 20)
                             + F.pmod(F.xxhash64("vid"), F.col("n_sub")).cast("long"))
               .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
               .select("vid", "iv", "shard", "qb"))
         qc = query_cells.select(F.col(query_id).cast("long").alias("qid"), "cell").join(subs, "cell")
         qx = (q.join(qc, "qid").withColumn("qb", qb)
               .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1)))
-              .withColumn("shard", F.col("cell") * F.lit(1 << 20) + F.col("sub").cast("long"))
+              .withColumn("shard", F.col("cell").cast("long") * F.lit(1 << 20) + F.col("sub").cast("long"))
               .select("qid", "qv", "qb", "shard"))
     hits = (qx.groupBy("qb", "shard").cogroup(vx.groupBy("qb", "shard"))
             .applyInPandas(_cell_topk(k, exclude_self, metric), HIT_SCHEMA))

@@ -4,6 +4,7 @@ and returns a DataFrame; most have an independent DuckDB SQL twin in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from threadlens.functions import text as tx
 from threadlens.functions.rules import TEST_RULES
 from threadlens.operators import escalation, records, threads
 from threadlens.functions.frames import keep_rows, spread
-from threadlens.session import cut_lineage, ship_package
+from threadlens.session import cut_lineage, ensure_checkpoint_dir, ship_package
 from threadlens.sources.tables import messages_from_conversations, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,7 +147,7 @@ def q_escalation_signal_counts(spark, sf_dir):
 # --- A4/A5, H: vectors and retrieval ------------------------------------------
 
 from threadlens.functions import vectors as vx  # noqa: E402
-from threadlens.operators import retrieval  # noqa: E402
+from threadlens.operators import cells, retrieval  # noqa: E402
 from threadlens.sources import index_store  # noqa: E402
 
 TOPK = 5
@@ -266,21 +267,53 @@ def q_self_retrieval_conversations(spark, sf_dir):
     return retrieval.relevance_metrics(hits, rel, rel.select("query_id"), TOPK)
 
 
+def _cell_index(spark, sf_dir, n_cells=16):
+    """The embeddings as a published cell index."""
+    e = _emb(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cells-{uuid.uuid4().hex}"
+    cells.build_cells(e, path, cells.pivot_centres(e, n_cells, "vec_id"), "vec_id", shards=4)
+    return cells.CellIndex(spark, path)
+
+
 @register("probe_recall")
 def q_probe_recall(spark, sf_dir):
-    """H8: cell-probing search (k-means cells, 3 of 8 probed) vs. exact top 5:
-    recall over all queries (rows-only check)."""
-    e = _emb(spark, sf_dir)
-    cells, probes = retrieval.coarse_cells(e, e, 8, 3, vector_id="vec_id", query_id="vec_id")
-    approx = retrieval.topk_cosine(e, e, TOPK, query_id="vec_id", vector_id="vec_id",
-                                   query_cells=probes, index_cells=cells)
-    exact = _self_topk(spark, sf_dir)
+    """H8: probing 10 of 16 cells of the written index vs. exact top 5, over all queries."""
+    index, e = _cell_index(spark, sf_dir), _emb(spark, sf_dir)
+    approx = cells.search(index, e, TOPK, "vec_id", n_probe=10)
+    exact = cells.search(index, e, TOPK, "vec_id")
     flagged = exact.join(approx.select("query_id", "vector_id", F.lit(True).alias("_hit")),
                          ["query_id", "vector_id"], "left")
     return flagged.agg(F.count(F.lit(1)).alias("n_exact"), F.count_if(F.col("_hit")).alias("n_found")).select(
         "n_exact", "n_found", F.round(F.col("n_found") / F.col("n_exact"), 6).alias("recall_at_k"))
 
 
+@register("probe_topk")
+def q_probe_topk(spark, sf_dir):
+    """H8: the rows of the probe search."""
+    h = cells.search(_cell_index(spark, sf_dir), _emb(spark, sf_dir), TOPK, "vec_id", n_probe=10)
+    return h.select("query_id", "rank", "vector_id", F.round("score", 6).alias("score"))
+
+
+@register("cell_exact_topk")
+def q_cell_exact_topk(spark, sf_dir):
+    """H3 on the written index: cells visited by distance bounds, same rows as a full search."""
+    h = cells.search(_cell_index(spark, sf_dir), _emb(spark, sf_dir), TOPK, "vec_id", exclude_self=True)
+    return h.select("query_id", "rank", "vector_id", F.round("score", 6).alias("score"))
+
+
+@register("saved_index")
+def q_saved_index(spark, sf_dir):
+    """A4: an index saved twice and loaded: the rows of the later version."""
+    e = _emb(spark, sf_dir).select(F.col("vec_id").alias("conversation_id"), "embedding")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    index_store.load_index(spark, path, build_from=e.withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    index_store.save_index(index_store.index_table(e), path)
+    index, meta = index_store.load_index(spark, path)
+    m = meta.first()
+    return index.select("vector_id", "conversation_id", F.lit(m.dim).alias("dim"), F.lit(m.metric).alias("metric"),
+                        F.lit(m.ntotal).alias("ntotal"), F.round(F.element_at("embedding", 1), 6).alias("first_element"))
+
+
 # --- F: lexicon labels, sampler, review sheet ------------------------------------
 
 from threadlens.functions.rules import FINAL_INTENTS, TEST_LEXICON  # noqa: E402

@@ -255,6 +255,44 @@ SELECT count(*) AS n_queries,
        round(sum(coalesce(1.0 / first_rank, 0.0)) / greatest(count(*), 1), 6) AS mrr_at_k
 FROM allq"""
 
+_PROBED = """
+vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+pivots AS (
+  SELECT row_number() OVER (ORDER BY md5('42-' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS cell, v AS c
+  FROM vecs QUALIFY cell < 16),
+near AS (
+  SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(v, c), 12) DESC, cell) AS r
+  FROM vecs, pivots),
+probed AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS vector_id
+  FROM near q JOIN near v ON q.cell = v.cell AND v.r = 1 WHERE q.r <= 10),
+found AS (
+  SELECT p.query_id, p.vector_id, p.score, row_number() OVER (PARTITION BY p.query_id ORDER BY p.score DESC, p.vector_id) AS rank
+  FROM pairs p JOIN probed USING (query_id, vector_id))"""
+
+ORACLE["probe_topk"] = f"""
+WITH {_PAIRS.replace('{cond}', '')}, {_PROBED}
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vector_id, round(score, 6) AS score FROM found WHERE rank <= 5"""
+
+ORACLE["probe_recall"] = f"""
+WITH {_PAIRS.replace('{cond}', '')}, {_PROBED},
+flagged AS (
+  SELECT e.query_id, f.vector_id IS NOT NULL AS hit FROM ranked e
+  LEFT JOIN (SELECT query_id, vector_id FROM found WHERE rank <= 5) f ON f.query_id = e.query_id AND f.vector_id = e.vector_id
+  WHERE e.rank <= 5)
+SELECT count(*) AS n_exact, count_if(hit) AS n_found, round(count_if(hit) / count(*), 6) AS recall_at_k FROM flagged"""
+
+ORACLE["cell_exact_topk"] = f"""
+WITH {_PAIRS.replace('{cond}', 'WHERE q.vec_id <> v.vec_id')}
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vector_id, round(score, 6) AS score FROM ranked WHERE rank <= 5"""
+
+ORACLE["saved_index"] = """
+SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS vector_id, vec_id AS conversation_id,
+       CAST(max(len(embedding)) OVER () AS INTEGER) AS dim, 'inner_product_normalized_cosine' AS metric, count(*) OVER () AS ntotal,
+       round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6)
+         AS first_element
+FROM embeddings"""
+
 ORACLE["judged_evidence_summary"] = f"""
 WITH {_PAIRS.replace('{cond}', 'WHERE q.vec_id <> v.vec_id')},
 g AS (

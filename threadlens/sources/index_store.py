@@ -1,9 +1,9 @@
 """A4: persist / load a vector index as Parquet (vector_id, conversation_id,
-embedding) plus a one-row metadata table; build on first load."""
+embedding) plus a one-row metadata table, in versions; build on first load."""
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,28 +30,78 @@ def index_metadata(index: DataFrame) -> DataFrame:
                      F.count(F.lit(1)).alias("ntotal"))
 
 
-def save_index(index: DataFrame, path: str) -> None:
-    index.write.mode("overwrite").parquet(os.path.join(path, "vectors"))
-    index_metadata(index.sparkSession.read.parquet(os.path.join(path, "vectors"))).write.mode("overwrite") \
-        .parquet(os.path.join(path, "meta"))
+# --- versions ------------------------------------------------------------------
+# path/versions/<id>/...   written once, never changed
+# path/CURRENT-<number>    a small text file that names a version; the largest number counts
+#
+# A version is published by renaming one finished file into place, which file systems do as
+# one step, so a reader finds either the version before or the new one, complete. A save that
+# dies earlier leaves the index as it was.
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return sorted(int(n.split("-")[1]) for n in names if n.startswith("CURRENT-") and n.split("-")[1].isdigit())
+
+
+def _folder(uri: str) -> str:
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def publish(spark: SparkSession, path: str, write) -> str:
+    """Call ``write(folder)`` on a new version folder and make it the current one."""
+    version = uuid.uuid4().hex
+    root, fs = _fs(spark, path)
+    fs.mkdirs(root)
+    folder = _folder(fs.makeQualified(_fs(spark, f"{path}/versions/{version}")[0]).toString())
+    write(folder)
+    draft, _ = _fs(spark, f"{path}/draft-{version}")
+    stream = fs.create(draft, True)
+    stream.writeBytes(version)
+    stream.close()
+    while True:  # another writer may take the number first
+        number = max([0, *_manifests(spark, path)]) + 1
+        if fs.rename(draft, _fs(spark, f"{path}/CURRENT-{number}")[0]):
+            return folder
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """Folder of the current version."""
+    numbers = _manifests(spark, path)
+    if not numbers:
+        raise FileNotFoundError(f"no vector index at {path}")
+    p, fs = _fs(spark, f"{path}/CURRENT-{numbers[-1]}")
+    stream = fs.open(p)
+    name = bytes(stream.readAllBytes()).decode()
+    stream.close()
+    return _folder(fs.makeQualified(_fs(spark, f"{path}/versions/{name}")[0]).toString())
+
+
+def save_index(index: DataFrame, path: str) -> str:
+    """Write ``index`` and its metadata as a new version; returns its folder."""
+    spark = index.sparkSession
+
+    def write(folder: str) -> None:
+        index.write.parquet(f"{folder}/vectors")
+        index_metadata(spark.read.parquet(f"{folder}/vectors")).write.parquet(f"{folder}/meta")
+
+    return publish(spark, path, write)
 
 
 def load_index(spark: SparkSession, path: str, build_from: DataFrame | None = None, **kw):
-    """Return (index, metadata); builds and saves from ``build_from`` when the
-    path holds no complete index yet (the metadata are written last, so vectors
-    without them are an interrupted save). Any other read error is raised: an index
-    that is there is never overwritten."""
-    if not _complete(spark, path):
+    """Return (index, metadata) of the current version; builds and saves one from
+    ``build_from`` when no version has been published. Any other read error is raised: an
+    index that is there is never replaced."""
+    if not _manifests(spark, path):
         if build_from is None:
             raise FileNotFoundError(f"no vector index at {path}")
         save_index(index_table(build_from, **kw), path)
-    return spark.read.parquet(os.path.join(path, "vectors")), spark.read.parquet(os.path.join(path, "meta"))
-
-
-def _complete(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    found = []
-    for part in ("vectors", "meta"):
-        p = jvm.org.apache.hadoop.fs.Path(os.path.join(path, part, "_SUCCESS"))
-        found.append(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
-    return all(found)
+    folder = current(spark, path)
+    return spark.read.parquet(f"{folder}/vectors"), spark.read.parquet(f"{folder}/meta")
