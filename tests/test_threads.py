@@ -131,6 +131,76 @@ def test_last_row_of_an_id_counts(spark):
     assert {(r.tweet_id, r.text) for r in got} == {(1, "a"), (2, "@AppleSupport new")}
 
 
+def walk(rows):
+    """id -> root for rows (id, support, mention, listed, parent) in input order, ids repeated:
+    the last row of an id speaks for it, every row is a reply to its parent."""
+    last, replies = {}, {}
+    for r in rows:
+        last[r[0]] = r
+        replies.setdefault(r[4], set()).add(r[0])
+    seen, todo = set(), [r[0] for r in rows if r[1]]
+    while todo:
+        i = todo.pop()
+        if i in seen or i not in last:
+            continue
+        seen.add(i)
+        todo += [*last[i][3], *replies.get(i, ()), *([last[i][4]] if last[i][4] is not None else [])]
+    out = {}
+    for i in seen:
+        if last[i][1] or last[i][2]:
+            at, path = i, set()
+            while last[at][4] in last and at not in path:
+                path.add(at)
+                at = last[at][4]
+            out[i] = i if at in path else at
+    return out
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_repeated_ids_against_a_walk(spark, seed, tmp_path):
+    rnd = random.Random(seed)
+    plain, cells = [], []
+    for _ in range(400):
+        i, parent = rnd.randint(1, 180), rnd.choice([None, None, rnd.randint(1, 190)])
+        listed = [rnd.randint(1, 190) for _ in range(rnd.choice([0, 0, 0, 1]))]
+        support, mention = rnd.random() < 0.1, rnd.random() < 0.5
+        plain.append((i, support, mention, listed, parent))
+        cells.append((str(i), "AppleSupport" if support else "u1", "True", "@AppleSupport hi" if mention else "plain",
+                      ",".join(map(str, listed)) or None, None if parent is None else str(parent)))
+    want = walk(plain)
+    assert {i: v[0] for i, v in run(spark, cells).items()} == want
+    # the same from a file that is read in many splits
+    path = str(tmp_path / "m")
+    spark.createDataFrame(cells, SCHEMA).coalesce(1).write.option("header", True).csv(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        table = spark.read.option("header", True).schema(SCHEMA).csv(path)
+        got = threads.build_threads(coerce_messages(table)).select("tweet_id", "conversation_id").distinct().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r.tweet_id: r.conversation_id for r in got} == want
+    n = sum(1 for r in plain if r[0] in want)
+    assert threads.build_threads(coerce_messages(spark.createDataFrame(cells, SCHEMA))).count() == n
+
+
+def test_closure_in_few_rounds(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(400)] + [(i, 10_000 + i) for i in range(0, 400, 3)], "src long, dst long")
+    rounds = []
+    got = threads.reachable_units(spark.createDataFrame([(0,)], "unit long"), chain, rounds=rounds)
+    assert {r.unit for r in got.collect()} == {*range(401), *range(10_000, 10_400, 3)}
+    assert len(rounds) <= 12, rounds
+    rnd = random.Random(6)
+    pairs = {(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(500)} | {(i, (i + 1) % 90 + 400) for i in range(400, 490)}
+    seen, todo = set(), [5, 430]
+    while todo:
+        at = todo.pop()
+        if at not in seen:
+            seen.add(at)
+            todo += [d for s, d in pairs if s == at]
+    got = threads.reachable_units(spark.createDataFrame([(5,), (430,)], "unit long"), spark.createDataFrame(sorted(pairs), "src long, dst long"))
+    assert {r.unit for r in got.collect()} == seen
+
+
 def test_long_chain_needs_few_rounds(spark):
     rows = [("1", "AppleSupport", "False", "root", None, None)]
     rows += [(str(i), "AppleSupport", "False", "t", None, str(i - 1)) for i in range(2, 300)]

@@ -27,10 +27,13 @@ def salted_join(facts: DataFrame, dim: DataFrame, key: str, salts: int = SALTS)
 
 
 def split_hot_join(facts: DataFrame, dim: DataFrame, key: str, freq: DataFrame | None = None,
-                   hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
+                   hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT, n_facts: int | None = None) -> DataFrame:
     """Inner join ``facts`` and ``dim`` (unique on ``key``) on ``key``.
     ``freq`` (key, n) may be given when the fact frequencies are known already;
-    otherwise they are a partial aggregate over ``facts``."""
+    otherwise they are a partial aggregate over ``facts``. With ``n_facts`` (their number)
+    under ``hot_rows`` no key can be hot and nothing is counted."""
+    if n_facts is not None and n_facts < hot_rows:
+        return facts.join(dim, key)
     if freq is None:
         freq = facts.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     hot_keys = freq.filter(F.col("n") >= hot_rows).select(key)

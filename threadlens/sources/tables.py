@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from threadlens.functions.text import norm_flag
@@ -89,3 +90,15 @@ def messages_from_conversations(conversations: DataFrame, support_author: str =
         (tid + 1).cast("string").alias("response_tweet_id"),
         F.when(c.turn > 0, tid - 1).cast("bigint").alias("in_response_to_tweet_id"),
     )
+
+
+def input_order(df: DataFrame):
+    """A column that orders the rows as they lie in the input: file, start of the split,
+    position in it (the scan's hidden ``_metadata`` columns). A frame that is not a scan with
+    projections and filters on it has the order of its partitions."""
+    place = F.monotonically_increasing_id()
+    try:
+        df.select("_metadata.file_path", "_metadata.file_block_start").schema
+    except AnalysisException:
+        return place
+    return F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"), place.alias("p"))
