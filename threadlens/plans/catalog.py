@@ -317,7 +317,7 @@ def q_saved_index(spark, sf_dir):
 # --- F: lexicon labels, sampler, review sheet ------------------------------------
 
 from threadlens.functions.rules import FINAL_INTENTS, TEST_LEXICON  # noqa: E402
-from threadlens.operators import lexicon, sampling  # noqa: E402
+from threadlens.operators import lexicon, sampling, sparse_linear  # noqa: E402
 
 
 def _labelled_docs(spark, sf_dir):
@@ -461,25 +461,55 @@ def q_kfold_centroid_metrics(spark, sf_dir):
 def _weak_docs(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", tx.clean_ascii("text").alias("clean"))
     d = keep_rows(d, F.length("clean") > 0)
-    return lexicon.score_rows(d, "clean", TEST_LEXICON).select("doc_id", "clean", "assigned_label")
+    return lexicon.score_rows(d, "clean", TEST_LEXICON).select("doc_id", "clean", "assigned_label", "margin")
+
+
+def _weak_features(docs):
+    """(features, idf) of G2 fitted on ``docs``."""
+    counts = cut_lineage(tfidf.term_counts(docs, "doc_id", "clean"))
+    idf = cut_lineage(tfidf.idf_table(counts, docs.count()))
+    return cut_lineage(tfidf.weighted(counts, idf)), idf
 
 
 @register("linear_intent_eval")
 def q_linear_intent_eval(spark, sf_dir):
-    """G3 + G7 + G8: one-vs-rest logistic regression on hashed TF-IDF features,
-    trained on the weak labels of the train split, scored on the test split
-    (rows-only check: solver parity is not testable)."""
-    # the solver makes many passes: materialise the labelled split once
-    docs = cut_lineage(sampling.stratified_split(cut_lineage(_weak_docs(spark, sf_dir)), "assigned_label",
-                                                 "doc_id"))
+    """G3 + G7 + G8: the linear classifier on G2 features, trained on the weak labels of the
+    train split, scored on the rows of the test split that are not ambiguous (a document
+    with two labels of equal score is); with the size of the gradient at the solution."""
+    docs = cut_lineage(sampling.stratified_split(cut_lineage(_weak_docs(spark, sf_dir)), "assigned_label", "doc_id"))
     train = docs.filter(F.col("split") == "train")
-    test = docs.filter((F.col("split") == "test") & (F.col("assigned_label") != "ambiguous"))
-    feats = classify.hashed_features(train, "clean", 1 << 16)
-    train_x = cut_lineage(feats.transform(train).select("doc_id", "assigned_label", "features"))
-    model, labels = classify.fit_linear(train_x, "features", "assigned_label", max_iter=50)
-    scored = classify.score_linear(model, labels, feats.transform(test), "features")
+    test = docs.filter((F.col("split") == "test") & (F.col("margin") > 0))
+    feats, idf = _weak_features(train)
+    model, info = sparse_linear.fit(feats, train, label_col="assigned_label")
+    scored = sparse_linear.score(test, "doc_id", "clean", model, idf)
     pairs = scored.select(F.col("assigned_label").alias("y_true"), F.col("intent").alias("y_pred"))
-    return classify.summary_metrics(pairs, list(TEST_LEXICON.names))
+    return classify.summary_metrics(pairs, list(TEST_LEXICON.names)).withColumn(
+        "converged", F.lit(max(info["gradient"].values()) <= 1e-5))
+
+
+@register("intent_gradient")
+def q_intent_gradient(spark, sf_dir):
+    """Per label the number of its training rows, and the gradient of the objective at the
+    fitted weights, computed from the model and feature rows (not by the solver): the
+    largest of its elements by size, which is 0 at the solution."""
+    docs = cut_lineage(_weak_docs(spark, sf_dir).select("doc_id", "clean", F.col("assigned_label").alias("label")))
+    feats, _ = _weak_features(docs)
+    model, info = sparse_linear.fit(feats, docs)
+    sizes = docs.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
+    n, k = docs.count(), len(info["labels"])
+    bias = F.broadcast(model.filter(F.col("term") == sparse_linear.INTERCEPT).select("label", F.col("weight").alias("b")))
+    grid = docs.select("doc_id", F.col("label").alias("own"), F.explode(F.array(*[F.lit(x) for x in info["labels"]])).alias("label"))
+    z = feats.join(model.withColumnRenamed("weight", "m"), "term").groupBy("doc_id", "label").agg(F.sum(F.col("weight") * F.col("m")).alias("z"))
+    y = F.when(F.col("own") == F.col("label"), 1.0).otherwise(-1.0)
+    c = F.when(F.col("own") == F.col("label"), F.lit(float(n)) / (F.lit(float(k)) * F.col("n_rows"))).otherwise(1.0)
+    r = (grid.join(z, ["doc_id", "label"], "left").join(bias, "label").join(F.broadcast(sizes), "label")
+         .select("doc_id", "label", (-c * y / (1 + F.exp(y * (F.coalesce("z", F.lit(0.0)) + F.col("b"))))).alias("r")))
+    r = cut_lineage(r)
+    slopes = (feats.join(r, "doc_id").groupBy("label", "term").agg(F.sum(F.col("weight") * F.col("r")).alias("g"))
+              .unionByName(r.groupBy("label").agg(F.sum("r").alias("g")).select("label", F.lit(sparse_linear.INTERCEPT).alias("term"), "g")))
+    worst = model.join(slopes, ["label", "term"], "left").groupBy("label").agg(
+        F.round(F.max(F.abs(F.col("weight") + F.coalesce("g", F.lit(0.0)))), 4).alias("max_gradient"), F.count(F.lit(1)).alias("n_terms"))
+    return worst.join(sizes, "label").select("label", "n_rows", "n_terms", F.abs("max_gradient").alias("max_gradient"))
 
 
 # --- J: judge parsing and rating agreement --------------------------------------
@@ -871,21 +901,41 @@ def q_vector_lr_eval(spark, sf_dir):
     return classify.summary_metrics(pairs, [str(x) for x in EMB_LABELS])
 
 
+def _fixed_model(spark, sf_dir):
+    """A model in closed form (so that SQL can repeat it), saved and loaded again."""
+    docs = cut_lineage(_weak_docs(spark, sf_dir))
+    feats, idf = _weak_features(docs)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/intent-{uuid.uuid4().hex}"
+    sparse_linear.save_model(spark, path, sparse_linear.mean_difference_model(feats, docs, label_col="assigned_label"), idf)
+    return sparse_linear.load_model(spark, path)
+
+
 @register("intent_scores")
 def q_intent_scores(spark, sf_dir):
-    """The weak-label classifier scores every conversation turn: intent,
-    confidence (4 dp), probability map; turns under 2 tokens are 'ambiguous'
-    (rows-only check)."""
-    docs = cut_lineage(_weak_docs(spark, sf_dir))
-    feats = classify.hashed_features(docs, "clean", 1 << 16)
-    train_x = cut_lineage(feats.transform(docs).select("assigned_label", "features"))
-    model, labels = classify.fit_linear(train_x, "features", "assigned_label", max_iter=30)
+    """A saved model scores every conversation turn: intent, confidence (4 dp), number of
+    probabilities; turns under 2 tokens are 'ambiguous'."""
+    model, idf = _fixed_model(spark, sf_dir)
     turns = _t(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", tx.clean_ascii("text").alias("clean")).withColumn("n_tokens", tx.token_count("clean"))
-    scored = classify.score_linear(model, labels, feats.transform(turns), "features", n_tokens="n_tokens")
+        "conv_id", "turn", (F.col("conv_id") * 100 + F.col("turn")).alias("message_id"), tx.clean_ascii("text").alias("clean"))
+    scored = sparse_linear.score(cut_lineage(turns), "message_id", "clean", model, idf)
     return scored.select("conv_id", "turn", "intent", "confidence", F.size("probabilities").alias("n_classes"))
 
 
+@register("triage_classified")
+def q_triage_classified(spark, sf_dir):
+    """K1 with the classifier of G6 (a saved model) in place of the lexicon: decisions, the
+    evidence as rank:conversation:score, and the six stages with their texts."""
+    idx = triage_plan.index_side(_records(spark, sf_dir))
+    msgs = _user_turns(_t(spark, sf_dir, "conversations"))
+    out = triage_plan.triage(msgs, idx, 3, TEST_RULES, TEST_LEXICON, classify=sparse_linear.intent_of(*_fixed_model(spark, sf_dir)))
+    ev = F.transform("evidence", lambda e: F.concat_ws(":", e["conversation_id"].cast("string"), F.round(e["sim_score"], 4).cast("string")))
+    return out.select("message_id", "intent", "intent_confidence", F.array_join(ev, "|").alias("evidence"),
+                      F.col("escalation.raw_decision").alias("decision"), F.col("escalation.reason").alias("reason"),
+                      F.size("pipeline_stages").alias("n_stages"),
+                      F.concat_ws("; ", F.element_at("pipeline_stages", 1)["detail"], F.element_at("pipeline_stages", 2)["name"],
+                                  F.element_at("pipeline_stages", 3)["detail"]).alias("first_stages"))
+
+
 @register("first_records")
 def q_first_records(spark, sf_dir):
     """The first 50 conversation records by id (a bounded corpus; the

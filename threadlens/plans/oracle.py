@@ -966,3 +966,68 @@ SELECT doc_id,
 FROM documents"""
 
 ORACLE["unescape_pages_full"] = ORACLE["unescape_pages"]
+
+# --- linear classifier on TF-IDF -----------------------------------------------------
+
+_TFIDF = f"""
+{_WEAK},
+wt AS (SELECT doc_id, assigned_label AS label, regexp_extract_all(lower(clean), '\\b\\w\\w+\\b') AS t FROM weak),
+wterms AS (
+  SELECT doc_id, x AS term FROM wt, unnest(t) AS u(x)
+  UNION ALL SELECT doc_id, t[i] || ' ' || t[i + 1] FROM wt, range(1, len(t)) AS r(i)),
+wtf AS (SELECT doc_id, term, count(*) AS tf FROM wterms GROUP BY ALL),
+wdf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM wt)) / (1.0 + count(*))) + 1 AS idf FROM wtf GROUP BY term),
+ww AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM wtf JOIN wdf USING (term)),
+feats AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM ww),
+lsizes AS (SELECT label, CAST(count(*) AS DOUBLE) AS n_label FROM wt GROUP BY label),
+own AS (SELECT label, term, sum(weight) AS own FROM feats JOIN wt USING (doc_id) GROUP BY ALL),
+overall AS (SELECT term, sum(weight) AS total FROM feats GROUP BY term),
+model AS (
+  SELECT l.label, o.term, 4.0 * (coalesce(own.own, 0.0) / l.n_label - o.total / (SELECT count(*) FROM wt)) AS weight
+  FROM overall o CROSS JOIN lsizes l LEFT JOIN own ON own.label = l.label AND own.term = o.term)"""
+
+
+def sql_scored(rows: str) -> str:
+    """(id, intent, confidence, n_classes) of ``rows`` (id, clean) under the fixed model."""
+    return f"""
+st AS (SELECT id, clean, regexp_extract_all(lower(clean), '\\b\\w\\w+\\b') AS t FROM {rows}),
+sterms AS (
+  SELECT id, x AS term FROM st, unnest(t) AS u(x)
+  UNION ALL SELECT id, t[i] || ' ' || t[i + 1] FROM st, range(1, len(t)) AS r(i)),
+sw AS (SELECT id, term, (1 + ln(tf)) * idf AS w FROM (SELECT id, term, count(*) AS tf FROM sterms GROUP BY ALL) JOIN wdf USING (term)),
+sn AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM sw),
+sm AS (SELECT id, label, sum(sn.weight * model.weight) AS m FROM sn JOIN model USING (term) GROUP BY ALL),
+sg AS (SELECT st.id, l.label, 1 / (1 + exp(-(coalesce(sm.m, 0.0) + ln(l.n_label / (SELECT count(*) FROM wt))))) AS s
+       FROM st CROSS JOIN lsizes l LEFT JOIN sm ON sm.id = st.id AND sm.label = l.label),
+sp2 AS (SELECT id, label, s / sum(s) OVER (PARTITION BY id) AS p FROM sg),
+scored AS (
+  SELECT st.id, CASE WHEN {sql_tokens('any_value(st.clean)')} < 2 THEN 'ambiguous' ELSE arg_max(label, (p, -rank_no)) END AS intent,
+         CAST(CASE WHEN {sql_tokens('any_value(st.clean)')} < 2 THEN 0.0 ELSE round(max(p), 4) END AS DOUBLE) AS confidence,
+         CAST(CASE WHEN {sql_tokens('any_value(st.clean)')} < 2 THEN 0 ELSE count(*) END AS INTEGER) AS n_classes
+  FROM st JOIN (SELECT *, row_number() OVER (PARTITION BY id ORDER BY label) AS rank_no FROM sp2) USING (id) GROUP BY st.id)"""
+
+
+ORACLE["intent_scores"] = f"""
+WITH {_TFIDF},
+turns AS (SELECT conv_id * 100 + turn AS id, conv_id, turn, {sql_clean_ascii('text')} AS clean FROM conversations),
+{sql_scored('turns')}
+SELECT conv_id, turn, intent, confidence, n_classes FROM turns JOIN scored USING (id)"""
+
+ORACLE["intent_gradient"] = f"""
+WITH {_TFIDF}
+SELECT label, CAST(n_label AS BIGINT) AS n_rows, (SELECT count(*) FROM overall) + 1 AS n_terms, CAST(0.0 AS DOUBLE) AS max_gradient
+FROM lsizes"""
+
+_CLASSIFIED = (_TRIAGE.replace("cls AS (", "lexicon_cls AS (")
+               .replace("iv AS (", f"{_TFIDF},\nsrows AS (SELECT message_id AS id, clean FROM msgs),\n{sql_scored('srows')},\n"
+                        "cls AS (SELECT m.message_id, m.text, s.intent, s.confidence, n_words FROM mscored m JOIN scored s ON s.id = m.message_id),\n"
+                        "iv AS (", 1))
+
+ORACLE["triage_classified"] = f"""
+WITH {_CLASSIFIED},
+ev2 AS (SELECT query_id, string_agg(CAST(vector_id AS VARCHAR) || ':' || CAST(round(score, 4) AS VARCHAR), '|' ORDER BY rank) AS evidence,
+               count(*) AS n_ev FROM ranked GROUP BY query_id)
+SELECT d.message_id, d.intent, d.confidence AS intent_confidence, coalesce(e.evidence, '') AS evidence, decision, reason, 6 AS n_stages,
+       'Sanitized input query (' || CAST(c.n_words AS VARCHAR) || ' words); Classifying Intent; Queried the conversation index; retrieved top ' || CAST(coalesce(e.n_ev, 0) AS VARCHAR)
+         || ' conversations' AS first_stages
+FROM decided d JOIN cls c USING (message_id) LEFT JOIN ev2 e ON e.query_id = d.message_id"""
