@@ -60,6 +60,29 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and 5 in ids and 6 not in ids and None in ids and 1 in ids and 2 in ids
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    """Every row is a document: the near copy of either text finds it, in either order."""
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    for rows in ([(1, a), (1, b), (2, b + " x"), (3, a + " y")], [(3, a + " y"), (2, b + " x"), (1, b), (1, a)]):
+        got = minhash.component_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert all(r.component_id == 1 for r in got) and len(got) == 4
+
+
+def test_large_groups_in_small_blocks(spark, monkeypatch):
+    """Blocks of 16: a hub that links most copies, copies that only other copies link, and
+    members that nothing links."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    base, rows = [f"w{k}" for k in range(200)], []
+    for k in range(150):
+        words = list(base)
+        for at in rng.choice(200, int(rng.integers(1, 14)), replace=False):
+            words[at] = f"n{k}x{at}" if k % 3 else f"m{at}"
+        rows.append((k + 5, " ".join(words)))
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, percent=93)
+
+
 def test_chain_and_hub_groups(spark):
     """Links that only hold through others, a hub whose copies are unlike each other,
     and members below the threshold in shared buckets."""

@@ -9,22 +9,24 @@ Job:
 1. One pass makes a narrow row per document: set size, 128-bit set digest, band keys.
    Equal sets are one class from here on (partial aggregate on the digest), so a
    text copied a million times is one class.
-2. Band keys of the classes that share a bucket with another class. Buckets are
-   resolved by leaders: in each round every unfinished bucket names leaders (the
-   class with the largest buckets first, which a group's original tends to be; the
-   bucket is split by hash and every part names one, eight times as many parts each
-   round), leaders are paired with the members of other components, pairs are
-   confirmed on the full sets, and the links join components. A
-   bucket is finished when it is one component or every member has led, that is,
-   when every pair of its members has been confirmed, refuted or is linked already.
-   No pair list of a whole bucket is made, none is cut.
-   Component labels take one propagation step a round (a label that lags only costs a
-   confirmation, never a link).
-3. Components by min-label propagation with pointer jumping over the link table, to the end.
-
-Hot buckets: leader choice and bucket counts are partial aggregates; the joins
-bucket x leaders and pairs x texts are plain equi-joins that adaptive execution splits.
-Every round ends in a checkpoint (a written table in ``spark.checkpoint.dir``).
+2. Classes that share a bucket, directly or through others, are a candidate group (labels
+   over one link per class and bucket, to the bucket's least class).
+3. The members' texts are sent once into units of at most ``BLOCK`` members: small groups
+   share units, a large group is cut into blocks by hash, and its leader (the class
+   with the largest buckets, which a group's original tends to be) joins every block. A
+   task makes the full sets of its unit, counts the intersections of all pairs of one
+   group at once (shingle postings, or a product of the incidence matrix) and
+   returns a forest of the confirmed links: fewer rows than members, never a pair list.
+4. In a large group the members that are not in its largest component by now ("open") meet
+   all its members, block by block, in units that compare across two blocks and skip
+   pairs that are linked already. After that every pair of the group has been confirmed,
+   refuted or linked by others. None is cut; a group of n members of which o stay open
+   costs o * n comparisons in (o / BLOCK) * (n / BLOCK) units.
+5. Components by min-label propagation with pointer jumping over the forests, to the end.
+
+Hot groups: counts, sizes and leaders are partial aggregates; blocks are cut by hash, so no
+task holds more than two of them. Every round ends in a checkpoint (a written table
+in ``spark.checkpoint.dir``).
 
 Defined results: words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; null or empty
 text, or text without words, has an empty set, links with nothing and is its own
@@ -40,14 +42,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 from .common import NON_SPACE, U64, documents, find_words, hash_words, int_column, map_arrow, mix, sealed, text_column, text_parts
 
 SHINGLE = 3
 BANDS = 24
 ROWS = 5
 PERCENT = 85
-GROWTH = 8
+BLOCK = 512                # members of a unit
+BLOCK_SHINGLES = 600_000   # shingles of a unit, about
 _SHIFT = 0xA24BAED4963EE407
 _SIGMA = U64(0x8EBC6AF09C88C6E3)
 _PI = U64(0x589965CC75374CC3)
@@ -88,16 +91,16 @@ def circulant_signatures(hashes: np.ndarray, set_offs: np.ndarray, n: int) -> np
     return out
 
 
-_SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
+_SIGNED = "doc_id long, th long, n_shingles long, d1 long, d2 long, bands array<long>"
 
 
 def signed_sets(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
     """Narrow rows: set size, set digest, and one key per band (the band is part of it)."""
-    names = ["doc_id", "n_shingles", "d1", "d2", "bands"]
+    names = ["doc_id", "th", "n_shingles", "d1", "d2", "bands"]
 
     def run(batches):
         for batch in batches:
-            ids = int_column(batch, "doc_id")
+            ids, th = int_column(batch, "doc_id"), int_column(batch, "th")
             for lo, hi, raw, offs in text_parts(text_column(batch), 1_000_000):
                 h, at = shingle_sets(raw, offs, shingle)
                 sig = circulant_signatures(h, at, bands * rows).reshape(bands, rows, hi - lo)
@@ -108,10 +111,10 @@ def signed_sets(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFra
                 digest = [(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums]
                 flat = np.ascontiguousarray(keys.T).view(np.int64).ravel()
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), *map(pa.array, digest),
+                    [ids.slice(lo, hi - lo), th.slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), *map(pa.array, digest),
                      pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands), pa.int32()), pa.array(flat))], names=names)
 
-    return map_arrow(docs.select("doc_id", "text"), run, _SIGNED)
+    return map_arrow(docs.select("doc_id", "text", "th"), run, _SIGNED)
 
 
 def _merge(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -120,41 +123,90 @@ def _merge(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFra
     return left.join(right.hint("merge"), on, how)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """The pairs (rep, leader) with 100 * intersection >= percent * union, on full sets.
-    ``texts`` (id, text) has one row per id; leaders are few, so their side is small."""
-    heads = _merge(texts, pairs.select(F.col("leader").alias("id")).distinct(), "id", "left_semi")
-    both = _merge(pairs, texts.select(F.col("id").alias("rep"), F.col("text").alias("ta")), "rep")
-    both = _merge(both, heads.select(F.col("id").alias("leader"), F.col("text").alias("tb")), "leader").select("rep", "leader", "ta", "tb")
+def _counts(h: np.ndarray, rows: np.ndarray, m: int, left: np.ndarray | None) -> np.ndarray:
+    """Intersection sizes (m x m) of sets given as (element, row); with ``left`` (mask of the
+    first block's rows) only across the two blocks. Elements of one row are skipped."""
+    _, inv, df = np.unique(h, return_inverse=True, return_counts=True)
+    keep = df[inv] > 1
+    inv, rows = inv[keep], rows[keep]
+    if not len(rows):
+        return np.zeros((m, m), np.float32)
+    order = np.argsort(inv, kind="stable")
+    inv, rows = inv[order], rows[order]
+    start = np.flatnonzero(np.r_[True, inv[1:] != inv[:-1]])
+    size = np.diff(np.r_[start, len(inv)])
+    if (size * size).sum() <= 4_000_000:
+        # few common elements: all pairs of each posting list
+        each = np.repeat(size, size)
+        first = np.repeat(np.arange(len(rows)), each)
+        second = np.repeat(np.repeat(start, size), each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        return np.bincount(rows[first] * m + rows[second], minlength=m * m).reshape(m, m)
+    out = np.zeros((m, m), np.float32)
+    column = np.repeat(np.arange(len(start)), size)
+    for lo in range(0, len(start), 4096):
+        at = slice(*np.searchsorted(column, [lo, lo + 4096]))
+        part = np.zeros((m, 4096), np.float32)
+        part[rows[at], column[at] - lo] = 1
+        if left is None:
+            out += part @ part.T
+        else:
+            out[np.ix_(left, ~left)] += part[left] @ part[~left].T
+    return out
+
+
+def forest(ids: np.ndarray, groups: np.ndarray, labels: np.ndarray, texts: pa.Array, percent: int, shingle: int,
+           left: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (a, b) that join what the confirmed pairs of one unit join: pairs of one group
+    with 100 * intersection >= percent * union on the full sets, of different labels,
+    and, with ``left``, of different blocks."""
+    hashes, sizes = [], []
+    for _, _, raw, offs in text_parts(texts, 1_000_000):
+        h, at = shingle_sets(raw, offs, shingle)
+        hashes.append(h)
+        sizes.append(np.diff(at))
+    size = np.concatenate(sizes)
+    rows = np.repeat(np.arange(len(ids)), size)
+    seed = mix(np.unique(groups, return_inverse=True)[1].astype(U64) + U64(1))
+    inter = _counts(mix(np.concatenate(hashes) ^ seed[rows]), rows, len(ids), left)
+    fits = (100 * inter >= percent * (size[:, None] + size[None, :] - inter)) & (inter > 0)
+    fits &= (labels[:, None] != labels[None, :]) & (groups[:, None] == groups[None, :])
+    if left is not None:
+        fits &= left[:, None] & ~left[None, :]
+    root = {int(x): int(x) for x in labels}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(fits)):
+        a, b = find(int(labels[i])), find(int(labels[j]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((int(ids[i]), int(ids[j])))
+    return out
 
-    def run(batches):
-        for batch in batches:
-            cols = [text_column(batch, c) for c in ("ta", "tb")]
-            joined = pa.chunked_array(cols).combine_chunks()
-            joined = joined if isinstance(joined, pa.Array) else pa.concat_arrays(joined.chunks)
-            n = batch.num_rows
-            keep = []
-            step = 64
-            for lo in range(0, n, step):
-                hi = min(n, lo + step)
-                part = pa.concat_arrays([joined.slice(lo, hi - lo), joined.slice(n + lo, hi - lo)])
-                hashes, at, sizes = [], [], []
-                for _, _, raw, offs in text_parts(part, 1_000_000):
-                    h, o = shingle_sets(raw, offs, shingle)
-                    hashes.append(h)
-                    sizes.append(np.diff(o))
-                h, size = np.concatenate(hashes), np.concatenate(sizes)
-                rows = np.repeat(np.arange(len(size)) % (hi - lo), size)
-                order = np.lexsort((h, rows))
-                h, rows = h[order], rows[order]
-                twice = np.flatnonzero((h[1:] == h[:-1]) & (rows[1:] == rows[:-1]))
-                inter = np.bincount(rows[twice], minlength=hi - lo)
-                union = size[:hi - lo] + size[hi - lo:] - inter
-                keep.append((100 * inter >= percent * union) & (inter > 0))
-            mask = pa.array(np.concatenate(keep) if keep else np.zeros(0, bool))
-            yield batch.select(["rep", "leader"]).filter(mask)
-
-    return map_arrow(both, run, "rep long, leader long")
+
+def confirm(units: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """(a, b): the forests of all units; ``units`` has (unit, side, cid, grp, label, text), one
+    row per member and side; side 0 meets side 1, and sides of -1 meet each other."""
+    ship_package(units.sparkSession)
+
+    def run(table: pa.Table) -> pa.Table:
+        cid, side = table["cid"].to_numpy(), table["side"].to_numpy()
+        links: list[tuple[int, int]] = []
+        order = np.lexsort((cid, side))
+        order = order[np.r_[True, (cid[order][1:] != cid[order][:-1]) | (side[order][1:] != side[order][:-1])]]
+        if len(order) > 1:
+            texts = text_column(table).take(pa.array(order))
+            left = side[order] == 0 if (side >= 0).any() else None
+            links = forest(cid[order], table["grp"].to_numpy()[order], table["label"].to_numpy()[order], texts, percent, shingle, left)
+        pa.default_memory_pool().release_unused()
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return units.groupBy("unit").applyInArrow(run, "a long, b long")
 
 
 def _spread(label: DataFrame, both: DataFrame) -> DataFrame:
@@ -179,53 +231,83 @@ def components(links: DataFrame, label: DataFrame) -> DataFrame:
     return _merge(label, least, F.col("root.id") == F.col("top")).select("id", "comp")
 
 
+def _blocks(count, shingles):
+    return F.greatest(F.ceil(count / F.lit(BLOCK)), F.ceil(shingles / F.lit(BLOCK_SHINGLES))).cast("long")
+
+
+def _crossed(members: DataFrame, links: DataFrame) -> DataFrame | None:
+    """Units in which the open members of large groups meet all members of their group."""
+    large = members.filter("blocks > 1")
+    own = large.select(F.col("cid").alias("id"), F.struct(F.lit(0).cast("long").alias("rank"), F.col("cid").alias("id")).alias("root"))
+    inside = _merge(links, large.select(F.col("cid").alias("a")), "a", "left_semi").select("a", "b")
+    label = components(inside, own) if inside.head(1) else own.select("id", F.col("id").alias("comp"))
+    named = cut_lineage(_merge(large, label.select(F.col("id").alias("cid"), F.col("comp").alias("now")), "cid"))
+    parts = named.groupBy("grp", "now").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    groups = parts.groupBy("grp").agg(F.max_by("now", F.struct("n", "now")).alias("main"), F.max("n").alias("n_main"),
+                                      F.sum("n").alias("n"), F.sum("s").alias("s"))
+    open_ = _blocks(F.col("n") - F.col("n_main"), F.col("s") * (F.col("n") - F.col("n_main")) / F.col("n"))
+    groups = cut_lineage(groups.withColumn("open_blocks", open_).filter("n > n_main").select("grp", "main", "open_blocks"))
+    if not groups.head(1):
+        return None
+    rows = _merge(named.withColumn("label", F.col("now")), groups, "grp")
+    place = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("open_blocks"))
+    last = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    others = F.sequence(F.lit(0).cast("long"), F.col("open_blocks") - 1)
+    unit = lambda x, y: F.concat_ws("-", F.lit("x"), F.col("grp"), x, y)
+    near = rows.filter("now <> main").withColumn("_o", place).withColumn("_b", F.explode(last)).withColumn("side", F.lit(0))
+    far = rows.withColumn("_b", F.col("blk")).withColumn("_o", F.explode(others)).withColumn("side", F.lit(1))
+    return near.unionByName(far).select(unit(F.col("_o"), F.col("_b")).alias("unit"), "side", "cid", "grp", "label", "text")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of ``docs``."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     signed = cut_lineage(signed_sets(docs, bands, rows, shingle))
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     same_set = ["n_shingles", "d1", "d2"]
-    classes = cut_lineage(full.groupBy(*same_set).agg(F.min(F.struct("doc_id", "bands")).alias("m"))
-                          .select(*same_set, F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")))
-    keys = classes.select("rep", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = cut_lineage(_merge(keys, shared, "key"))
-    weight = cut_lineage(found.groupBy("rep").agg(F.sum("n").alias("w")))
-    texts = cut_lineage(_merge(docs.select(F.col("doc_id").alias("id"), "text"), weight.select(F.col("rep").alias("id")), "id", "left_semi")
-                        .dropDuplicates(["id"]))
-    # a class with larger buckets has the smaller label: a group's leader is its root
-    label = weight.select(F.col("rep").alias("id"), F.struct((-F.col("w")).alias("rank"), F.col("rep").alias("id")).alias("root"))
-    bucket = cut_lineage(_merge(found, weight, "rep").select("key", "rep", "w", F.col("rep").alias("comp"), F.lit(False).alias("led")))
-    links = tested = None
-    parts = 1
-    while bucket.head(1):
-        # every open bucket's leaders (one per part), against its members of other components
-        leaders = bucket.filter("not led").groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(parts)).alias("part")) \
-            .agg(F.max_by(F.struct("rep", "comp"), F.struct("w", -F.col("rep"))).alias("l")) \
-            .select("key", F.col("l.rep").alias("leader"), F.col("l.comp").alias("lcomp"))
-        pairs = _merge(bucket, leaders, "key").filter("comp <> lcomp").select("rep", "leader").distinct()
-        if tested is not None:
-            known = tested.unionByName(tested.select(F.col("rep").alias("leader"), F.col("leader").alias("rep")))
-            pairs = _merge(pairs, known, ["rep", "leader"], "left_anti")
-        pairs = cut_lineage(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = cut_lineage(confirm(pairs, texts, percent, shingle).select(F.col("rep").alias("a"), F.col("leader").alias("b")))
-        links = new if links is None else links.unionByName(new)
-        both = new.unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        label = cut_lineage(_spread(label, both))
-        led = leaders.select("key", F.col("leader").alias("rep"), F.lit(True).alias("_led"))
-        moved = _merge(_merge(bucket, led, ["key", "rep"], "left"), label.select(F.col("id").alias("rep"), F.col("root.id").alias("_new")), "rep") \
-            .select("key", "rep", "w", F.col("_new").alias("comp"), (F.col("led") | F.col("_led").isNotNull()).alias("led"))
-        open_ = moved.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("led").alias("done")) \
-            .filter("c0 <> c1 and not done").select("key")
-        bucket = cut_lineage(_merge(moved, open_, "key", "left_semi"))
-        parts *= GROWTH
-    of_rep = _merge(signed, classes.select(*same_set, "rep"), same_set, "left").select(
-        "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
-    if links is None:
-        return of_rep.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
-    comp = components(links, label).select(F.col("id").alias("rep"), "comp")
-    return _merge(of_rep, comp, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
+    classes = cut_lineage(full.groupBy(*same_set).agg(F.min(F.struct("doc_id", "th", "bands")).alias("m"))
+                          .select(*same_set, "m.doc_id", "m.th", "m.bands", F.monotonically_increasing_id().alias("cid")))
+    keys = classes.select("cid", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("lead")).filter("n > 1")
+    found = cut_lineage(_merge(keys, shared, "key").select("cid", "lead", "n"))
+    weight = cut_lineage(found.groupBy("cid").agg(F.sum("n").alias("w")))
+    plain = _merge(signed, classes.select(*same_set, "cid", F.col("doc_id").alias("least")), same_set, "left").select(
+        "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("cid")).alias("cid"), "least")
+    alone = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    if not weight.head(1):
+        return plain.select("doc_id", "n_shingles", alone.alias("component_id"))
+    # candidate groups: a class with larger buckets has the smaller label
+    start = weight.select(F.col("cid").alias("id"), F.struct((-F.col("w")).alias("rank"), F.col("cid").alias("id")).alias("root"))
+    groups = components(found.filter("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct(), start)
+    narrow = _merge(_merge(groups.select(F.col("id").alias("cid"), F.col("comp").alias("grp")), weight, "cid"),
+                    classes.select("cid", "n_shingles", "doc_id", "th"), "cid")
+    narrow = cut_lineage(narrow)
+    of_group = narrow.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"),
+                                         F.max(F.struct("w", "cid"))["cid"].alias("leader"))
+    sized = _merge(narrow, of_group, "grp").withColumn("blocks", _blocks(F.col("m"), F.col("s")))
+    # one row with the text of each class: that of its least document
+    texts = docs.withColumn("_s", F.lit(1)).dropDuplicates(["doc_id", "th"])
+    members = cut_lineage(_merge(sized, texts, ["doc_id", "th"]).select(
+        "cid", "grp", "blocks", "n_shingles", "leader", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("blk"), "text"))
+    total = members.agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")).first()
+    units = max(1, -(-2 * total.n // BLOCK), -(-2 * int(total.s) // BLOCK_SHINGLES))
+    unit = F.when(F.col("blocks") == 1, F.concat(F.lit("s-"), F.pmod(F.xxhash64("grp"), F.lit(units)))) \
+        .otherwise(F.concat_ws("-", F.lit("m"), F.col("grp"), F.col("blk")))
+    here = members.select(unit.alias("unit"), F.lit(-1).alias("side"), "cid", "grp", F.col("cid").alias("label"), "text")
+    heads = members.filter("blocks > 1 and cid = leader").withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))) \
+        .select(unit.alias("unit"), F.lit(-1).alias("side"), "cid", "grp", F.col("cid").alias("label"), "text")
+    links = cut_lineage(confirm(here.unionByName(heads), percent, shingle))
+    if members.filter("blocks > 1").head(1):
+        crossed = _crossed(members, links)
+        if crossed is not None:
+            links = links.unionByName(cut_lineage(confirm(crossed, percent, shingle)))
+    if not links.head(1):
+        return plain.select("doc_id", "n_shingles", alone.alias("component_id"))
+    comp = cut_lineage(components(links, start).select(F.col("id").alias("cid"), "comp"))
+    least = _merge(comp, classes.select("cid", "doc_id"), "cid").groupBy("comp").agg(F.min("doc_id").alias("first"))
+    by_class = _merge(comp, least, "comp").select("cid", "first")
+    return _merge(plain, by_class, "cid", "left").select("doc_id", "n_shingles", F.coalesce("first", alone).alias("component_id"))
 
 
 def component_report(docs: DataFrame, **kw) -> DataFrame:
