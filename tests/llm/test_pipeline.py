@@ -37,3 +37,22 @@ def test_odd_and_empty_inputs(spark, odd_docs, no_docs):
 def test_registered():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_every_stage_writes_clashing_columns(spark, odd_docs, tmp_path):
+    """Each stage's output is written and read again; columns pass through by value."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    docs = odd_docs.withColumn("n_tokens", F.lit("mine")).withColumn("round_trip", F.lit("mine")).withColumn("grp", F.lit("g"))
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path / name)
+        stage(spark, docs, "/root/testdata/sf0.001").write.parquet(path)
+        got = spark.read.parquet(path)
+        assert set(docs.columns) <= set(got.columns)
+        kept = [c for c in docs.columns if c not in ("doc_id", "text", "n_tokens", "round_trip", "piece_ids")]
+        before = {tuple(r) for r in docs.select("doc_id", *kept).collect()}
+        assert {tuple(r) for r in got.select("doc_id", *kept).collect()} <= before
+        if name == "sentencepiece":
+            kinds = dict(got.dtypes)
+            assert (kinds["n_tokens"], kinds["round_trip"], kinds["decoded"]) == ("bigint", "boolean", "string")
+            assert got.filter("not round_trip").count() == 0
