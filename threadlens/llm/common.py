@@ -55,6 +55,26 @@ def give_back() -> None:
         trim(0)
 
 
+def per_group(fn: Callable[[pa.Table], pa.Table]):
+    """``fn`` for ``applyInArrow`` on one grouping, giving back what a group leaves free."""
+    def run(table):
+        try:
+            return fn(table)
+        finally:
+            give_back()
+    return run
+
+
+def per_pair(fn: Callable[[pa.Table, pa.Table], pa.Table]):
+    """The same for two cogrouped sides."""
+    def run(left, right):
+        try:
+            return fn(left, right)
+        finally:
+            give_back()
+    return run
+
+
 def arrow_batch(schema: list[tuple[str, pa.DataType]], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=t) for (_, t), c in zip(schema, columns)],

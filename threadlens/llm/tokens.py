@@ -21,8 +21,10 @@ task that is lost or runs twice leaves whole files. Files go through
 ``pyarrow.fs`` to the folder under ``spark.checkpoint.dir`` (any store it knows;
 memory-mapped when the store is a mounted file system).
 
-Texts are cut at single spaces between two non-space characters, where the byte-level
-pattern always starts a token; each distinct chunk is encoded once (``chunks``).
+Texts are cut at places where the byte-level pattern always starts a token, mostly single
+spaces (``find_chunks``); each distinct chunk is encoded once (``chunks``). Chunks are
+found, hashed, compared and replaced by their ids as arrays; only distinct new ones become
+strings.
 
 Defined results: a null or empty text is the end id alone; a null id sorts first;
 rows of one id are ordered by their text, repeated rows are all written; columns
@@ -31,8 +33,8 @@ other than doc_id and text are not used; an empty table writes no files.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import uuid
 import zlib
 
@@ -42,14 +44,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir, ship_package
-from .chunks import ChunkCache
-from .common import documents, id_splitters, int_column, map_arrow, text_column, text_parts, with_block
+from .chunks import SpanCache, gather
+from .common import (U64, byte_class, documents, hash_words, id_splitters, int_column, map_arrow, mix, per_group,
+                     text_column, text_parts, with_block)
 
 SLICE_BYTES = 8_000_000
 # slices are small, so the cache serves several slices of a worker
-MAX_CHUNKS = 600_000
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_HARD = re.compile(r"\s | \s")
+MAX_CHUNKS = 1_500_000
+_BLANK = byte_class([0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)])
+# first bytes of characters among which wider blanks are, and the bytes before their last one
+_WIDE_HEAD = byte_class([0xC2, 0xE1, 0xE2, 0xE3])
+_WIDE_TAIL = byte_class([0xC2, 0x9A, 0x80, 0x81])
+_LETTER = byte_class([*range(0x41, 0x5B), *range(0x61, 0x7B)])
+_LETTER_TAIL = byte_class(set(range(0x80, 0xC0)) - {0x97, 0xB7})     # after 0xC3
+_STOPS = byte_class(b".,;:!?)%$#*\n")
 _NO_ID = -2**63
 
 
@@ -59,6 +67,11 @@ class _Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre = spec["pre_tokenizer"] or {}
+        if pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or spec["normalizer"]:
+            raise ValueError("texts are cut by the rules of the byte-level pattern; this vocabulary has others")
         self.size = self.lib.get_vocab_size(with_added_tokens=True)
         added = {i: t.content for i, t in self.lib.get_added_tokens_decoder().items()}
         # byte length of each token: one character of a byte-level token is one byte
@@ -66,60 +79,96 @@ class _Encoder:
         for name, i in self.lib.get_vocab(with_added_tokens=True).items():
             self.token_bytes[i] = len(added[i].encode()) if i in added else len(name)
 
-    def encode(self, keys: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(keys reordered, flat ids, ids per key). Chunks led by a space that end with a
-        non-space go through the library as one text: tokens start where they do, and
-        the byte lengths of the tokens say where."""
-        joint = [k for k in keys if k[0] != " " and not k[-1].isspace()]
-        alone = [k for k in keys if k[0] == " " or k[-1].isspace()]
-        got = self.lib.encode_batch_fast([k[1:] if k[0] == " " else " " + k for k in alone], add_special_tokens=False)
+    def encode(self, chunks: list[tuple[bytes, bool]]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, ids per chunk) of (text, without a space before it or not). Chunks that
+        neither begin nor end with a blank go through the library as one text, with a space
+        or a line feed between them: tokens start where they do, a line feed is a token of
+        its own, and the byte lengths of the tokens say where."""
+        texts = [c.decode() for c, _ in chunks]
+        solo = np.fromiter((t[0].isspace() or t[-1].isspace() for t in texts), bool, len(texts))
+        bare = np.fromiter((b for _, b in chunks), bool, len(texts))
+        alone = np.flatnonzero(solo)
+        got = self.lib.encode_batch_fast([texts[i] if bare[i] else " " + texts[i] for i in alone], add_special_tokens=False)
         flat = [np.array(e.ids, np.int64) for e in got]
-        lens = [np.fromiter(map(len, flat), np.int64, len(flat))]
-        for lo in range(0, len(joint), 20_000):
-            some = joint[lo:lo + 20_000]
-            ids = np.array(self.lib.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.int64)
-            size = np.fromiter((len(k) if k.isascii() else len(k.encode()) for k in some), np.int64, len(some)) + 1
-            stops = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum(size), side="left") + 1
-            flat.append(ids)
-            lens.append(np.diff(stops, prepend=0))
-        return alone + joint, np.concatenate(flat) if flat else np.zeros(0, np.int64), np.concatenate(lens)
-
-
-_encoders: dict[str, tuple[_Encoder, ChunkCache]] = {}
+        begins, lens, order, held = [], [np.fromiter(map(len, flat), np.int64, len(flat))], [alone], 0
+        begins.append(np.cumsum(lens[0]) - lens[0])
+        held = int(lens[0].sum())
+        for between, rows in ((" ", np.flatnonzero(~solo & ~bare)), ("\n", np.flatnonzero(~solo & bare))):
+            for lo in range(0, len(rows), 20_000):
+                some = rows[lo:lo + 20_000]
+                joint = between.join([texts[i] for i in some])
+                ids = np.array(self.lib.encode_batch_fast([" " + joint if between == " " else joint], add_special_tokens=False)[0].ids, np.int64)
+                size = np.fromiter((len(chunks[i][0]) for i in some), np.int64, len(some))
+                # the byte where each chunk ends; a space before a chunk belongs to it
+                ends = np.cumsum(size + 1) - (between != " ")
+                stops = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends, side="left") + 1
+                starts = np.concatenate([[0], stops[:-1] + (between != " ")])
+                begins.append(held + starts)
+                lens.append(stops - starts)
+                order.append(some)
+                flat.append(ids)
+                held += len(ids)
+        # back into the order asked for
+        place = np.argsort(np.concatenate(order), kind="stable")
+        n = np.concatenate(lens)[place]
+        return gather(np.concatenate(flat) if flat else np.zeros(0, np.int64), np.concatenate(begins)[place], n), n
+
+
+_encoders: dict[str, tuple[_Encoder, SpanCache]] = {}
 
 
 def _encoder(path: str):
     if path not in _encoders:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         enc = _Encoder(path)
-        _encoders[path] = enc, ChunkCache(enc.encode, np.int32, MAX_CHUNKS)
+        _encoders[path] = enc, SpanCache(enc.encode, np.int32, MAX_CHUNKS)
     return _encoders[path]
 
 
-def chunks_of(text: str) -> list[str]:
-    """Cut at every single space between two non-space characters. The space goes with
-    what follows and is left out of the key; the first chunk, which has none, is
-    marked by one (no other key starts with a space)."""
-    if not text:
-        return []
-    if _HARD.search(text) or text[0].isspace() or text[-1].isspace():
-        parts = _CUT.split(text)
-    else:
-        parts = text.split(" ")
-    parts[0] = " " + parts[0]
-    return parts
-
-
-def encode_strings(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def find_chunks(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, without a space before it, chunks per text). The pattern always starts a
+    token at these places, whatever follows or comes before:
+
+    * a single space between two non-space characters (the space is left out);
+    * a letter (Latin, one or two bytes) followed by one of ``_STOPS``;
+    * a single line feed followed by a Latin letter.
+
+    A space next to a byte that may belong to a wider blank is no cut; that only makes a
+    chunk longer."""
+    first = np.zeros(len(raw) + 1, bool)
+    first[offs] = True
+    prev, prev2 = np.zeros_like(raw), np.zeros_like(raw)      # 0: before the text
+    prev[1:] = raw[:-1]
+    prev[first[:-1]] = 0
+    prev2[1:] = prev[:-1]
+    prev2[first[:-1]] = 0
+    at = np.flatnonzero((raw == 0x20) & ~first[1:] & ~first[:-1])
+    before, after = prev[at], raw[at + 1]
+    at = at[~(_BLANK[before] | _BLANK[after] | _WIDE_HEAD[after] | ((before >= 0x80) & _WIDE_TAIL[prev2[at]]))]
+    bare = np.flatnonzero(_STOPS[raw] & ~first[:-1])
+    bare = bare[_LETTER[prev[bare]] | ((prev2[bare] == 0xC3) & _LETTER_TAIL[prev[bare]])]
+    line = np.flatnonzero((prev == 0x0A) & _LETTER[raw])
+    line = line[(prev2[line] > 0x20) & (prev2[line] < 0x80)]
+    begin = first[:-1].copy()
+    begin[at + 1] = True
+    mark = first[:-1].copy()
+    for cut in (bare, line):
+        begin[cut] = True
+        mark[cut] = True
+    starts = np.flatnonzero(begin)
+    over = np.zeros(len(raw) + 1, bool)
+    over[at] = over[bare] = over[line] = True
+    over[offs[1:][np.diff(offs) > 0]] = True
+    return starts, np.flatnonzero(over), mark[starts], np.diff(np.searchsorted(starts, offs))
+
+
+def encode_bytes(path: str, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(flat ids, ids per text) of whole texts, without an end id."""
     _, cache = _encoder(path)
-    chunks: list[str] = []
-    counts = np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        got = chunks_of(t)
-        chunks += got
-        counts[i] = len(got)
-    return cache.ids(chunks, counts)
+    starts, ends, mark, counts = find_chunks(raw, offs)
+    keys = hash_words(raw, starts, ends)
+    keys[mark] = mix(keys[mark] + U64(1))
+    return cache.ids(raw, starts, ends, mark, keys, counts)
 
 
 class _Folder:
@@ -171,8 +220,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str, slice_bytes:
         col = col.take(pa.array(order))
         flat, lens = [], []
         for _, _, raw, offs in text_parts(col, 1_000_000):
-            data = raw.tobytes()
-            got, n = encode_strings(path, [data[a:b].decode() for a, b in zip(offs[:-1], offs[1:])])
+            got, n = encode_bytes(path, raw, offs)
             flat.append(np.insert(got, np.cumsum(n), end_id).astype(dtype))
             lens.append(n + 1)
         out = _Folder(folder)
@@ -183,7 +231,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str, slice_bytes:
                          "n_ids": pa.array([int(np.concatenate(lens).sum())], pa.int64()),
                          "width": pa.array([dtype.itemsize], pa.int32())})
 
-    written = sliced.groupBy("_slice").applyInArrow(put, "slice int, n_docs long, n_ids long, width int").collect()
+    written = sliced.groupBy("_slice").applyInArrow(per_group(put), "slice int, n_docs long, n_ids long, width int").collect()
     rows, base = [], 0
     for r in sorted(written, key=lambda r: r.slice):
         rows.append((r.slice, r.n_docs, r.n_ids, r.width, base))
