@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import ship_package
-from .common import (NON_SPACE, U64, corpus_size, documents, find_words, hash_words, id_splitters, int_column, mix,
+from .common import (NON_SPACE, U64, corpus_size, documents, find_words, hash_words, id_splitters, int_column, mix, per_group, per_pair,
                      sealed, text_column, text_parts, window_hashes, window_starts, with_block)
 
 WINDOW = 20
@@ -193,12 +193,12 @@ def repeated_words(docs: DataFrame, finish, schema, window: int = WINDOW, first:
             if table.num_rows == 0:
                 return _SENT_PA.empty_table()
             return upto(table, replies, level).send(table["_blk"][0].as_py(), level)
-        return send_after if level else send
+        return per_pair(send_after) if level else per_group(send)
 
     def shard(last):
         def answer(table):
             return _answer(table, last)
-        return answer
+        return per_group(answer)
 
     answers = None
     for level in range(steps):
@@ -221,7 +221,7 @@ def repeated_words(docs: DataFrame, finish, schema, window: int = WINDOW, first:
             b.grow(replies, k)
         return finish(table, b.word_offs, b.removed(replies, steps - 1))
 
-    return blocks.groupBy("_blk").cogroup(answers.groupBy("_blk")).applyInArrow(end, out)
+    return blocks.groupBy("_blk").cogroup(answers.groupBy("_blk")).applyInArrow(per_pair(end), out)
 
 
 def _kept(text: bytes, gone: np.ndarray) -> bytes:
