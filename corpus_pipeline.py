@@ -48,7 +48,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that a repeated 20-word window covers go (its first place in id order stays);
     texts that lose nothing are unchanged, to the byte."""
-    return substring.drop_repeats(docs)
+    # whole rows travel with the blocks here, after stages whose workers are still there
+    return substring.drop_repeats(docs, block_bytes=3_000_000)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
