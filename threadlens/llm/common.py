@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import ctypes
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,13 +56,25 @@ def give_back() -> None:
         trim(0)
 
 
+_gave_back = 0.0
+
+
+def _after_group() -> None:
+    """As ``give_back``, but ten times a second at most: groups may be small and many."""
+    global _gave_back
+    now = time.monotonic()
+    if now - _gave_back > 0.1:
+        _gave_back = now
+        give_back()
+
+
 def per_group(fn: Callable[[pa.Table], pa.Table]):
     """``fn`` for ``applyInArrow`` on one grouping, giving back what a group leaves free."""
     def run(table):
         try:
             return fn(table)
         finally:
-            give_back()
+            _after_group()
     return run
 
 
@@ -71,7 +84,7 @@ def per_pair(fn: Callable[[pa.Table, pa.Table], pa.Table]):
         try:
             return fn(left, right)
         finally:
-            give_back()
+            _after_group()
     return run
 
 

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
-from .common import NON_SPACE, U64, documents, find_words, hash_words, int_column, map_arrow, mix, sealed, text_column, text_parts
+from .common import NON_SPACE, U64, documents, find_words, hash_words, int_column, map_arrow, mix, per_group, sealed, text_column, text_parts
 
 SHINGLE = 3
 BANDS = 24
@@ -203,10 +203,9 @@ def confirm(units: DataFrame, percent: int, shingle: int) -> DataFrame:
             texts = text_column(table).take(pa.array(order))
             left = side[order] == 0 if (side >= 0).any() else None
             links = forest(cid[order], table["grp"].to_numpy()[order], table["label"].to_numpy()[order], texts, percent, shingle, left)
-        pa.default_memory_pool().release_unused()
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return units.groupBy("unit").applyInArrow(run, "a long, b long")
+    return units.groupBy("unit").applyInArrow(per_group(run), "a long, b long")
 
 
 def _spread(label: DataFrame, both: DataFrame) -> DataFrame:
