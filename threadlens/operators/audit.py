@@ -72,6 +72,14 @@ def contains_overlap(items: DataFrame, docs: DataFrame, item_id: str, item_text:
     return hits
 
 
+def without_overlap(rows: DataFrame, pairs: DataFrame, row_id: str, pair_id: str | None = None) -> DataFrame:
+    """E7, anti form: the rows (all columns) that are in no pair. Ids that were found are
+    made distinct before the join, so an id in many pairs is one row of it; rows with a
+    null id are in no pair and stay."""
+    found = pairs.select(F.col(pair_id or row_id).alias("_found")).filter(F.col("_found").isNotNull()).distinct()
+    return rows.join(found, rows[row_id] == found["_found"], "left_anti")
+
+
 def overlap_summary(items: DataFrame, pairs: DataFrame, item_id: str) -> DataFrame:
     """G11 over items: n, share found, standard error, documents touched."""
     flagged = items.select(F.col(item_id).alias("item_id")).join(

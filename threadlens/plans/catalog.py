@@ -617,6 +617,22 @@ def q_benchmark_overlap(spark, sf_dir):
             .unionByName(audit.overlap_summary(b, cont, "item_id").withColumn("mode", F.lit("contains"))))
 
 
+@register("unseen_benchmark")
+def q_unseen_benchmark(spark, sf_dir):
+    """E7, anti form: benchmark items that no document contains."""
+    b = _t(spark, sf_dir, "benchmark")
+    pairs = audit.contains_overlap(b, _t(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
+    return audit.without_overlap(b, pairs, "item_id").select("item_id", F.length("text").alias("n_chars"))
+
+
+@register("uncontaminated_documents")
+def q_uncontaminated_documents(spark, sf_dir):
+    """E7, anti form on the other side: documents that contain no benchmark item."""
+    d = _t(spark, sf_dir, "documents")
+    pairs = audit.contains_overlap(_t(spark, sf_dir, "benchmark"), d, "item_id", "text", "doc_id", "text")
+    return audit.without_overlap(d, pairs, "doc_id").select("doc_id", "lang", "source")
+
+
 def _doc_split(spark, sf_dir):
     return sampling.stratified_split(cut_lineage(_weak_docs(spark, sf_dir)), "assigned_label", "doc_id")
 
@@ -790,10 +806,17 @@ from threadlens.plans import triage as triage_plan  # noqa: E402
 from threadlens.streaming import stream  # noqa: E402
 
 
-def _user_turns(df):
+def _user_turns(df, *kept):
     return (df.filter(F.col("role") == "user")
             .select((F.col("conv_id") * 100 + F.col("turn")).alias("message_id"),
-                    tx.clean_ascii("text").alias("text")))
+                    tx.clean_ascii("text").alias("text"), *kept))
+
+
+def _triage_columns(out):
+    return out.select("message_id", "intent", "intent_confidence", F.array_join("evidence_ids", "|").alias("evidence_ids"),
+                      F.round("top_score", 6).alias("top_score"), F.col("escalation.raw_decision").alias("decision"),
+                      F.col("escalation.risk_level").alias("risk_level"),
+                      F.array_join("escalation.signals_triggered", ",").alias("signals"), "reply")
 
 
 @register("triage_turns")
@@ -802,11 +825,7 @@ def q_triage_turns(spark, sf_dir):
     lexicon), top 3 conversations, template reply, decision (test rules)."""
     idx = triage_plan.index_side(_records(spark, sf_dir))
     msgs = _user_turns(_t(spark, sf_dir, "conversations"))
-    out = triage_plan.triage(msgs, idx, 3, TEST_RULES, TEST_LEXICON)
-    return out.select("message_id", "intent", "intent_confidence", F.array_join("evidence_ids", "|").alias("evidence_ids"),
-                      F.round("top_score", 6).alias("top_score"), F.col("escalation.raw_decision").alias("decision"),
-                      F.col("escalation.risk_level").alias("risk_level"),
-                      F.array_join("escalation.signals_triggered", ",").alias("signals"), "reply")
+    return _triage_columns(triage_plan.triage(msgs, idx, 3, TEST_RULES, TEST_LEXICON))
 
 
 CONV_SCHEMA = "conv_id long, turn long, role string, text string"
@@ -814,14 +833,12 @@ CONV_SCHEMA = "conv_id long, turn long, role string, text string"
 
 @register("triage_stream")
 def q_triage_stream(spark, sf_dir):
-    """K2: the same triage over a stream of arriving turns (foreachBatch;
-    rows-only check, equals K1 on the same rows)."""
+    """K2: the same triage over a stream of arriving turns, redelivered ones dropped by id."""
     idx = triage_plan.index_side(_records(spark, sf_dir))
     out = stream.run_triage_stream(
         spark, sf_dir, CONV_SCHEMA, idx, k=3, rules=TEST_RULES, lex=TEST_LEXICON,
-        prepare=lambda s: _user_turns(s), glob="conversations.parquet")
-    return spark.read.parquet(out).select(
-        "message_id", "intent", F.col("escalation.raw_decision").alias("decision"))
+        prepare=lambda s: _user_turns(s, "_arrived"), glob="conversations.parquet")
+    return _triage_columns(spark.read.parquet(out))
 
 
 EVENTS_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -836,17 +853,19 @@ def _event_decision():
 @register("decision_rate_hourly")
 def q_decision_rate_hourly(spark, sf_dir):
     """K3 batch form: decisions per hour window."""
-    r = stream.decision_rate(_t(spark, sf_dir, "events"), _event_decision())
+    return _rate_columns(stream.decision_rate(_t(spark, sf_dir, "events"), _event_decision()))
+
+
+def _rate_columns(r):
     return r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                     F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("window_end"), "decision", "n_rows")
 
 
 @register("decision_rate_stream")
 def q_decision_rate_stream(spark, sf_dir):
-    """K3 streaming form: watermark 10 minutes, append mode (closed windows
-    only; rows-only check)."""
+    """K3 streaming form: watermark 10 minutes; all windows, the open ones too."""
     out = stream.run_decision_monitor(spark, sf_dir, EVENTS_SCHEMA, _event_decision(), glob="events.parquet")
-    return spark.read.parquet(out)
+    return _rate_columns(stream.read_monitor(spark, out))
 
 
 # --- A6, A7, B7, B8: cell parsing and coercion on the star schema ----------------

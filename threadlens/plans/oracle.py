@@ -726,6 +726,14 @@ SELECT {_share('f')}, (SELECT count(DISTINCT doc_id) FROM ex) AS n_docs_touched,
 UNION ALL
 SELECT {_share('f')}, (SELECT count(DISTINCT doc_id) FROM co), 'contains' FROM fc"""
 
+ORACLE["unseen_benchmark"] = """
+SELECT b.item_id, length(b.text) AS n_chars FROM benchmark b
+WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE length(coalesce(b.text, '')) > 0 AND contains(d.text, b.text))"""
+
+ORACLE["uncontaminated_documents"] = """
+SELECT doc_id, lang, source FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE length(coalesce(b.text, '')) > 0 AND contains(d.text, b.text))"""
+
 _WEAK = f"""
 wd AS (SELECT doc_id, {sql_clean_ascii('text')} AS clean FROM documents),
 wv AS (SELECT * FROM wd WHERE length(clean) > 0),
@@ -916,6 +924,9 @@ SELECT message_id, intent, confidence AS intent_confidence, evidence_ids, round(
        decision, risk_level, signals, draft_reply AS reply
 FROM decided"""
 
+# the stream drops redelivered messages by id; the table holds each once
+ORACLE["triage_stream"] = ORACLE["triage_turns"]
+
 ORACLE["decision_rate_hourly"] = """
 WITH e AS (
   SELECT time_bucket(INTERVAL '1 hour', ts) AS ws,
@@ -925,6 +936,8 @@ SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(ws + INTERVAL
        decision, count(*) AS n_rows
 FROM e GROUP BY ws, decision"""
 
+ORACLE["decision_rate_stream"] = ORACLE["decision_rate_hourly"]
+
 # --- cell parsing ----------------------------------------------------------------
 
 ORACLE["id_list_parse"] = """
