@@ -599,6 +599,23 @@ def q_divergent_rows(spark, sf_dir):
                                                       "diff_overall_quality")
 
 
+# --- H1: vectors of a caller's model ------------------------------------------------
+
+from threadlens.functions.encoders import embed  # noqa: E402
+
+
+def _letter_counter():
+    """Stand-in model: how often each of eight letters occurs."""
+    return lambda texts: [[t.count(c) for c in "aeinrst."] for t in texts]
+
+
+@register("embedded_documents")
+def q_embedded_documents(spark, sf_dir):
+    """H1: every whole document through a model that each worker makes once."""
+    d = embed(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text", _letter_counter)
+    return d.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), " ").alias("vector"))
+
+
 # --- E7, G9, G11: overlap audits ---------------------------------------------------
 
 from threadlens.operators import audit  # noqa: E402

@@ -734,6 +734,10 @@ ORACLE["uncontaminated_documents"] = """
 SELECT doc_id, lang, source FROM documents d
 WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE length(coalesce(b.text, '')) > 0 AND contains(d.text, b.text))"""
 
+ORACLE["embedded_documents"] = "SELECT doc_id, " + " || ' ' || ".join(
+    f"CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{c}', '')) AS VARCHAR)" for c in "aeinrst."
+) + " AS vector FROM documents"
+
 _WEAK = f"""
 wd AS (SELECT doc_id, {sql_clean_ascii('text')} AS clean FROM documents),
 wv AS (SELECT * FROM wd WHERE length(clean) > 0),
