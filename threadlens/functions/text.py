@@ -1,4 +1,4 @@
-"""Text column expressions (JVM-side, codegen-friendly, no UDF on the hot path).
+"""Text column expressions (JVM-side, no UDF).
 
 Every function maps Column -> Column. Null input is treated as the empty string,
 as the cleaning rules expect.
@@ -6,32 +6,81 @@ as the cleaning rules expect.
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def _reference_decoder():
-    def decode(s: pd.Series) -> pd.Series:
-        import html  # a nested function travels by value: workers need no package
-        return s.map(lambda v: v if v is None else html.unescape(v))
-    return F.pandas_udf(decode, T.StringType())
-
-
-_decode_references = _reference_decoder()
+# One match per character reference; what follows '&' else is text.
+REFERENCE_RE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_REPLACEMENT = 0xFFFD
+
+
+@functools.cache
+def _named_references() -> tuple[str, str]:
+    """The standard's named references, as JSON {first letter: {name: text}}, and a pattern of
+    the names that need no ';' (longest first), which may also begin a longer word."""
+    by_letter: dict[str, dict[str, str]] = {}
+    for name, text in html.entities.html5.items():
+        by_letter.setdefault(name[0], {})[name] = text
+    bare = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    return json.dumps(by_letter), "^(?:" + "|".join(bare) + ")"
+
+
+def _code_point_text(n: Column) -> Column:
+    """Text of a numeric reference: 0x80-0x9F as Windows-1252, impossible numbers as U+FFFD,
+    control characters and non-characters as nothing."""
+    def among(lo: int, hi: int) -> Column:
+        return (n >= lo) & (n <= hi)
+    western = F.element_at(F.from_json(F.lit(json.dumps({
+        str(c): bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0)})), "map<string,string>"), n.cast("string"))
+    impossible = (n == 0) | among(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    nothing = among(0x1, 0x8) | (n == 0xB) | among(0xE, 0x1F) | (n == 0x7F) | among(0xFDD0, 0xFDEF) \
+        | (n.bitwiseAND(F.lit(0xFFFE).cast("long")) == 0xFFFE)
+    safe = F.when(impossible, F.lit(_REPLACEMENT).cast("long")).otherwise(n)
+    char = F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+    return F.when(among(0x80, 0x9F), western).when(nothing & ~impossible, F.lit("")).otherwise(char)
+
+
+def _number(digits: Column, base: int) -> Column:
+    """The value of a digit string, or one too large where it has more digits than any code point."""
+    bare = F.regexp_replace(digits, "^0+(?=.)", "")
+    most = 7 if base == 10 else 6
+    return F.when(F.length(bare) > most, F.lit(0x110000).cast("long")) \
+        .otherwise(F.conv(F.left(bare, F.lit(most)), base, 10).cast("long"))
+
+
+def _decode_reference(ref: Column) -> Column:
+    """One match of REFERENCE_RE (or plain text, which stays)."""
+    names, bare = _named_references()
+    name = F.substring(ref, 2, 33)
+    table = F.from_json(F.lit(names), "map<string,map<string,string>>")
+
+    def named(n: Column) -> Column:
+        return F.element_at(F.element_at(table, F.left(n, F.lit(1))), n)
+    prefix = F.regexp_extract(name, bare, 0)
+    digits = F.regexp_extract(ref, "^&#[xX]?([0-9a-fA-F]+)", 1)
+    return F.when(~ref.startswith("&") | (F.length(ref) == 1), ref) \
+        .when(ref.rlike("^&#[xX]"), _code_point_text(_number(digits, 16))) \
+        .when(ref.startswith("&#"), _code_point_text(_number(digits, 10))) \
+        .otherwise(F.coalesce(named(name), F.when(prefix != "", F.concat(named(prefix), F.substring(
+            name, F.length(prefix) + 1, F.lit(33)))), ref))
 
 
 def unescape_html(col) -> Column:
     """Decode character references (numeric ones and all named ones, longest match,
-    one pass). Only text that holds a '&' leaves the JVM, in Arrow batches; any other
-    row crosses as a null and keeps its text."""
+    one pass), with expressions only. Text is cut into references and stretches without
+    '&'; text that holds no '&' is not cut at all."""
     src = F.coalesce(_c(col).cast("string"), F.lit(""))
-    return F.coalesce(_decode_references(F.when(src.contains("&"), src)), src)
+    parts = F.regexp_extract_all(src, F.lit(REFERENCE_RE + "|[^&]++|&"), F.lit(0))
+    return F.when(src.contains("&"), F.array_join(F.transform(parts, _decode_reference), "")).otherwise(src)
 
 
 def _unescape(col, mode: str) -> Column:
