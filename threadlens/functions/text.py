@@ -13,6 +13,8 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import let
+
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -51,10 +53,9 @@ def _code_point_text(n: Column) -> Column:
 
 def _number(digits: Column, base: int) -> Column:
     """The value of a digit string, or one too large where it has more digits than any code point."""
-    bare = F.regexp_replace(digits, "^0+(?=.)", "")
     most = 7 if base == 10 else 6
-    return F.when(F.length(bare) > most, F.lit(0x110000).cast("long")) \
-        .otherwise(F.conv(F.left(bare, F.lit(most)), base, 10).cast("long"))
+    return let(F.regexp_replace(digits, "^0+(?=.)", ""), lambda bare: F.when(
+        F.length(bare) > most, F.lit(0x110000).cast("long")).otherwise(F.conv(F.left(bare, F.lit(most)), base, 10).cast("long")))
 
 
 def _decode_reference(ref: Column) -> Column:
@@ -68,8 +69,8 @@ def _decode_reference(ref: Column) -> Column:
     prefix = F.regexp_extract(name, bare, 0)
     digits = F.regexp_extract(ref, "^&#[xX]?([0-9a-fA-F]+)", 1)
     return F.when(~ref.startswith("&") | (F.length(ref) == 1), ref) \
-        .when(ref.rlike("^&#[xX]"), _code_point_text(_number(digits, 16))) \
-        .when(ref.startswith("&#"), _code_point_text(_number(digits, 10))) \
+        .when(ref.startswith("&#"), let(F.when(ref.rlike("^&#[xX]"), _number(digits, 16)).otherwise(_number(digits, 10)),
+                                        _code_point_text)) \
         .otherwise(F.coalesce(named(name), F.when(prefix != "", F.concat(named(prefix), F.substring(
             name, F.length(prefix) + 1, F.lit(33)))), ref))
 
