@@ -1,5 +1,9 @@
 """Overlap pairs and their anti form on hand-made rows."""
 
+import random
+
+import pytest
+
 from threadlens.operators import audit
 
 
@@ -24,3 +28,33 @@ def test_anti_form_without_pairs_or_rows(spark):
     assert audit.without_overlap(items, pairs, "item_id").count() == 1
     assert audit.without_overlap(none, pairs, "item_id").count() == 0
     assert audit.without_overlap(items, pairs, "item_id", "doc_id").count() == 1
+
+
+@pytest.mark.parametrize("max_items", [100_000, 0])
+def test_contains_equals_comparing_all_pairs(spark, max_items):
+    """Items of one character to many tokens, cut words, blanks, line ends and characters
+    outside the basic plane, against Python's ``in``; broadcast and shuffled keys."""
+    rng = random.Random(3)
+    bits = ["a", "b", " ", "ab", "\n", "\u00e9", "\U0001F600", "the", " the ", ".", "cat ", "x1"]
+    docs = [(i % 110, "".join(rng.choice(bits) for _ in range(rng.randint(0, 60)))) for i in range(120)]
+    docs += [(None, "the cat"), (500, None), (501, "")]
+    items = [(i % 70, "".join(rng.choice(bits) for _ in range(rng.randint(1, 9)))) for i in range(80)]
+    for k, (_, text) in enumerate(docs[:40]):
+        if len(text) > 4:
+            at = rng.randrange(len(text) - 3)
+            items.append((100 + k, text[at:at + rng.randint(1, 30)]))
+    items += [(None, "the"), (300, None), (301, ""), (302, "zzz"), (303, "q"), (304, "a" * 9)]
+    got = audit.contains_overlap(spark.createDataFrame(items, "i long, s string"), spark.createDataFrame(docs, "d long, t string"),
+                                 "i", "s", "d", "t", max_items=max_items)
+    pairs = [tuple(r) for r in got.collect()]
+    want = {(i, d) for i, s in items for d, t in docs if i is not None and d is not None and s and t and s in t}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want and len(want) > 500
+
+
+def test_contains_plan_has_no_nested_loop(spark):
+    items = spark.createDataFrame([(1, "on"), (2, "one two three four")], "i long, s string")
+    docs = spark.createDataFrame([(1, "one two three four five")], "d long, t string")
+    got = audit.contains_overlap(items, docs, "i", "s", "d", "t")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert got.count() == 2
