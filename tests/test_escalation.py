@@ -2,8 +2,8 @@
 
 import pytest
 
-from threadlens.functions.rules import DEFAULT_RULES
-from threadlens.operators import escalation
+from threadlens.functions.rules import DEFAULT_LEXICON, DEFAULT_RULES, FINAL_INTENTS, FINAL_LEXICON
+from threadlens.operators import escalation, lexicon
 
 ROWS = [
     # (id, text, intent, score, confidence, reply, decision, risk, required signal)
@@ -71,3 +71,24 @@ def test_summary(spark, decided):
     assert s.n == len(ROWS) and s.n_auto == 3 and s.n_escalated == 9
     counts = {r.signal: r.n_rows for r in escalation.signal_counts(out).collect()}
     assert counts["ambiguous_intent"] == 2
+
+
+def test_top_score_from_evidence(spark):
+    rows = [(1, None, [0.2, 0.5, None]), (2, 0.1, [0.9]), (3, None, []), (4, None, None), (5, None, [0.2])]
+    df = spark.createDataFrame([(i, "my battery drains quickly", "battery_charging", s, e and [(x,) for x in e] if e is None or e else [])
+                                for i, s, e in rows], "id int, text string, intent string, score double, ev array<struct<sim_score:double>>")
+    got = {r.id: r for r in escalation.decide(df, "text", "intent", "score", evidence="ev").collect()}
+    assert {i: r.metadata.top_retrieval_score for i, r in got.items()} == {1: 0.5, 2: 0.1, 3: None, 4: None, 5: 0.2}
+    assert [got[i].decision for i in (1, 2, 3, 4, 5)] == ["auto_handle", "human_escalation", "auto_handle", "auto_handle", "human_escalation"]
+    assert all(r.metadata.intent == "battery_charging" for r in got.values())
+    none = escalation.decide(df.drop("score"), "text", "intent", evidence="ev").filter("id = 2").first()
+    assert none.metadata.top_retrieval_score == 0.9
+
+
+def test_final_lexicon(spark):
+    """Same keywords in the same order under the final names."""
+    assert FINAL_LEXICON.names == FINAL_INTENTS
+    assert [w for _, w in FINAL_LEXICON.labels] == [w for _, w in DEFAULT_LEXICON.labels]
+    df = spark.createDataFrame([(1, "gift card billing"), (2, "the screen has a lag"), (3, "nothing at all")], "id int, t string")
+    got = {r.id: r.assigned_label for r in lexicon.score_rows(df, "t", FINAL_LEXICON).collect()}
+    assert got[1] == "payments_billing" and got[2] == "device_issue" and got[3] == FINAL_INTENTS[-1]

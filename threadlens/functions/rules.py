@@ -141,6 +141,9 @@ class Lexicon:
 
 DEFAULT_LEXICON = Lexicon()
 
+# The same keywords under the final intent names: the review sampler and triage use these.
+FINAL_LEXICON = Lexicon(labels=tuple((name, words) for name, (_, words) in zip(FINAL_INTENTS, DEFAULT_LEXICON.labels, strict=True)))
+
 # Test lexicon: one label per language of the driver's prose (so labels,
 # margins and ties are meaningful), three rare labels and two that never hit
 # (the distribution must still show them). On sf0.01 documents every sampler

@@ -56,18 +56,26 @@ def signal_array(text: Column, intent: Column, top_score: Column, reply: Column,
 
 def decide(df: DataFrame, text: str = "text", intent: str | None = None, top_score: str | None = None,
            reply: str | None = None, confidence: str | None = None,
-           rules: EscalationRules = DEFAULT_RULES) -> DataFrame:
+           rules: EscalationRules = DEFAULT_RULES, evidence: str | None = None) -> DataFrame:
     """Add ``decision``, ``risk_level``, ``reason``, ``signals`` (names in
-    order) and ``signal_details`` (structs). Missing inputs count as null."""
+    order) and ``signal_details`` (structs). Missing inputs count as null.
+
+    ``evidence`` names an array of structs with a ``sim_score``; where ``top_score`` is null
+    or not given, the largest one counts (an empty or null array gives none). With it,
+    ``metadata`` (intent, top_retrieval_score as used) is added."""
     def col(name, typ):
         return F.col(name) if name else F.lit(None).cast(typ)
-    sig = signal_array(F.col(text), col(intent, "string"), col(top_score, "double"), col(reply, "string"),
+    score_c = col(top_score, "double")
+    if evidence:
+        score_c = F.coalesce(score_c, F.array_max(F.transform(F.col(evidence), lambda e: e["sim_score"].cast("double"))))
+    sig = signal_array(F.col(text), col(intent, "string"), score_c, col(reply, "string"),
                        col(confidence, "double"), rules)
     out = df.withColumn("signal_details", sig)
     high = F.filter("signal_details", lambda s: s["severity"] == "high")
     medium = F.filter("signal_details", lambda s: s["severity"] == "medium")
     intent_c = col(intent, "string")
-    score_c = col(top_score, "double")
+    if evidence:
+        out = out.withColumn("metadata", F.struct(intent_c.alias("intent"), score_c.alias("top_retrieval_score")))
     auto_reason = F.concat(
         F.lit("Routine troubleshooting query with clear "),
         F.when(F.length(F.coalesce(intent_c, F.lit(""))) > 0, F.concat(F.lit("'"), intent_c, F.lit("'")))

@@ -106,7 +106,7 @@ def q_sampled_records(spark, sf_dir):
 
 # --- I: escalation -------------------------------------------------------------
 
-def _escalated_turns(spark, sf_dir):
+def _escalated_turns(spark, sf_dir, from_evidence=False):
     c = _t(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     # intent: a derived stand-in (ambiguous / account / billing / other) so the
     # intent-driven branches fire; confidence: a derived value around 0.13.
@@ -121,7 +121,24 @@ def _escalated_turns(spark, sf_dir):
     clean = tx.clean_ascii("text")
     base = c.select("conv_id", "turn", clean.alias("text"), intent.alias("intent"), conf.alias("confidence"),
                     score.alias("top_score"), F.when(F.col("turn") == 0, clean).alias("draft_reply"))
-    return escalation.decide(base, "text", "intent", "top_score", "draft_reply", "confidence", TEST_RULES)
+    if not from_evidence:
+        return escalation.decide(base, "text", "intent", "top_score", "draft_reply", "confidence", TEST_RULES)
+    # a third of the conversations has evidence only (largest score in the middle), a third a given
+    # score that is not the evidence's, a third neither
+    third = F.col("conv_id") % 3
+    hits = F.transform(F.array(F.lit(0.125), F.lit(0.0), F.lit(0.25)), lambda less: F.struct(
+        F.col("conv_id").alias("conversation_id"), (F.col("top_score") - less).alias("sim_score")))
+    base = base.withColumn("evidence", F.when(third < 2, hits)).withColumn(
+        "given", F.when(third == 1, F.col("top_score") - F.lit(0.05)))
+    return escalation.decide(base, "text", "intent", "given", "draft_reply", "confidence", TEST_RULES, evidence="evidence")
+
+
+@register("escalation_evidence")
+def q_escalation_evidence(spark, sf_dir):
+    """I9 with the top score taken from the evidence where none is given, and the score used."""
+    d = _escalated_turns(spark, sf_dir, from_evidence=True)
+    return d.select("conv_id", "turn", "decision", "risk_level", "reason", F.array_join("signals", ",").alias("signals"),
+                    "metadata.intent", F.round("metadata.top_retrieval_score", 6).alias("top_retrieval_score"))
 
 
 @register("escalation_turns")

@@ -197,6 +197,11 @@ decided AS (SELECT conv_id, turn, {esc} FROM base)
 
 ORACLE["escalation_turns"] = f"WITH {_ESC_BASE} SELECT * FROM decided"
 
+_SCORE = "(conv_id % 50) / 100.0 + 0.1 + turn / 100.0"
+_EVIDENCE_BASE = _ESC_BASE.replace(_SCORE + " AS", f"CASE conv_id % 3 WHEN 0 THEN {_SCORE} WHEN 1 THEN {_SCORE} - 0.05 END AS").replace(
+    "decided AS (SELECT conv_id, turn,", "decided AS (SELECT conv_id, turn, intent, round(top_score, 6) AS top_retrieval_score,")
+ORACLE["escalation_evidence"] = f"WITH {_EVIDENCE_BASE} SELECT * FROM decided"
+
 ORACLE["escalation_summary"] = f"""
 WITH {_ESC_BASE}
 SELECT count(*) AS n, count_if(decision = 'auto_handle') AS n_auto,

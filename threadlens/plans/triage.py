@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.functions.rules import DEFAULT_LEXICON, DEFAULT_RULES, EscalationRules, Lexicon
+from threadlens.functions.rules import DEFAULT_RULES, FINAL_LEXICON, EscalationRules, Lexicon
 from threadlens.functions.text import clean_ascii, format_fixed, format_percent, token_count
 from threadlens.functions.vectors import hashed_tf_vectors
 from threadlens.operators import escalation, lexicon, replies
@@ -21,7 +21,7 @@ from threadlens.session import cut_lineage
 VECTOR_DIM = 256
 
 
-def lexicon_intent(msgs: DataFrame, lex: Lexicon = DEFAULT_LEXICON, ambiguous: str = "ambiguous") -> DataFrame:
+def lexicon_intent(msgs: DataFrame, lex: Lexicon = FINAL_LEXICON, ambiguous: str = "ambiguous") -> DataFrame:
     """SQL-only intent classifier: lexicon label, confidence = share of the
     top label's keyword hits (4 dp); fewer than 2 cleaned tokens -> ambiguous,
     0.0."""
@@ -42,7 +42,7 @@ def index_side(records: DataFrame, dim: int = VECTOR_DIM) -> DataFrame:
 
 
 def triage(messages: DataFrame, indexed_records: DataFrame, k: int = 3, rules: EscalationRules = DEFAULT_RULES,
-           lex: Lexicon = DEFAULT_LEXICON, message_id: str = "message_id", text: str = "text",
+           lex: Lexicon = FINAL_LEXICON, message_id: str = "message_id", text: str = "text",
            classify=lexicon_intent, dim: int = VECTOR_DIM, n_index: int | None = None) -> DataFrame:
     # an id of our own: message ids may repeat (a replayed stream delivers them twice)
     msgs = cut_lineage(messages.select(F.monotonically_increasing_id().alias("query_id"), F.col(message_id).alias("_mid"),
