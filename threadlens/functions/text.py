@@ -10,6 +10,7 @@ import functools
 import html.entities
 import json
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,7 +80,24 @@ def unescape_html(col) -> Column:
     """Decode character references (numeric ones and all named ones, longest match,
     one pass), with expressions only. Text is cut into references and stretches without
     '&'; text that holds no '&' is not cut at all."""
-    src = F.coalesce(_c(col).cast("string"), F.lit(""))
+    if not isinstance(col, str):
+        return _unescaped(col)
+    # the expression of a named column is built once for each Spark context
+    context = SparkContext._active_spark_context
+    if _built.get("context") is not context:
+        _built.clear()
+        _built["context"] = context
+    columns = _built.setdefault("columns", {})
+    if col not in columns:
+        columns[col] = _unescaped(F.col(col))
+    return columns[col]
+
+
+_built: dict = {}
+
+
+def _unescaped(col: Column) -> Column:
+    src = F.coalesce(col.cast("string"), F.lit(""))
     parts = F.regexp_extract_all(src, F.lit(REFERENCE_RE + "|[^&]++|&"), F.lit(0))
     return F.when(src.contains("&"), F.array_join(F.transform(parts, _decode_reference), "")).otherwise(src)
 
