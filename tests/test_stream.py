@@ -69,3 +69,16 @@ def test_redelivered_messages_are_triaged_once(spark):
     assert run() == first
     deliver([(1, "my order is late"), (5, "new one")])
     assert run() == sorted([*first, (5, "new one")], key=str)
+
+
+def test_a_table_may_be_a_folder_of_files(spark):
+    base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    spark.range(40).repartition(4).write.parquet(f"{base}/conversations.parquet")
+    spark.range(40, 50).coalesce(1).write.parquet(f"{base}/one")
+    [one] = glob.glob(f"{base}/one/*.parquet")
+    for folder, name, n in ((base, "conversations.parquet", 40), (f"{base}/one", os.path.basename(one), 10)):
+        seen = []
+        q = (stream._files(spark, folder, "id long", name, None).writeStream.foreachBatch(lambda b, _: seen.append(b.count()))
+             .option("checkpointLocation", tempfile.mkdtemp(prefix="run-", dir="/tmp")).trigger(**stream.ALL_THERE_IS).start())
+        q.awaitTermination()
+        assert sum(seen) == n

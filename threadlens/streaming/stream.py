@@ -39,7 +39,9 @@ def _files(spark: SparkSession, source_dir: str, schema: str, glob: str | None,
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if glob:
-        reader = reader.option("pathGlobFilter", glob)
+        # a table is one file or a folder of files: a pattern finds both, a name only the folder
+        name = glob if set(glob) & set("*?[{") else f"{glob[:-1]}[{glob[-1]}]"
+        source_dir = f"{source_dir.rstrip('/')}/{name}"
     return reader.parquet(source_dir)
 
 
