@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadlens.operators import audit
 
@@ -58,3 +59,11 @@ def test_contains_plan_has_no_nested_loop(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert got.count() == 2
+
+
+def test_the_split_carries_no_texts(spark):
+    """Rows that are numbered inside a class are narrow, and a chunk of them is small."""
+    from threadlens.operators import ordering
+    from threadlens.plans import catalog
+    rows = catalog._doc_split(spark, "/root/testdata/sf0.001")
+    assert rows.agg(F.max(F.length("clean"))).first()[0] == 64 and ordering.CHUNK_ROWS <= 1 << 16
