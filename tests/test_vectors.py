@@ -96,3 +96,27 @@ def test_probe_search_finds_exact_within_cells(spark):
     # probing every cell is exact
     assert sorted(map(tuple, approx.select("query_id", "vector_id").collect())) == \
         sorted(map(tuple, exact.select("query_id", "vector_id").collect()))
+
+
+def test_chunks_bound_what_a_worker_holds(spark, monkeypatch):
+    """Chunks of bounded bytes, no pair of vectors in a row, null ids as before; the rows are
+    those of one whole product."""
+    rnd = np.random.default_rng(2)
+    idx = [(i if i % 50 else None, rnd.normal(size=16).tolist()) for i in range(400)]
+    i = spark.createDataFrame(idx, "id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(retrieval, "CHUNK_BYTES", 8 * 16 * 32)
+    packed = retrieval._packed(i.select("id", "embedding"), 1000, "v")
+    assert packed.agg(F.max(F.octet_length("v_vecs"))).first()[0] <= 8 * 16 * 32
+    assert packed.agg(F.sum(F.octet_length("v_ids"))).first()[0] == 8 * 400
+    monkeypatch.setattr(retrieval, "PART_BYTES", 8 * 16 * 64)
+    hits = retrieval.topk_cosine(i, i, 3, query_id="id", vector_id="id").filter("query_id > 0").collect()
+    v = np.array([x for _, x in idx])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids = np.array([-2**63 if x is None else x for x, _ in idx])
+    want = {int(q): ids[np.lexsort((ids, -(v[n] @ v.T).round(12)))[:3]].tolist() for n, q in enumerate(ids) if q > 0}
+    got = {}
+    for r in sorted(hits, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.vector_id)
+    assert got == want
+    with pytest.raises(Exception, match="one length"):
+        retrieval.topk_cosine(spark.createDataFrame([(1, [1.0]), (2, None)], SCHEMA).coalesce(1), i, 1, query_id="id", vector_id="id")
