@@ -114,3 +114,15 @@ def test_signature_agreement_estimates_similarity():
 @pytest.mark.parametrize("percent,size", [(80, 5)])
 def test_other_parameters(small, percent, size):
     check(small, [(r.doc_id, r.text) for r in small.collect()], percent=percent, shingle=size, bands=32)
+
+
+def test_label_rounds_do_not_multiply_the_estimated_size(spark):
+    """A chain of ids in mixed order takes rounds of joins; the size that the planner expects
+    of their result (a number on the driver) stays that of a table, whatever the rounds."""
+    ids = np.random.default_rng(3).permutation(14).tolist()
+    links = spark.createDataFrame(list(zip(ids[:-1], ids[1:])), "a long, b long")
+    label = spark.createDataFrame([(i, (0, i)) for i in ids], "id long, root struct<rank:long,id:long>")
+    found = minhash.components(links, label)
+    size = found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(size).bit_length() < 400
+    assert {(r.id, r.comp) for r in found.collect()} == {(i, 0) for i in ids}

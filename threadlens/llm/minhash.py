@@ -25,8 +25,8 @@ Job:
 5. Components by min-label propagation with pointer jumping over the forests, to the end.
 
 Hot groups: counts, sizes and leaders are partial aggregates; blocks are cut by hash, so no
-task holds more than two of them. Every round ends in a checkpoint (a written table
-in ``spark.checkpoint.dir``).
+task holds more than two of them. Every step ends in a checkpoint, every round of labels in
+a written table (both in ``spark.checkpoint.dir``).
 
 Defined results: words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; null or empty
 text, or text without words, has an empty set, links with nothing and is its own
@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, ship_package
+from ..session import cut_lineage, held, ship_package
 from .common import NON_SPACE, U64, documents, find_words, hash_words, int_column, map_arrow, mix, per_group, sealed, text_column, text_parts
 
 SHINGLE = 3
@@ -223,7 +223,7 @@ def components(links: DataFrame, label: DataFrame) -> DataFrame:
     labels that are already reachable. Runs until a round moves nothing."""
     both = cut_lineage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     while True:
-        label = cut_lineage(_spread(label, both))
+        label = held(_spread(label, both))
         if not label.filter("moved").head(1):
             break
     least = label.groupBy(F.col("root.id").alias("top")).agg(F.min("id").alias("comp"))
