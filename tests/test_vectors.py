@@ -120,3 +120,45 @@ def test_chunks_bound_what_a_worker_holds(spark, monkeypatch):
     assert got == want
     with pytest.raises(Exception, match="one length"):
         retrieval.topk_cosine(spark.createDataFrame([(1, [1.0]), (2, None)], SCHEMA).coalesce(1), i, 1, query_id="id", vector_id="id")
+
+
+def test_search_sends_pairs_of_chunks_one_by_one(spark, monkeypatch):
+    """A worker holds a pair or two, not the 64 MB of pairs that fill an Arrow batch."""
+    plain = retrieval._chunk_pairs
+
+    def watched(*args):
+        run = plain(*args)
+
+        def one(batches):
+            def each():
+                for b in batches:
+                    if b.num_rows > 1:
+                        raise ValueError(f"{b.num_rows} pairs at once")
+                    yield b
+            return run(each())
+        return one
+
+    monkeypatch.setattr(retrieval, "_chunk_pairs", watched)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.standard_normal(4).astype(np.float32)]) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    hits = retrieval.topk_cosine(df, df, 3, query_id="id", vector_id="id", exclude_self=True, block_rows=7, shard_rows=5)
+    got = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vector_id)
+    assert got == brute_topk(rows, rows, 3, exclude_self=True)
+    assert spark.conf.get(setting) == before
+
+
+def test_batch_rows_come_back_after_the_last_job(spark):
+    from threadlens.session import ARROW_ROWS, arrow_rows
+    before = spark.conf.get(ARROW_ROWS)
+    first, second = arrow_rows(spark, 1), arrow_rows(spark, 1)
+    first.__enter__()
+    second.__enter__()
+    first.__exit__(None, None, None)
+    assert spark.conf.get(ARROW_ROWS) == "1"
+    second.__exit__(None, None, None)
+    assert spark.conf.get(ARROW_ROWS) == before
