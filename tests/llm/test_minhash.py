@@ -126,3 +126,25 @@ def test_label_rounds_do_not_multiply_the_estimated_size(spark):
     size = found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     assert int(size).bit_length() < 400
     assert {(r.id, r.comp) for r in found.collect()} == {(i, 0) for i in ids}
+
+
+def test_label_rounds_take_tasks_by_rows(spark, monkeypatch):
+    """Exchanges of many partitions do not make a round of few labels many tasks; more rows do."""
+    ids = np.random.default_rng(4).permutation(40).tolist()
+    links = spark.createDataFrame(list(zip(ids[:-1], ids[1:])), "a long, b long")
+    label = spark.createDataFrame([(i, (0, i)) for i in ids], "id long, root struct<rank:long,id:long>")
+    rounds = []
+    monkeypatch.setattr(minhash, "held", lambda rows, hold=minhash.held: rounds.append(rows.rdd.getNumPartitions()) or hold(rows))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert {(r.id, r.comp) for r in minhash.components(links, label).collect()} == {(i, 0) for i in ids}
+        assert max(rounds[1:]) <= spark.sparkContext.defaultParallelism
+        monkeypatch.setattr(minhash, "TASK_ROWS", 2)
+        rounds.clear()
+        assert {(r.id, r.comp) for r in minhash.components(links, label).collect()} == {(i, 0) for i in ids}
+        assert max(rounds[1:]) == 39
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -51,6 +51,7 @@ ROWS = 5
 PERCENT = 85
 BLOCK = 512                # members of a unit
 BLOCK_SHINGLES = 600_000   # shingles of a unit, about
+TASK_ROWS = 50_000         # links or labels of a task in a round of labels
 _SHIFT = 0xA24BAED4963EE407
 _SIGMA = U64(0x8EBC6AF09C88C6E3)
 _PI = U64(0x589965CC75374CC3)
@@ -208,22 +209,33 @@ def confirm(units: DataFrame, percent: int, shingle: int) -> DataFrame:
     return units.groupBy("unit").applyInArrow(per_group(run), "a long, b long")
 
 
-def _spread(label: DataFrame, both: DataFrame) -> DataFrame:
+def _tasks(spark: SparkSession, rows: int) -> int:
+    """Tasks for a join of ``rows`` narrow rows; beyond the cores they grow with the rows."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
+def _spread(label: DataFrame, both: DataFrame, tasks: int) -> DataFrame:
     """One step of min-label propagation over the links (a, b both ways), and a pointer
-    jump. A label is a struct (rank, id of the root); ``moved`` says that it fell."""
-    near = _merge(both, label.select("id", "root"), both.b == label.id).groupBy("a").agg(F.min("root").alias("m"))
-    hooked = _merge(label.select("id", "root"), near, label.id == near.a, "left").select("id", "root", F.least("root", "m").alias("to"))
+    jump. A label is a struct (rank, id of the root); ``moved`` says that it fell. Each
+    join ends in at most ``tasks`` tasks, however many partitions an exchange has."""
+    near = _merge(both, label.select("id", "root"), both.b == label.id).select("a", "root").coalesce(tasks)
+    near = near.groupBy("a").agg(F.min("root").alias("m"))
+    hooked = _merge(label.select("id", "root"), near, label.id == near.a, "left") \
+        .select("id", "root", F.least("root", "m").alias("to")).coalesce(tasks)
     jump = label.select(F.col("id").alias("to_id"), F.col("root").alias("next"))
     return _merge(hooked, jump, F.col("to.id") == F.col("to_id"), "left").select(
-        "id", F.least("to", "next").alias("root"), (F.least("to", "next") != F.col("root")).alias("moved"))
+        "id", F.least("to", "next").alias("root"), (F.least("to", "next") != F.col("root")).alias("moved")).coalesce(tasks)
 
 
 def components(links: DataFrame, label: DataFrame) -> DataFrame:
     """Final (id, comp): the smallest id reachable over ``links`` (a, b), starting from
-    labels that are already reachable. Runs until a round moves nothing."""
-    both = cut_lineage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels that are already reachable. Runs until a round moves nothing. A round takes as many
+    tasks as its rows need: on small graphs its cost is that of starting them."""
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = held(links.select(F.explode(ways).alias("l")).select("l.a", "l.b"))
+    tasks = _tasks(links.sparkSession, max(both.count(), label.count()))
     while True:
-        label = held(_spread(label, both))
+        label = held(_spread(label, both, tasks))
         if not label.filter("moved").head(1):
             break
     least = label.groupBy(F.col("root.id").alias("top")).agg(F.min("id").alias("comp"))
