@@ -162,3 +162,26 @@ def test_batch_rows_come_back_after_the_last_job(spark):
     assert spark.conf.get(ARROW_ROWS) == "1"
     second.__exit__(None, None, None)
     assert spark.conf.get(ARROW_ROWS) == before
+
+
+def test_later_chunks_look_only_at_scores_that_reach_the_kth(monkeypatch):
+    """The hits of a query over many chunks, ties at the k-th score included, without a partition
+    of the chunks after the first."""
+    import numpy as np
+    import pyarrow as pa
+
+    from threadlens.operators import retrieval
+
+    rng = np.random.default_rng(3)
+    qm, vm = rng.integers(-2, 3, (40, 4)).astype(float), rng.integers(-2, 3, (300, 4)).astype(float)
+    parts = []
+    partition = np.partition
+    monkeypatch.setattr(np, "partition", lambda *a, **k: parts.append(1) or partition(*a, **k))
+    rows = [(0, np.arange(40).tobytes(), qm.tobytes(), i, np.arange(i, i + 50).tobytes(), vm[i:i + 50].tobytes()) for i in range(0, 300, 50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=list("abcdef"))
+    for metric in ("ip", "cosine"):
+        got = pa.Table.from_batches(retrieval._chunk_pairs(5, True, metric)([batch])).to_pylist()
+        _, ids, scores = retrieval._score_pair(np.arange(40), qm, np.arange(300), vm, 5, True, metric)
+        assert [r["vector_id"] for r in got] == ids.tolist()
+        assert [r["score"] for r in got] == pytest.approx(scores.tolist())
+    assert len(parts) == 4      # the first chunk and the whole, for both metrics
